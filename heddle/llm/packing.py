@@ -119,32 +119,36 @@ def price(values: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def solve(count: np.ndarray, capacity: int, rounds: int, eta: float = 0.5) -> list[tuple[dict[int, int], float]]:
+def solve(count: np.ndarray, capacity: int, rounds: int, bias: float = 1.5, eta: float = 0.1) -> list[tuple[dict[int, int], float]]:
     """Fractional configurations by multiplicative weights on the covering constraints.
 
-    Each round prices the configuration of largest dual value, gives it an equal share of the lower
-    bound on sequences, and lowers the weights of the lengths that are ahead in cover.
+    Each round prices the configuration of largest dual value and gives it an equal share of the
+    lower bound on sequences, less where a member is scarcer than that; the weights of the lengths
+    that it covers fall by the share of their pieces it used. Weights start as length ** bias: over
+    1, so that among full configurations those of few long pieces, the hard ones to place, go first.
     """
-    have = count > 0
     lengths = np.arange(len(count))
-    share = float((lengths * count).sum()) / capacity / rounds
-    cover = np.zeros(len(count))
+    share = max(1.0, float((lengths * count).sum()) / capacity / rounds)
+    left = count.astype(float)
+    dual = np.where(left >= 1, (lengths / capacity) ** bias, -1.0)
     x: dict[tuple, float] = {}
-    for r in range(rounds):
-        ahead = np.where(have, cover / np.maximum(count, 1) - r / rounds, 0.0)
-        dual = np.where(have, lengths / capacity * np.exp(-eta * np.clip(ahead * 4, -8, 8)), -1.0)
-        dual[cover >= 1.05 * np.maximum(count, 1)] = -1.0
+    for _ in range(rounds):
         column = price(dual, capacity)
         if not column:
             break
-        # a step as large as the scarcest member allows
-        step = max(share, min(count[k] / n for k, n in column.items()) / 4)
+        step = min(share, *(max(left[k] / n, 1.0 if n == 1 else 0.0) for k, n in column.items()))
+        if step <= 0:  # it asks for more of a length than is left: that length waits for the rounding
+            for k, n in column.items():
+                if left[k] < n:
+                    dual[k] = -1.0
+            continue
         key = tuple(sorted(column.items()))
         x[key] = x.get(key, 0.0) + step
         for k, n in column.items():
-            cover[k] += n * step
-        if cover[have].min() >= count[have].max():
-            break
+            left[k] -= n * step
+            dual[k] *= np.exp(-eta * (k / capacity) * min(1.0, n * step / count[k])) if left[k] >= 1 else 0.0
+            if left[k] < 1:
+                dual[k] = -1.0
     return [(dict(k), v) for k, v in x.items()]
 
 
@@ -163,7 +167,7 @@ def fill(left: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def plan(count: np.ndarray, capacity: int, rounds: int = 300, passes: int = 3) -> list[tuple[dict[int, int], int]]:
+def plan(count: np.ndarray, capacity: int, rounds: int = 400, passes: int = 2) -> list[tuple[dict[int, int], int]]:
     """Whole configurations (lengths with their number, how often) that hold every piece exactly once."""
     left = count.astype(np.int64).copy()
     out: list[tuple[dict[int, int], int]] = []
@@ -186,14 +190,8 @@ def plan(count: np.ndarray, capacity: int, rounds: int = 300, passes: int = 3) -
         for column, x in sorted(solve(left, capacity, rounds), key=lambda p: -size(p[0])):
             if size(column) >= capacity * 0.998:
                 use(column, np.floor(x) or 1)
-    # the rest: the priced configuration with dual = length while it fills, then best fit
-    while left.any():
-        column = fill(left, capacity)
-        if size(column) < capacity:
-            better = price(np.where(left > 0, np.arange(len(left)) / capacity, -1.0), capacity)
-            if size(better) > size(column) and all(left[k] >= m for k, m in better.items()):
-                column = better
-        use(column, float("inf"))
+    while left.any():  # what rounding left: best fit, largest first, in bulk
+        use(fill(left, capacity), float("inf"))
     return out
 
 
@@ -213,7 +211,7 @@ def places(configs: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "lo", "per", "base", "offset"), table.T, strict=True))
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 20_000, rounds: int = 300) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 20_000, rounds: int = 400) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...) of at most ``capacity`` tokens.
 
     ``found`` is read three times: pass a written table.

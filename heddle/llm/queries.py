@@ -1,11 +1,15 @@
 """The registered opN_ queries and their SQL."""
 
+from heddle.llm.bpe import op3_bpe_transducer
+from heddle.llm.gif import op10_gif_media
 from heddle.llm.line_dedup import OP7_SQL, op7_line_dedup
 from heddle.llm.packing import op2_best_fit_packing
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_bpe_transducer": op3_bpe_transducer,
     "op7_line_dedup": op7_line_dedup,
+    "op10_gif_media": op10_gif_media,
 }
 
 ORACLE = {
