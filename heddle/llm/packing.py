@@ -223,7 +223,7 @@ def places(configs: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "lo", "per", "base", "offset"), table.T, strict=True))
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 20_000, rounds: int = 400) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 5_000, rounds: int = 400) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...) of at most ``capacity`` tokens.
 
     ``found`` is read three times: pass a written table.

@@ -2,13 +2,17 @@
 
 from heddle.llm.bpe import op3_bpe_transducer
 from heddle.llm.gif import op10_gif_media
+from heddle.llm.language_id import op8_byte_cnn
 from heddle.llm.line_dedup import OP7_SQL, op7_line_dedup
 from heddle.llm.packing import op2_best_fit_packing
+from heddle.llm.pii import op5_crf_pii
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe_transducer": op3_bpe_transducer,
+    "op5_crf_pii": op5_crf_pii,
     "op7_line_dedup": op7_line_dedup,
+    "op8_byte_cnn": op8_byte_cnn,
     "op10_gif_media": op10_gif_media,
 }
 
