@@ -4,6 +4,7 @@ from heddle.llm.bpe import op3_bpe_transducer
 from heddle.llm.gif import op10_gif_media
 from heddle.llm.language_id import op8_byte_cnn
 from heddle.llm.line_dedup import OP7_SQL, op7_line_dedup
+from heddle.llm.lm import op4_log_bilinear
 from heddle.llm.near_dup import op6_fast_similarity_sketch
 from heddle.llm.packing import op2_best_fit_packing
 from heddle.llm.pii import op5_crf_pii
@@ -11,6 +12,7 @@ from heddle.llm.pii import op5_crf_pii
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe_transducer": op3_bpe_transducer,
+    "op4_log_bilinear": op4_log_bilinear,
     "op5_crf_pii": op5_crf_pii,
     "op6_fast_similarity_sketch": op6_fast_similarity_sketch,
     "op7_line_dedup": op7_line_dedup,
