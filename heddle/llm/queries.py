@@ -1,5 +1,6 @@
 """The registered opN_ queries and their SQL."""
 
+from heddle.llm.ann import op9_kmeans_tree
 from heddle.llm.bpe import op3_bpe_transducer
 from heddle.llm.gif import op10_gif_media
 from heddle.llm.language_id import op8_byte_cnn
@@ -8,8 +9,10 @@ from heddle.llm.lm import op4_log_bilinear
 from heddle.llm.near_dup import op6_fast_similarity_sketch
 from heddle.llm.packing import op2_best_fit_packing
 from heddle.llm.pii import op5_crf_pii
+from heddle.llm.quality import op1_weak_labels
 
 QUERIES = {
+    "op1_weak_labels": op1_weak_labels,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe_transducer": op3_bpe_transducer,
     "op4_log_bilinear": op4_log_bilinear,
@@ -17,6 +20,7 @@ QUERIES = {
     "op6_fast_similarity_sketch": op6_fast_similarity_sketch,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_cnn": op8_byte_cnn,
+    "op9_kmeans_tree": op9_kmeans_tree,
     "op10_gif_media": op10_gif_media,
 }
 
