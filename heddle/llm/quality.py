@@ -97,26 +97,26 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """(texts, labellers): 1 good, 0 bad, -1 no opinion."""
     words, ink = np.maximum(s["words"], 1), np.maximum(s["ink"], 1)
     letters = np.maximum(s["upper"] + s["lower"], 1)
-    some, many = s["words"] > 0, s["words"] >= 20
+    some, several, many = s["words"] > 0, s["words"] >= 5, s["words"] >= 20
 
-    def vote(value: np.ndarray, good: np.ndarray, bad: np.ndarray, on: np.ndarray) -> np.ndarray:
+    def vote(good: np.ndarray, bad: np.ndarray, on: np.ndarray) -> np.ndarray:
         return np.where(on & bad, 0, np.where(on & good, 1, -1))
 
-    def low_good(value: np.ndarray, good: float, bad: float, on: np.ndarray) -> np.ndarray:
-        return vote(value, value <= good, value > bad, on)
+    def over(value: np.ndarray, bad: float, on: np.ndarray) -> np.ndarray:
+        return np.where(on & (value > bad), 0, -1)  # it knows one failure, and has no opinion on other texts
 
     size = s["ink"] / words
     out = [
-        low_good(s["symbols"] / ink, 0.01, 0.05, some),
-        low_good(s["upper"] / letters, 0.15, 0.5, some),
-        low_good(s["exclaim"] / words, 0.02, 0.3, some),
-        low_good(s["pipes"] / words, 0.01, 0.2, some),
-        vote(size, s["distinct"] / words >= 0.35, s["distinct"] / words < 0.15, many),
-        low_good(s["again"] / words, 0.05, 0.2, many),
-        vote(size, s["common"] / words >= 0.08, s["common"] / words < 0.01, many),
-        vote(size, (size >= 3) & (size <= 9), (size > 14) | (size < 2), some),
-        vote(size, s["stops"] / words >= 0.02, s["stops"] / words < 0.002, many),
-        vote(size, s["words"] >= 20, s["words"] < 3, np.ones(len(words), bool)),
+        over(s["symbols"] / ink, 0.03, some),
+        over(s["upper"] / letters, 0.5, some),
+        over(s["exclaim"] / words, 0.1, some),
+        over(s["pipes"] / words, 0.08, some),
+        vote(s["distinct"] / words >= 0.35, (s["distinct"] / words < 0.15) & many, several),
+        over(s["again"] / words, 0.2, many),
+        vote(s["common"] / words >= 0.05, s["common"] / words < 0.01, several),
+        vote((size >= 3) & (size <= 9), (size > 14) | (size < 2), some),
+        vote(s["stops"] / words >= 0.02, s["stops"] / words < 0.002, several),
+        vote(several, ~some, np.ones(len(words), bool)),
     ]
     return np.stack(out, axis=1).astype(np.int64)
 
@@ -129,35 +129,38 @@ def votes_of(pattern: np.ndarray, n: int = len(LABELLERS)) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(n) % 3 - 1
 
 
+# The starting chances of (no opinion, bad, good) on bad and on good texts; a bad vote is rare on good ones.
+START = np.array([[0.35, 0.30, 0.35], [0.38, 0.02, 0.60]])
+
+
 @dataclass
 class LabelModel:
-    """share: of good texts; says[c, l, v]: chance that labeller l votes v on class c, given that it votes."""
+    """share: of good texts; says[c, l, v + 1]: chance that labeller l votes v on a text of class c (0 bad, 1 good)."""
 
     share: float
     says: np.ndarray
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """The chance that a text is good, from its votes."""
-        log = np.log([1 - self.share, self.share])[None, :] + np.zeros((len(v), 2))
-        for c in (0, 1):
-            chance = np.log(self.says[c])
-            log[:, c] += sum(np.where(v[:, k] < 0, 0.0, chance[k, np.maximum(v[:, k], 0)]) for k in range(v.shape[1]))
-        return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-
-
-def estimate(v: np.ndarray, weight: np.ndarray, rounds: int = 60) -> LabelModel:
-    """Expectation-maximisation over vote patterns with their counts; starts with every labeller right in 80 %."""
-    says = np.zeros((2, v.shape[1], 2))
-    for c in (0, 1):
-        says[c, :, c], says[c, :, 1 - c] = 0.8, 0.2
-    model = LabelModel(0.8, says)
+        ratio = np.log(self.says[1]) - np.log(self.says[0])
+        log = np.log(self.share / (1 - self.share)) + sum(ratio[k, v[:, k] + 1] for k in range(v.shape[1]))
+        return 1 / (1 + np.exp(-np.clip(log, -50, 50)))
+
+
+def estimate(v: np.ndarray, weight: np.ndarray, rounds: int = 60, prior: float = 0.02) -> LabelModel:
+    """Expectation-maximisation over vote patterns with their counts.
+
+    The starting chances stay as a prior worth ``prior`` of the table in each class, which keeps the
+    classes' meaning: failures are of many kinds, and each labeller knows one.
+    """
+    start = np.repeat(START[:, None, :], v.shape[1], axis=1)
+    model = LabelModel(0.8, start)
     for _ in range(rounds if len(v) else 0):
         good = model.posterior(v)
-        new = np.zeros_like(says)
+        new = start * (1 + prior * weight.sum())
         for c, p in ((0, 1 - good), (1, good)):
             for k in range(v.shape[1]):
-                for x in (0, 1):
-                    new[c, k, x] = 1 + (weight * p * (v[:, k] == x)).sum()
+                new[c, k] += np.bincount(v[:, k] + 1, weight * p, 3)
         share = float(np.clip((weight * good).sum() / weight.sum(), 0.01, 0.99))
         model = LabelModel(share, new / new.sum(axis=2, keepdims=True))
     return model
