@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import materialise
 
 SAMPLE = 32_768
-LEAF = 64
+LEAF = 512
 BRANCH = 8
 
 
@@ -155,7 +155,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.97, sample: int = SAMPLE) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of the rows where ``queries`` holds."""
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)["embedding"]
@@ -173,7 +173,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
     few = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # the bounded sample
     x = np.array([r["embedding"] for r in few], np.float64)
     total = classes.count()
-    wanted = max(1, min(total, LEAF * max(1, len(x) // 4)) // LEAF)  # leaves follow the table up to the sample's bound
+    wanted = max(1, min(total // LEAF, len(x) // 4))  # leaves follow the table up to the sample's bound
     tree = grow(x, max(4, len(x) // wanted))
     opened = calibrate(tree, x, k, recall)
     at_leaf = tree.leaf_of(x)
@@ -213,7 +213,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
                 )
 
     asked = classes.filter("asked").select("rep", "embedding")
-    routed = asked.repartition(F.xxhash64("rep")).mapInArrow(
+    parts = max(1, asked.count() // 256)  # walking the tree is the cost, not the bytes
+    routed = asked.repartition(parts, F.xxhash64("rep")).mapInArrow(
         route, f"leaf long, query long, bound double, vector {kind}"
     )
 
