@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample (``sample`` distinct vectors, those of smallest hash); its leaves
+The tree is fitted on a bounded sample (about ``sample`` distinct vectors, by hash); its leaves
 grow in number with the table up to that bound. Every vector is indexed: it descends to its leaf.
 Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2). A
 query walks the tree through a priority queue of bins by distance; the number of leaves it opens is
@@ -164,15 +164,16 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
     rows = rows.filter(usable("embedding"))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
+    if not sizes or not k:
         return spark.createDataFrame([], schema)
     rows = rows.filter(F.size("embedding") == sizes[0]["d"])
     classes = rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.max(queries).alias("asked"))
     classes = materialise(spark, classes, "classes")
 
-    few = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # the bounded sample
-    x = np.array([r["embedding"] for r in few], np.float64)
     total = classes.count()
+    share = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(1, total))))
+    few = classes.filter(share).select("rep", "embedding").collect()  # the bounded sample: about `sample` vectors
+    x = np.array([r["embedding"] for r in sorted(few, key=lambda r: r["rep"])], np.float64)
     wanted = max(1, min(total // LEAF, len(x) // 4))  # leaves follow the table up to the sample's bound
     tree = grow(x, max(4, len(x) // wanted))
     opened = calibrate(tree, x, k, recall)

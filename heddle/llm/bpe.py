@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, documents
+from heddle.llm.common import byte_chunks, documents, materialise, most_frequent
 
 LEXICON_WORDS = 65_536
 CACHE = 150_000
@@ -276,17 +276,10 @@ def count_words(docs: DataFrame, special: Iterable[str]) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS) -> bytes:
-    """The automaton image of the ``size`` most frequent words of ``docs`` (at most 48 bytes each)."""
+    """The automaton image of the most frequent words, at most ``size``, of ``docs`` (48 bytes at most)."""
     merges = Merges(vocabulary)
-    top = (
-        count_words(docs, merges.special)
-        .filter(F.length("word") <= 48)
-        .orderBy(F.desc("n"), "word")
-        .limit(size)
-        .select("word")
-        .collect()  # `size` words at most
-    )
-    return compile_lexicon({bytes(r["word"]): merges.word(bytes(r["word"])) for r in top})
+    counts = materialise(docs.sparkSession, count_words(docs, merges.special).filter(F.length("word") <= 48), "words")
+    return compile_lexicon({w: merges.word(w) for w, _ in most_frequent(counts, size)})
 
 
 class Encoder:

@@ -78,3 +78,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
+    """The most frequent words of a written table (word, n), at most ``size``, most frequent first.
+
+    Counts are cut at a step of a fine logarithmic scale: words of one step stay together, so that no
+    task has to send more than its share of them (a sort with a limit sends ``size`` rows from every task).
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    left, least = size, None
+    for r in sorted(counts.groupBy(step.alias("k")).count().collect(), key=lambda r: -r["k"]):  # a row for each step
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["k"]
+    if least is None:
+        return []
+    rows = counts.filter(step >= least).collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))

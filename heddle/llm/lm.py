@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, crc_mod, materialise
+from heddle.llm.common import byte_chunks, crc_mod, materialise, most_frequent
 
 END = b""
 OWN, BUCKETS, DIM = 832, 192, 16
@@ -108,8 +108,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals, the most frequent words and the outcomes' mass from a written table of counts."""
     bucket = F.lit(OWN) + F.crc32(F.substring("word", -3, 3)) % F.lit(BUCKETS)
     sums = counts.groupBy(bucket.cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    top = counts.orderBy(F.desc("n"), "word").limit(LOOKUP).collect()
-    words, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    top = most_frequent(counts, LOOKUP)
+    words, n = [w for w, _ in top], np.array([c for _, c in top], np.int64)
     mass = np.full(CLASSES, 0.5)
     for r in sums:
         mass[r["k"]] += r["n"] + 0.5 * r["v"]
@@ -330,8 +330,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: list[np.
         spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape), "scores"
     )
     # an unseen word has count 0; a seen rare one adds the difference, to both scores alike
-    least = vocab.counts[-1] if len(vocab.counts) == LOOKUP else 0
-    rest = counts.filter(F.col("n") <= F.lit(int(least)))
+    rest = counts.filter(F.col("n") < F.lit(int(vocab.counts[-1]))) if len(vocab.counts) else counts
     gain = (
         part.select("_row", F.explode("rare").alias("word"))
         .join(rest, "word")

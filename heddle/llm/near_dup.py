@@ -8,10 +8,10 @@ concentrated as under independent sampling; a large text fills its bins in one o
 
 Linking: equal shingle sets become one class. Classes that share a band of ``rows`` coordinates are
 candidates; with the defaults a pair at 0.8 is missed with probability 1.2e-6. Within a bucket the
-candidates are first compared with its smallest class only (a star), then with three further centres
-where the bucket still holds several components, and what is left of the pairs across components is
-compared too, so no pair within a bucket goes unexamined unless a path already joins it. Every link
-is confirmed on the full sets, which are made again from the texts. Groups are connected components.
+candidates are first compared with its smallest class only (a star). Buckets that then still hold
+several components form families, and all texts of a family are compared block by block, so that
+no pair within a bucket goes unexamined unless a path already joins it, and only links become rows.
+Every link is confirmed on the full sets, made again from the texts. Groups are connected components.
 
 Defined results
 ---------------
@@ -36,6 +36,7 @@ from heddle.llm.words import GOLD, salted, shingles
 
 BANDS, ROWS = 45, 6
 CHUNK = 1_000_000
+BLOCK = 256
 
 
 def sketch(value: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -128,6 +129,86 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return rows.mapInArrow(run, "a long, b long")
 
 
+def block_links(value: np.ndarray, first: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (row, row) between different components of one block, one at most for each merge they make.
+
+    Intersections of all pairs come from products of incidence matrices, a slice of shingles at a time.
+    """
+    rows = len(component)
+    size = np.diff(first)
+    owner = np.repeat(np.arange(rows), size)
+    names, at, times = np.unique(value, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[at]
+    column, owner = number[at[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((rows, rows), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((rows, 4096), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        common += part @ part.T
+    union = size[:, None] + size[None, :] - common
+    ok = (100 * common >= percent * union) & (component[:, None] != component[None, :])
+    names, label = np.unique(component, return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(np.triu(ok, 1)).tolist():
+        x, y = find(label[i]), find(label[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def compare_blocks(rows: DataFrame, families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts of ``rows`` (rep, component) of one family (node, component) but different components.
+
+    A family is dealt by hash into blocks of about BLOCK texts, and each pair of blocks is one
+    group of bounded size: all pairs of the family are compared, and only links become rows.
+    """
+    spark = rows.sparkSession
+    family = rows.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    few = documents(texts).join(rows.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    few = few.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
+    dealt = materialise(
+        spark,
+        family.join(blocks, "family")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .join(few, "rep"),
+        "family",
+    )
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "family",
+        F.least("block", "other").alias("lo"),
+        F.greatest("block", "other").alias("hi"),
+        "rep",
+        "component",
+        "text",
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        component, rep = table["component"].to_numpy(), table["rep"].to_numpy()
+        found = []
+        if (component != component[0]).any():
+            value, first = shingles(*utf8(table["text"]), words)
+            found = [(max(rep[i], rep[j]), min(rep[i], rep[j])) for i, j in block_links(value, first, component, percent)]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return pairs.groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id linked, directly or not."""
     spark = docs.sparkSession
@@ -146,55 +227,22 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     links = materialise(spark, verify(stars, docs, words, percent), "links")
     labels = components(links)
 
-    def split_buckets(labels: DataFrame) -> DataFrame:
-        """The members, with components, of buckets that still hold several of them."""
-        named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        mixed = (
-            named.groupBy("key")
-            .agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .filter("m > 2 and lo <> hi")
-            .select("key")
-        )
-        return materialise(spark, named.join(mixed, "key", "left_semi"), "mixed")
-
-    # further centres: most texts that missed their bucket's first one are near another
-    mixed = split_buckets(labels)
-    centres = mixed.groupBy("key").agg(
-        *[F.min_by(F.struct("rep", "component"), F.xxhash64(F.lit(i), "rep")).alias(f"c{i}") for i in range(3)]
-    )
-    ways = mixed.join(centres, "key").select(
-        "rep", "component", F.explode(F.array("c0", "c1", "c2")).alias("c")
+    # buckets that still hold several components: their texts are compared in blocks
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component")
     )
-    more = (
-        ways.filter("component <> c.component")
-        .select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    mixed = (
+        named.groupBy("key")
+        .agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("b"))
+        .filter("m > 2 and lo <> hi")
+        .select("key", "b")
     )
-    more = materialise(spark, more, "more")
-    if more.limit(1).count():
-        links = materialise(spark, links.unionAll(verify(more, docs, words, percent)), "links")
+    rest = materialise(spark, named.join(mixed, "key").select("rep", "component", "b").distinct(), "rest")
+    if rest.limit(1).count():
+        families = components(rest.select(F.col("rep").alias("a"), "b"))
+        found_links = compare_blocks(rest.select("rep", "component").distinct(), families, docs, words, percent)
+        links = materialise(spark, links.unionAll(found_links), "links")
         labels = components(links)
-        # the rest: pairs of a bucket that no path joins yet and whose sizes allow a link
-        mixed = split_buckets(labels)
-        other = mixed.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-        rest = (
-            mixed.join(other, "key")
-            .filter(
-                (F.col("rep") > F.col("b"))
-                & (F.col("component") != F.col("cb"))
-                & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-            )
-            .select(F.col("rep").alias("a"), "b")
-            .distinct()
-            .join(stars.unionAll(more), ["a", "b"], "left_anti")
-        )
-        rest = materialise(spark, rest, "rest")
-        if rest.limit(1).count():
-            links = materialise(spark, links.unionAll(verify(rest, docs, words, percent)), "links")
-            labels = components(links)
 
     reps = classes.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -3,7 +3,7 @@
 Ten overlapping labellers look at each text and vote good, bad or nothing. Votes are counted by
 pattern over the whole table (at most 3 ** 10 patterns), and expectation-maximisation over the
 patterns estimates how often each labeller is right on good and bad texts and the share of good ones.
-The posterior is the label of a bounded sample of texts (``sample``, those of smallest hash) on which a
+The posterior is the label of a bounded sample of texts (about ``sample``, by hash) on which a
 logistic scorer over hashed features is trained; the scorer then scores every whole text.
 
 Defined results
@@ -235,9 +235,9 @@ def classify(docs: DataFrame, sample: int = 2000, threshold: float = 0.5) -> Dat
                 ]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array(good)], ["f", "x", "y"])
 
-    few = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    picked = rows.join(few, "doc_id", "left_semi")
-    found = picked.mapInArrow(examples, "f array<int>, x array<float>, y double").collect()  # `sample` texts
+    share = min(1.0, sample / max(1, sum(r["count"] for r in seen)))
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * share)))
+    found = picked.mapInArrow(examples, "f array<int>, x array<float>, y double").collect()  # about `sample` texts
     w, bias = fit(_order(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
