@@ -96,3 +96,21 @@ def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
         return []
     rows = counts.filter(step >= least).collect()
     return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
+BITS, WORD = 1 << 24, 1 << 15
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``ids`` (doc_id): a bitmap of fixed size (2 MB) is broadcast.
+
+    Rows pass that share a hash with an id, so a join must follow. The bitmap spares that join's shuffle the
+    other rows; past some ten million ids it spares ever fewer, and the join alone decides.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    marks = ids.select(F.floor(place / WORD).alias("_w"), (place % WORD).alias("_p"))
+    maps = F.broadcast(marks.groupBy("_w").agg(F.bitmap_construct_agg("_p").alias("_m")))
+    byte = F.conv(F.hex(F.substring("_m", F.floor(F.col("_p") / 8).cast("int") + F.lit(1), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(_p % 8 as int)) & 1")
+    rows = docs.withColumn("_w", F.floor(place / WORD)).withColumn("_p", place % WORD).join(maps, "_w")
+    return rows.withColumn("_byte", byte).filter(bit == 1).select(*docs.columns)

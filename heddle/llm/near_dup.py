@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, documents, materialise, mix64, utf8
+from heddle.llm.common import byte_chunks, documents, materialise, mix64, utf8, with_ids
 from heddle.llm.components import components
 from heddle.llm.words import GOLD, salted, shingles
 
@@ -101,9 +101,8 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     Only texts of the pairs move; sets are made in the task that compares them.
     """
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = documents(texts).join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    few = materialise(pairs.sparkSession, few, "texts")
+    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    few = with_ids(documents(texts), need)
     left = few.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = few.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(left, "a").select("a", "b", "ta").join(right, "b").select("a", "b", "ta", "tb")
@@ -179,8 +178,8 @@ def compare_blocks(rows: DataFrame, families: DataFrame, texts: DataFrame, words
     spark = rows.sparkSession
     family = rows.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    few = documents(texts).join(rows.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    few = few.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
+    few = with_ids(documents(texts), rows.select(F.col("rep").alias("doc_id")))
+    few = few.select(F.col("doc_id").alias("rep"), "text")
     dealt = materialise(
         spark,
         family.join(blocks, "family")
