@@ -24,8 +24,10 @@ import hashlib
 import heapq
 import json
 import mmap
+import os
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import byte_chunks, documents, materialise, most_frequent
 
 LEXICON_WORDS = 65_536
-CACHE = 150_000
+CACHE = 350_000
 # Fixed value: the word pattern in the vocabulary file's pre-tokenizer.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -70,28 +72,37 @@ class Merges:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
 
-    def symbols(self, word: bytes) -> list[str]:
+        at = self.vocab.get
         table = byte_symbols()
-        out = [table[b] for b in word]
-        out[-1] += self.suffix
-        return out
+        self.first = [at(c, -1) for c in table]  # a byte inside a word
+        self.last = [at(c + self.suffix, -1) for c in table]  # a word's last byte
+        #: (id, id) of a pair, as one number -> its rank, and the id that it becomes
+        self.pair = {at(a) << 20 | at(b): i for (a, b), i in self.rank.items()}
+        self.merged = [at(a + b) for a, b in self.rank]
 
     def word(self, word: bytes) -> list[int]:
         """The ids of a word (bytes of UTF-8)."""
-        parts = self.symbols(word)
-        parts = self._short(parts) if len(parts) <= 48 else self._long(parts)
-        return [self.vocab[p] for p in parts]
-
-    def _short(self, parts: list[str]) -> list[str]:
-        rank, none = self.rank.get, 1 << 60
-        while len(parts) > 1:
-            ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        if len(word) > 48:
+            table = byte_symbols()
+            parts = [table[b] for b in word]
+            parts[-1] += self.suffix
+            return [self.vocab[p] for p in self._long(parts)]
+        first, rank, merged, none = self.first, self.pair.get, self.merged, 1 << 60
+        ids = [first[b] for b in word[:-1]]
+        ids.append(self.last[word[-1]])
+        ranks = [rank(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            new = ids[i] = merged[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(new << 20 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | new, none)
+        return ids
 
     def _long(self, parts: list[str]) -> list[str]:
         n = len(parts)
@@ -289,31 +300,30 @@ class Encoder:
         self.merges, self.lexicon = Merges(vocabulary), Lexicon(image)
         special = sorted(self.merges.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.mark = os.path.commonprefix(special)
         self.seen: dict[str, tuple[bytes, str]] = {}
 
+    def _parts(self, piece: str) -> list[bytes | int]:
+        if self.special and self.mark in piece and self.special.search(piece):
+            ids = self.merges.special
+            parts = [p for p in self.special.split(piece) if p]
+            return [x for p in parts for x in ([ids[p]] if p in ids else words_of(p))]
+        return words_of(piece)
+
     def _learn(self, new: list[str]) -> None:
-        plan: list[list[bytes | int]] = []
-        for piece in new:
-            if self.special and any(s in piece for s in self.merges.special):
-                plan.append(
-                    [
-                        x
-                        for part in self.special.split(piece)
-                        for x in ([self.merges.special[part]] if part in self.merges.special else words_of(part))
-                    ]
-                )
-            else:
-                plan.append(words_of(piece))
-        words = list({w for p in plan for w in p if isinstance(w, bytes)})
-        number = self.lexicon.find(words)
+        plan = list(map(self._parts, new))
+        words = list({w for p in plan for w in p if w.__class__ is bytes})
+        output, merge, text = self.lexicon.output, self.merges.word, self.merges.text
         ids = {
-            w: self.lexicon.output(k).tolist() if k >= 0 else self.merges.word(w)
-            for w, k in zip(words, number.tolist(), strict=True)
+            w: output(k).tolist() if k >= 0 else merge(w)
+            for w, k in zip(words, self.lexicon.find(words).tolist(), strict=True)
         }
-        text = self.merges.text
         for piece, parts in zip(new, plan, strict=True):
-            out = [i for p in parts for i in (ids[p] if isinstance(p, bytes) else [p])]
-            self.seen[piece] = (np.array(out, "<u4").tobytes(), " ".join([text[i] for i in out]))
+            if len(parts) == 1 and parts[0].__class__ is bytes:
+                out = ids[parts[0]]
+            else:
+                out = [i for p in parts for i in (ids[p] if p.__class__ is bytes else (p,))]
+            self.seen[piece] = (array("I", out).tobytes(), " ".join([text[i] for i in out]))
 
     def batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian uint32 bytes, decoded text) of each text."""
@@ -331,6 +341,12 @@ class Encoder:
         return " ".join([self.merges.text[i] for i in ids])
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(vocabulary: str, image: bytes) -> Encoder:
+    """The worker's encoder, kept from task to task with the words that it has met."""
+    return Encoder(vocabulary, image)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every whole text."""
     return _encoded(docs, vocabulary, size, digests=False)
@@ -341,7 +357,7 @@ def _encoded(docs: DataFrame, vocabulary: str, size: int, digests: bool) -> Data
     shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, image)
+        encoder = shared_encoder(vocabulary, image)
         for whole in batches:
             for batch in byte_chunks(whole, "text", 2_000_000):
                 found = encoder.batch(batch["text"].to_pylist())
