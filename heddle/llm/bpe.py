@@ -301,7 +301,8 @@ class Encoder:
         special = sorted(self.merges.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.mark = os.path.commonprefix(special)
-        self.seen: dict[str, tuple[bytes, str]] = {}
+        self.ids: dict[str, bytes] = {}  # of pieces met before
+        self.text: dict[str, str] = {}
 
     def _parts(self, piece: str) -> list[bytes | int]:
         if self.special and self.mark in piece and self.special.search(piece):
@@ -323,18 +324,18 @@ class Encoder:
                 out = ids[parts[0]]
             else:
                 out = [i for p in parts for i in (ids[p] if p.__class__ is bytes else (p,))]
-            self.seen[piece] = (array("I", out).tobytes(), " ".join([text[i] for i in out]))
+            self.ids[piece], self.text[piece] = array("I", out).tobytes(), " ".join([text[i] for i in out])
 
     def batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian uint32 bytes, decoded text) of each text."""
-        if len(self.seen) > CACHE:
-            self.seen.clear()
+        if len(self.ids) > CACHE:
+            self.ids.clear()
+            self.text.clear()
         split = [split_pieces(t) for t in texts]
-        self._learn(list(set().union(*split).difference(self.seen)))
-        get = self.seen.__getitem__
+        self._learn(list(set().union(*split).difference(self.ids)))
+        ids, text = self.ids.__getitem__, self.text.__getitem__
         for pieces in split:
-            found = list(map(get, pieces))
-            yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
+            yield b"".join(map(ids, pieces)), " ".join(filter(None, map(text, pieces)))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode() without a decoder: token texts joined by spaces."""
