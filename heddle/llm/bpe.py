@@ -34,14 +34,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.common import byte_chunks, documents, materialise, most_frequent
 
-LEXICON_WORDS = 65_536
-CACHE = 350_000
+LEXICON_WORDS = 262_144
+CACHE = 800_000
 # Fixed value: the word pattern in the vocabulary file's pre-tokenizer.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -252,9 +253,11 @@ def words_of(piece: str) -> list[bytes]:
     return [w.encode() for w in WORD.findall(piece)]
 
 
-def split_pieces(text: str) -> list[str]:
-    """Pieces of a text at spaces and line ends; no word, mark or special token spans these."""
-    return text.replace("\n", " ").split(" ")
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts, where each text's begin), parted at spaces and line ends, which nothing spans."""
+    lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten(), offsets - offsets[0]
 
 
 def count_words(docs: DataFrame, special: Iterable[str]) -> DataFrame:
@@ -277,7 +280,7 @@ def count_words(docs: DataFrame, special: Iterable[str]) -> DataFrame:
 
         for batch in batches:
             for text in batch["text"]:
-                seen.update(split_pieces(text.as_py()))
+                seen.update(text.as_py().replace("\n", " ").split(" "))
                 if len(seen) > 400_000:
                     yield flush()
         yield flush()
@@ -326,16 +329,25 @@ class Encoder:
                 out = [i for p in parts for i in (ids[p] if p.__class__ is bytes else (p,))]
             self.ids[piece], self.text[piece] = array("I", out).tobytes(), " ".join([text[i] for i in out])
 
-    def batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian uint32 bytes, decoded text) of each text."""
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(ids of all texts as little-endian uint32, where each text's begin, decoded texts)."""
         if len(self.ids) > CACHE:
             self.ids.clear()
             self.text.clear()
-        split = [split_pieces(t) for t in texts]
-        self._learn(list(set().union(*split).difference(self.ids)))
-        ids, text = self.ids.__getitem__, self.text.__getitem__
-        for pieces in split:
-            yield b"".join(map(ids, pieces)), " ".join(filter(None, map(text, pieces)))
+        lists, offsets = split_texts(texts)
+        coded = lists.dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(list(set(pieces).difference(self.ids)))
+        parts = list(map(self.ids.__getitem__, pieces))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, begin = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])]
+        some = np.flatnonzero(n)  # pieces without ids leave no space behind
+        words = pa.array(list(map(self.text.__getitem__, pieces)), pa.large_string()).take(pa.array(at[some]))
+        rows = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(some, offsets), pa.int64()), words)
+        return ids, ends[offsets], pc.binary_join(rows, pa.scalar(" ", pa.large_string()))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode() without a decoder: token texts joined by spaces."""
@@ -361,18 +373,18 @@ def _encoded(docs: DataFrame, vocabulary: str, size: int, digests: bool) -> Data
         encoder = shared_encoder(vocabulary, image)
         for whole in batches:
             for batch in byte_chunks(whole, "text", 2_000_000):
-                found = encoder.batch(batch["text"].to_pylist())
+                ids, at, decoded = encoder.batch(batch["text"])
                 if digests:
-                    rows = [
-                        (len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d.encode()).hexdigest())
-                        for i, d in found
+                    parts = [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+                    cols = [
+                        pa.array(np.diff(at), pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()),
+                        pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string()),
                     ]
-                    types = (pa.int64(), pa.string(), pa.string())
                     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    rows = [(np.frombuffer(i, "<u4").astype(np.int32), d) for i, d in found]
-                    types, names = (pa.list_(pa.int32()), pa.string()), ["doc_id", "ids", "decoded"]
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+                    cols, names = [lists, decoded.cast(pa.string())], ["doc_id", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *cols], names)
 
     return documents(docs).mapInArrow(run, f"doc_id long, {shape}")
