@@ -305,7 +305,8 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.mark = os.path.commonprefix(special)
         self.ids: dict[str, bytes] = {}  # of pieces met before
-        self.text: dict[str, str] = {}
+        names = self.merges.text
+        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.large_string())
 
     def _parts(self, piece: str) -> list[bytes | int]:
         if self.special and self.mark in piece and self.special.search(piece):
@@ -317,7 +318,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         plan = list(map(self._parts, new))
         words = list({w for p in plan for w in p if w.__class__ is bytes})
-        output, merge, text = self.lexicon.output, self.merges.word, self.merges.text
+        output, merge = self.lexicon.output, self.merges.word
         ids = {
             w: output(k).tolist() if k >= 0 else merge(w)
             for w, k in zip(words, self.lexicon.find(words).tolist(), strict=True)
@@ -327,13 +328,12 @@ class Encoder:
                 out = ids[parts[0]]
             else:
                 out = [i for p in parts for i in (ids[p] if p.__class__ is bytes else (p,))]
-            self.ids[piece], self.text[piece] = array("I", out).tobytes(), " ".join([text[i] for i in out])
+            self.ids[piece] = array("I", out).tobytes()
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """(ids of all texts as little-endian uint32, where each text's begin, decoded texts)."""
         if len(self.ids) > CACHE:
             self.ids.clear()
-            self.text.clear()
         lists, offsets = split_texts(texts)
         coded = lists.dictionary_encode()
         pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -344,10 +344,9 @@ class Encoder:
         n = size[at]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = pool[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])]
-        some = np.flatnonzero(n)  # pieces without ids leave no space behind
-        words = pa.array(list(map(self.text.__getitem__, pieces)), pa.large_string()).take(pa.array(at[some]))
-        rows = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(some, offsets), pa.int64()), words)
-        return ids, ends[offsets], pc.binary_join(rows, pa.scalar(" ", pa.large_string()))
+        bounds = ends[offsets]
+        rows = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), self.names.take(pa.array(ids)))
+        return ids, bounds, pc.binary_join(rows, pa.scalar(" ", pa.large_string()))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode() without a decoder: token texts joined by spaces."""
