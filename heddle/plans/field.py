@@ -25,6 +25,8 @@ RESULT_URLS = [
     "//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.org%2Fx%3Fy%3D1&rut=1", "https://a.org/", "https://duckduckgo.com/y.js?ad=1",
     "https://www.bing.com/aclick?x", "//x/?uddg=a%20b+c", "https://B.example/Ads/1",
 ]
+#: A label, an answer that takes most of it up, and one that does not.
+TURNS = ["Library opening hours this weekend", "The library keeps its weekend opening short.", "Different subject entirely, sorry."]
 SEARCHES = ["weather today", "c++ & c#", "räksmörgås", "a~b*c_d-e.f", ""]
 TOP = 50
 
@@ -104,7 +106,8 @@ def _words(rows: DataFrame) -> DataFrame:
 def implicit_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Turns whose words the next turn takes up: two or more, and over 0.4 of them (0.6 of fewer than five)."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    turns = turns.filter(F.octet_length("text") >= 10)
+    planted = spark.range(1).select(F.lit(-1).cast("long"), F.posexplode(F.array(*map(F.lit, TURNS))))
+    turns = turns.unionAll(planted).filter(F.octet_length("text") >= 10)
     label = _words(turns).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
     answer = _words(turns.withColumn("turn", F.col("turn") - 1)).distinct().withColumn("hit", F.lit(True))
     found = label.join(answer, ["conv_id", "turn", "word"], "left").groupBy("conv_id", "turn")
@@ -222,8 +225,9 @@ s AS (SELECT user_id, event_id, event_type, round(value * CASE WHEN
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) >= 4
     AND count(*) OVER (PARTITION BY user_id, event_type) >= 5 THEN 0.85::DOUBLE ELSE 1 END, 4) AS score FROM t)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank, event_id, event_type, score FROM s""",
-    "implicit_feedback": """
-WITH t AS (SELECT conv_id, turn, lower(text) AS text FROM conversations WHERE strlen(text) >= 10),
+    "implicit_feedback": f"""
+WITH t AS (SELECT conv_id, turn, lower(text) AS text FROM (SELECT conv_id, turn, text FROM conversations
+  UNION ALL SELECT -1, unnest(range({len(TURNS)})), unnest({listed(TURNS)})) WHERE strlen(text) >= 10),
 w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: strlen(w) > 3)) AS word FROM t),
 s AS (SELECT conv_id, turn, count(*) AS words, count(*) FILTER (WHERE EXISTS (
   SELECT 1 FROM w a WHERE a.conv_id = w.conv_id AND a.turn = w.turn + 1 AND a.word = w.word)) AS overlap FROM w GROUP BY 1, 2)

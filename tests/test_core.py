@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import text, urls
-from heddle.plans import registry
+from heddle.plans import pages, registry
 from heddle.sources import html_dom
 from heddle.streaming import collab
 from tests.conftest import SF
@@ -94,6 +94,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_plan_of_a_goal(spark):
+    rows: dict = {}
+    for r in pages.plan_steps(spark, SF).collect():
+        rows.setdefault(r["goal"], {})[r["step"]] = r
+    assert set(rows) == set(pages.GOALS)
+    assert [rows["skapa ett konto"][i]["level"] for i in range(6)] == [0, 1, 1, 1, 2, 3]
+    assert [rows["overview of the site"][i]["status"] for i in range(4)] == ["ready", "pending", "pending", "pending"]
+    assert rows["zzz"][0]["description"].endswith("'zzz'") and rows["zzz"][0]["plan_cost"] == 0.8
+    assert len(rows["buy a blue shirt"]) == 7 and rows["read the news"][1]["level"] == 1
+
+
 def test_works_without_the_llm_folder():
     """The core imports nothing of the subpackage that may be removed."""
     import subprocess
