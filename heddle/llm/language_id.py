@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, crc_mod, utf8
+from heddle.llm.common import byte_chunks, crc_mod, utf8, with_ids
 
 STEP = 128
 WIDTHS = (2, 3, 4)
@@ -178,7 +178,7 @@ def sample_windows(docs: DataFrame, per_lang: int, windows: int) -> tuple[np.nda
                 ["lang", "bytes"],
             )
 
-    picked = rows.select("doc_id", "lang", "text").join(few, "doc_id", "left_semi")
+    picked = with_ids(rows.select("doc_id", "lang", "text"), few).join(few, "doc_id", "left_semi")
     found = picked.select("doc_id", "lang", "text").mapInArrow(cut, "lang string, bytes binary").collect()
     found = sorted((r["lang"], bytes(r["bytes"])) for r in found)
     langs = sorted({a for a, _ in found})
