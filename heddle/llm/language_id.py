@@ -178,7 +178,7 @@ def sample_windows(docs: DataFrame, per_lang: int, windows: int) -> tuple[np.nda
                 ["lang", "bytes"],
             )
 
-    picked = with_ids(rows.select("doc_id", "lang", "text"), few).join(few, "doc_id", "left_semi")
+    picked = with_ids(rows.select("doc_id", "lang", "text"), few).join(few, "doc_id")  # a semi-join would be moved below the bitmap
     found = picked.select("doc_id", "lang", "text").mapInArrow(cut, "lang string, bytes binary").collect()
     found = sorted((r["lang"], bytes(r["bytes"])) for r in found)
     langs = sorted({a for a, _ in found})
