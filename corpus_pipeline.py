@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of ``documents``.
+
+Language ID, line dedup and PII give one row for each row they keep: the other columns travel along, and
+nothing is joined by doc_id. A repeated row stays repeated, and line dedup counts each copy as a document.
+Near-dedup takes doc_id as a document's name, so equal rows stay or go together; rows without a doc_id
+are named by their text, after all others, so that of a group with a doc_id none of them stays.
 """
 
 from __future__ import annotations
@@ -17,40 +22,40 @@ from heddle.llm.packing import pack_vocabulary
 from heddle.llm.pii import find_pii
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows without a doc_id get names from here on, by their text.
+NAMELESS = 1 << 62
 #: No SQL expresses the learned stages; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``docs`` with the text of ``texts`` (doc_id, text) and its length."""
-    return (
-        docs.drop("text", "n_chars")
-        .join(texts.select("doc_id", "text"), "doc_id")
-        .withColumn("n_chars", F.length("text").cast("long"))
-        .select(*COLUMNS)
-    )
+def _measured(texts: DataFrame) -> DataFrame:
+    """The columns of ``documents``, with the length of the text as it is now."""
+    return texts.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language go (null, empty or letterless); lang becomes the predicted one."""
-    found = identify(docs, learn(docs)).filter("lang_pred <> 'und'").select("doc_id", "lang_pred")
-    return docs.join(found, "doc_id").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = identify(docs, learn(docs), "text", "source", "n_chars").filter("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; a text all of whose lines went stays, empty."""
-    return _with_text(docs, line_dedup(docs))
+    return _measured(line_dedup(docs, more=("lang", "source")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, 0.8): the smallest doc_id."""
-    kept = near_groups(docs, words=5).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    by_text = F.xxhash64("text").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    groups = near_groups(named.select(F.col("_id").alias("doc_id"), "text"), words=5)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    return named.join(kept, "_id", "left_semi").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes its kind in brackets."""
-    return _with_text(docs, find_pii(docs).select("doc_id", F.col("redacted").alias("text")))
+    return _measured(find_pii(docs, "lang", "source").withColumn("text", F.col("redacted")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

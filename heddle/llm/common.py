@@ -41,6 +41,12 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def typed(df: DataFrame, names: tuple[str, ...]) -> list[tuple[str, str]]:
+    """The columns asked for with their types, as a result that carries them names them."""
+    kinds = dict(df.dtypes)
+    return [(name, kinds[name]) for name in names]
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

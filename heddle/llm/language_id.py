@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, crc_mod, utf8, with_ids
+from heddle.llm.common import byte_chunks, crc_mod, typed, utf8, with_ids
 
 STEP = 128
 WIDTHS = (2, 3, 4)
@@ -193,8 +193,8 @@ def learn(docs: DataFrame, per_lang: int = 400, windows: int = 4) -> Network | N
     return train(rows, labels, langs) if langs else None
 
 
-def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row's whole text."""
+def identify(docs: DataFrame, net: Network | None, *more: str) -> DataFrame:
+    """(doc_id, lang_pred, score) of each row's whole text, and the further columns asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net else None
@@ -211,11 +211,13 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                     pred[known] = np.array(net.langs, object)[best[known]]
                     score[known] = q[np.arange(len(best)), best][known]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
+                    [batch["doc_id"], pa.array(pred, pa.string()), pa.array(score), *(batch[f"more_{c}"] for c in more)],
+                    ["doc_id", "lang_pred", "score", *more],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"more_{c}") for c in more))
+    kinds = "".join(f", {c} {k}" for c, k in typed(docs, more))
+    return rows.mapInArrow(run, f"doc_id long, lang_pred string, score double{kinds}")
 
 
 def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

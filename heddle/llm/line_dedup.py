@@ -99,28 +99,29 @@ class LineRuns:
             level += 1
 
 
-def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> DataFrame:
+def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): ``docs`` without the lines whose key hash is in ``frequent``.
 
-    Only hashes are shuffled to find each row's frequent keys; rows that have none never move. The
+    The columns ``more`` of ``docs`` come last. Only hashes are shuffled to find each row's frequent keys; rows that have none never move. The
     frequent keys are joined by a broadcast below Spark's own size threshold and by sort-merge beyond.
     """
-    rows = documents(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = documents(docs, *more).withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(0)))  # a null doc_id joins too; the row's hash tells it from 0
     lines = rows.select(
-        "doc_id",
+        "_id",
         "_row",
         F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), line_key))).alias("_key"),
     ).filter(F.length("_key") >= min_chars)
     hit = (
-        lines.select("doc_id", "_row", key_hash(F.col("_key")).alias("k"))
-        .select("doc_id", "_row", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
+        lines.select("_id", "_row", key_hash(F.col("_key")).alias("k"))
+        .select("_id", "_row", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
         .join(frequent.select(*KEY), KEY)
-        .groupBy("doc_id", "_row")
+        .groupBy("_id", "_row")
         .agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
     )
     split = F.split("text", "\n", -1)
     none = F.array().cast("array<struct<h1:bigint,h2:bigint>>")
-    joined = rows.join(hit, ["doc_id", "_row"], "left").withColumn("_drop", F.coalesce("_drop", none))
+    joined = rows.join(hit, ["_id", "_row"], "left").withColumn("_drop", F.coalesce("_drop", none))
     kept = F.when(
         F.size("_drop") > 0,
         F.filter(
@@ -128,23 +129,27 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> Data
             lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("_drop"), key_hash(line_key(x))),
         ),
     ).otherwise(split)
-    return joined.select("doc_id", F.size(split).cast("long").alias("n_lines"), kept.alias("_kept")).select(
+    return joined.select("doc_id", F.size(split).cast("long").alias("n_lines"), kept.alias("_kept"), *more).select(
         "doc_id",
         "n_lines",
         (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
         F.array_join("_kept", "\n").alias("text"),
+        *more,
     )
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, more: tuple[str, ...] = ()
+) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) without the lines whose key is in ``min_docs`` documents or more.
 
+    The columns ``more`` of ``docs`` come last.
     ``docs`` goes into the runs in ``batches`` parts, by a hash of doc_id; the result does not depend on it.
     """
     runs = LineRuns(docs.sparkSession, fanout=max(2, batches))
     for i in range(batches):
         runs.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), min_chars)
-    return drop_lines(docs, runs.totals().filter(F.col("docs") >= min_docs), min_chars)
+    return drop_lines(docs, runs.totals().filter(F.col("docs") >= min_docs), min_chars, more)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

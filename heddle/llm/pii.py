@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm.common import byte_chunks, documents
+from heddle.llm.common import byte_chunks, documents, typed
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -333,21 +333,22 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added, redacted) of each whole text.
 
     The counts and base_sha256 are of the grammars' spans; spans lists all, added counts the field's.
+    The further columns asked for come last.
     """
     field = trained()
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "added", "redacted"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "added", "redacted", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_chunks(whole, "text", 4_000_000):
                 texts = batch["text"].to_pylist()
                 base = [base_spans(t) if SEED.search(t) else [] for t in texts]
-                more = field_spans(texts, base, field)
-                both = [sorted(a + b) if b else a for a, b in zip(base, more, strict=True)]
+                added = field_spans(texts, base, field)
+                both = [sorted(a + b) if b else a for a, b in zip(base, added, strict=True)]
                 count = np.array([np.bincount([k for _, k, _ in s], minlength=4) for s in base]).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -355,15 +356,17 @@ def find_pii(docs: DataFrame) -> DataFrame:
                         *(pa.array(count[:, k], pa.int64()) for k in range(4)),
                         pa.array([hashlib.sha256(join_spans(s).encode()).hexdigest() for s in base], pa.string()),
                         pa.array(list(map(join_spans, both)), pa.string()),
-                        pa.array([len(m) for m in more], pa.int64()),
+                        pa.array([len(m) for m in added], pa.int64()),
                         pa.array(list(map(redact, texts, both)), pa.string()),
+                        *(batch[c] for c in more),
                     ],
                     names,
                 )
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    shape_ = f"doc_id long, {counts}, base_sha256 string, spans string, added long, redacted string"
-    return documents(docs).mapInArrow(run, shape_)
+    kinds = "".join(f", {c} {k}" for c, k in typed(docs, more))
+    shape_ = f"doc_id long, {counts}, base_sha256 string, spans string, added long, redacted string{kinds}"
+    return documents(docs, *more).mapInArrow(run, shape_)
 
 
 def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
