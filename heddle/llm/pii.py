@@ -2,8 +2,8 @@
 
 The grammars (email, ip, card, phone) are matched exactly on the whole text, in time linear in its
 length. The field adds spans that they miss: numbers in national formats, spelled-out addresses. It
-labels the tokens around every digit, ``@``, bracketed "at" or spelled-out "dot com" of a text (no span of the four kinds is
-without one) with B/I tags by Viterbi in padded numpy batches. Its weights, over word-shape features
+labels the tokens around every digit, ``@``, bracketed "at", and spelled-out "at" before a dotted or spelled-out
+domain, in any case and with any ending (no form of the labelled table is without one), with B/I tags by Viterbi in padded numpy batches. Its weights, over word-shape features
 of the token and of two neighbours at either side, are trained by gradient steps on the conditional
 likelihood of a small labelled table that a rule makes. A decoded span stays if it passes its
 kind's digit or part count and touches no span of the grammars.
@@ -11,7 +11,8 @@ kind's digit or part count and touches no span of the grammars.
 Defined results
 ---------------
 * null or empty text: no spans; counts 0, empty span lists.
-* very long texts: whole; windows of tokens are decoded in batches of bounded size.
+* very long texts: whole; long stretches of tokens are decoded in overlapping blocks. A span belongs to the block
+  in whose middle it starts; one that reaches a block's end has its whole stretch decoded in one pass.
 * spans are ordered by start, then email, ip, card, phone; ties within a kind do not occur.
 * repeated rows get one result row each; an empty table gives an empty result; further columns are ignored.
 """
@@ -37,7 +38,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SEED = re.compile(r"[0-9@]|[\[(]at[\])]| dot (?:com|org|net)\b")
+SEED = re.compile(r"[0-9@]|(?i:[\[(]at[\])]|\bat\s+[\w-]+(?:\.|\s+dot\s+)\w)")
+#: Tokens of a block, and those at its either end that only give context.
+LONGEST, MARGIN = 400, 64
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -264,7 +267,7 @@ def trained() -> Field:
 
 
 def windows(text: str, reach: int = 48) -> list[tuple[int, int]]:
-    """Stretches of text around the seeds, ended at white space where that is near."""
+    """Stretches of text around the seeds, widened to white space."""
     out: list[list[int]] = []
     for m in SEED.finditer(text):
         a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
@@ -272,51 +275,88 @@ def windows(text: str, reach: int = 48) -> list[tuple[int, int]]:
             out[-1][1] = b
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    wide: list[tuple[int, int]] = []
+    for i, (a, b) in enumerate(out):
+        floor, roof = wide[-1][1] if wide else 0, out[i + 1][0] if i + 1 < len(out) else len(text)
+        while a > floor and not text[a - 1].isspace():
+            a -= 1
+        while b < roof and not text[b].isspace():
+            b += 1
+        if wide and a == floor:
+            wide[-1] = (wide[-1][0], b)
+        else:
+            wide.append((a, b))
+    return wide
 
 
 def plausible(kind: int, text: str) -> bool:
     """Whether a decoded span has its kind's parts."""
     d = digits_of(text)
     if kind == 0:
-        return bool(re.fullmatch(r"\S+\s*(?:@|\bat\b|\(at\)|\[at\])\s*[\w-]+(?:\s*(?:\.|\bdot\b)\s*[\w-]+)+", text))
+        return bool(re.fullmatch(r"(?i)\S+\s*(?:@|\bat\b|\(at\)|\[at\])\s*[\w-]+(?:\s*(?:\.|\bdot\b)\s*[\w-]+)+", text))
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     return 14 <= len(d) <= 19 and luhn(d) if kind == 2 else 10 <= len(d) <= 15
 
 
+def blocks(n: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last) over n tokens: blocks with overlap, and the middle of each; middles cover all."""
+    if n <= LONGEST:
+        return [(0, n, 0, n)]
+    step = LONGEST - 2 * MARGIN
+    return [(max(0, k - MARGIN), min(n, k + step + MARGIN), k, min(n, k + step)) for k in range(0, n, step)]
+
+
 def field_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[list[Span]]:
     """The further spans of each text: Viterbi over its windows, batched by length."""
+    whole = [(i, [m.span() for m in TOKEN.finditer(text, a, b)]) for i, text in enumerate(texts) for a, b in windows(text)]
+    todo = [(w, *block) for w, (_, tokens) in enumerate(whole) for block in blocks(len(tokens))]
+    tagged: list[list[tuple[int, int, int]]] = [[] for _ in whole]  # first token, kind, end
+    again: set[int] = set()
+    decode(texts, whole, todo, field, tagged, again)
+    for w in again:
+        tagged[w] = []
+    for w in again:  # one at a time: such a stretch may be long
+        n = len(whole[w][1])
+        decode(texts, whole, [(w, 0, n, 0, n)], field, tagged, set())
     found: list[list[Span]] = [[] for _ in texts]
-    parts: list[tuple[int, list[tuple[int, int]]]] = []
-    for i, text in enumerate(texts):
-        for a, b in windows(text):
-            tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
-            parts += [(i, tokens[k : k + 400]) for k in range(0, len(tokens), 400)]
-    parts.sort(key=lambda p: len(p[1]))
-    for at in range(0, len(parts), 256):
-        some = parts[at : at + 256]
-        size = np.array([len(p) for _, p in some])
+    for (i, tokens), spans in zip(whole, tagged, strict=True):
+        past = 0
+        for k, kind, stop in sorted(spans):
+            a, b = tokens[k][0], tokens[stop - 1][1]
+            if k >= past and plausible(kind, texts[i][a:b]) and not any(s[0] < b and a < s[2] for s in base[i]):
+                found[i].append((a, kind, b))
+            past = max(past, stop)
+    return found
+
+
+def decode(texts: list[str], whole: list, todo: list, field: Field, tagged: list, again: set[int]) -> None:
+    """Adds each block's spans to ``tagged``; stretches with a span that may go on beyond its block come into ``again``."""
+    todo.sort(key=lambda p: p[2] - p[1])
+    for at in range(0, len(todo), 256):
+        some = todo[at : at + 256]
+        size = np.array([end - start for _, start, end, _, _ in some])
         feats = np.zeros((len(some), int(size.max(initial=1))), np.int64)
-        for row, (i, tokens) in enumerate(some):
-            feats[row, : len(tokens)] = [field.number.get(shape(texts[i], *s), 0) for s in tokens]
+        for row, (w, start, end, _, _) in enumerate(some):
+            i, tokens = whole[w]
+            feats[row, : end - start] = [field.number.get(shape(texts[i], *s), 0) for s in tokens[start:end]]
         path = viterbi(field.emit(feats), size, field.move, field.start)
-        for row, (i, tokens) in enumerate(some):
+        for row, (w, start, end, first, last) in enumerate(some):
             k = 0
-            while k < len(tokens):
+            while k < end - start:
                 tag = int(path[row, k])
                 if tag == 0:
                     k += 1
                     continue
                 kind, stop = (tag - 1) // 2, k + 1
-                while stop < len(tokens) and path[row, stop] == 2 + 2 * kind:
+                while stop < end - start and path[row, stop] == 2 + 2 * kind:
                     stop += 1
-                a, b = tokens[k][0], tokens[stop - 1][1]
-                if plausible(kind, texts[i][a:b]) and not any(s[0] < b and a < s[2] for s in base[i]):
-                    found[i].append((a, kind, b))
+                if first <= start + k < last:
+                    tagged[w].append((start + k, kind, start + stop))
+                    if start + stop == end < len(whole[w][1]):
+                        again.add(w)
                 k = stop
-    return found
 
 
 def join_spans(spans: list[Span]) -> str:
