@@ -2,8 +2,9 @@
 
 The tree is fitted on a bounded sample (about ``sample`` distinct vectors, by hash); its leaves
 grow in number with the table up to that bound. Every vector is indexed: it descends to its leaf.
-Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2). A
-query walks the tree through a priority queue of bins by distance; the number of leaves it opens is
+Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2), with M the
+largest norm of all vectors in the tree. The longest vectors of the table (at most ``TAIL``) are not in
+the tree: every query is compared with all of them. A query walks the tree through a priority queue of bins by distance; the number of leaves it opens is
 widened, doubling, until calibration queries reach the asked recall against brute force over the
 sample. Each query also carries the k-th best score among the sample's vectors in those leaves, a lower
 bound: a leaf returns only what reaches it, so few candidate rows leave a task.
@@ -35,6 +36,7 @@ from heddle.llm.common import materialise
 
 SAMPLE = 32_768
 LEAF = 512
+TAIL = 1024
 BRANCH = 8
 
 
@@ -48,7 +50,7 @@ class Tree:
     scale: float
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        """Vectors with the coordinate that turns inner products into distances (0 beyond the scale)."""
+        """Vectors with the coordinate that turns inner products into distances."""
         rest = np.sqrt(np.maximum(self.scale**2 - (x * x).sum(axis=1), 0))
         return np.concatenate([x, rest[:, None]], axis=1)
 
@@ -101,9 +103,8 @@ def _split(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndar
     return centre, group
 
 
-def grow(x: np.ndarray, leaf_rows: int, seed: int = 3) -> Tree:
+def grow(x: np.ndarray, leaf_rows: int, scale: float, seed: int = 3) -> Tree:
     """The tree of the sample, split until a leaf holds ``leaf_rows`` of it or cannot be split."""
-    scale = float(np.sqrt((x * x).sum(axis=1).max(initial=0.0)))
     tree, rng = Tree([[]], [np.zeros((0, x.shape[1] + 1))], 1, scale), np.random.default_rng(seed)
     if len(x) <= leaf_rows:
         return tree
@@ -155,6 +156,43 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def norm_step(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The squared norm of each vector, and its step on a fine logarithmic scale."""
+    square = (x * x).sum(axis=1)
+    return square, np.floor(np.log2(np.maximum(square, 1e-300)) * 32).astype(np.int64)
+
+
+def longest(classes: DataFrame, most: int) -> tuple[list, int | None, float]:
+    """The rows of the longest vectors, whole steps of norm and at most ``most`` rows; the least step; the norm of the rest."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                square, step = norm_step(matrix(b["embedding"]))
+                steps, at = np.unique(step, return_inverse=True)
+                top = np.zeros(len(steps))
+                np.maximum.at(top, at, square)
+                yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(np.bincount(at)), pa.array(top)], ["step", "n", "top"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(norm_step(matrix(b["embedding"]))[1] >= least))
+
+    steps = classes.select("embedding").mapInArrow(count, "step long, n long, top double")
+    steps = steps.groupBy("step").agg(F.sum("n").alias("n"), F.max("top").alias("top")).collect()
+    left, least, scale = most, None, 0.0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        if r["n"] > left:
+            scale = float(np.sqrt(r["top"]))
+            break
+        left, least = left - r["n"], r["step"]
+    if least is None:
+        return [], None, scale
+    few = classes.select("rep", "embedding")
+    return few.mapInArrow(pick, few.schema).collect(), least, scale
+
+
 def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of the rows where ``queries`` holds."""
     spark = vectors.sparkSession
@@ -173,9 +211,15 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
     total = classes.count()
     share = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(1, total))))
     few = classes.filter(share).select("rep", "embedding").collect()  # the bounded sample: about `sample` vectors
-    x = np.array([r["embedding"] for r in sorted(few, key=lambda r: r["rep"])], np.float64)
+    far, least, scale = longest(classes, min(TAIL, total // 16))
+    far = sorted(far, key=lambda r: r["rep"])
+    far_rep = np.array([r["rep"] for r in far], np.int64)
+    far_x = np.array([r["embedding"] for r in far], np.float64).reshape(-1, sizes[0]["d"])
+    x = np.array([r["embedding"] for r in sorted(few, key=lambda r: r["rep"])], np.float64).reshape(-1, sizes[0]["d"])
+    if least is not None:
+        x = x[norm_step(x)[1] < least]
     wanted = max(1, min(total // LEAF, len(x) // 4))  # leaves follow the table up to the sample's bound
-    tree = grow(x, max(4, len(x) // wanted))
+    tree = grow(x, max(4, len(x) // wanted), scale)
     opened = calibrate(tree, x, k, recall)
     at_leaf = tree.leaf_of(x)
     held = np.bincount(at_leaf, minlength=tree.leaves)
@@ -183,6 +227,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if b.num_rows and least is not None:
+                b = b.filter(pa.array(norm_step(matrix(b["embedding"]))[1] < least))
             if b.num_rows:
                 leaf = pa.array(tree.leaf_of(matrix(b["embedding"])), pa.int64())
                 yield pa.RecordBatch.from_arrays([leaf, b["rep"], b["embedding"]], ["leaf", "rep", "embedding"])
@@ -199,7 +245,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
                 bound = np.full(len(q), -np.inf)
                 for i, leaves in enumerate(visits):
                     # the (k + 1)-th best of the sample in the opened leaves, the query's own class included
-                    have = x[np.concatenate([members[leaf] for leaf in leaves])] @ q[i]
+                    have = np.concatenate([x[np.concatenate([members[leaf] for leaf in leaves])] @ q[i], far_x @ q[i]])
                     if len(have) > k:
                         bound[i] = np.partition(have, -k - 1)[-k - 1]
                 row = np.repeat(np.arange(len(q)), n)
@@ -235,6 +281,23 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
     found = (
         routed.groupBy("leaf").cogroup(indexed.groupBy("leaf")).applyInPandas(search, "query long, rep long, score double")
     )
+
+    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                q = matrix(b["embedding"])
+                s = q @ far_x.T
+                cut = min(k + 1, s.shape[1])
+                kth = np.partition(s, s.shape[1] - cut, axis=1)[:, s.shape[1] - cut]
+                i, j = np.nonzero(s >= kth[:, None] - 1e-9)
+                score = np.einsum("nd,nd->n", q[i], far_x[j])
+                yield pa.RecordBatch.from_arrays(
+                    [b["rep"].take(pa.array(i)), pa.array(far_rep[j]), pa.array(score)], ["query", "rep", "score"]
+                )
+
+    if len(far):
+        found = found.unionAll(asked.mapInArrow(tail, "query long, rep long, score double"))
     near = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     found = found.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k + 1).drop("_r")
 
