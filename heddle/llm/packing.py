@@ -5,8 +5,8 @@ checksum of their ids.
 
 Packing: the pieces' length histogram (at most ``capacity`` rows) is all that reaches the driver. The
 configuration LP (columns: multisets of lengths that fit a sequence) is solved by multiplicative
-weights; an unbounded-knapsack dynamic program prices the columns. The fractional solution is
-rounded down and the rest is filled by the same best-fit configurations in bulk. Pieces then get
+weights to a bound that its dual prices prove; an unbounded-knapsack dynamic program prices the columns.
+The fractional solution is rounded, the residue solved again, and its rest filled by best fit in bulk. Pieces then get
 their places by rank within their length: counts per hash bucket, a running sum over buckets and a
 row number within bucket and length, so that no length is ever gathered into one task.
 
@@ -25,6 +25,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -107,61 +108,90 @@ def pieces(
 # --- the configuration LP ---------------------------------------------------------------------
 
 
-def price(values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths with the largest value that fits (unbounded knapsack); values[l] < 0: not for use."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    lengths = np.flatnonzero(values > 0)
-    worth = values[lengths]
-    for c in range(1, capacity + 1):
-        m = int(np.searchsorted(lengths, c, "right"))
-        best[c] = best[c - 1]
-        if m:
-            got = best[c - lengths[:m]] + worth[:m]
-            k = int(got.argmax())
-            if got[k] > best[c]:
-                best[c], pick[c] = got[k], lengths[k]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c] == 0:
-            c -= 1
-        else:
-            out[int(pick[c])] = out.get(int(pick[c]), 0) + 1
-            c -= int(pick[c])
+def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """(best value for each room, the length to place next in it or 0); a length with values[l] <= 0 is not for use."""
+    worth = np.full(capacity + 1, -1.0)
+    worth[: len(values)] = np.where(values > 0, values, -1.0)
+    best, pick = np.zeros(capacity + 1), [0] * (capacity + 1)
+    for room in range(1, capacity + 1):
+        got = worth[1 : room + 1] + best[room - 1 :: -1] if room > 1 else worth[1:2]
+        k = int(got.argmax())
+        best[room] = best[room - 1]
+        if got[k] > best[room]:
+            best[room], pick[room] = got[k], k + 1
+    return best, pick
+
+
+def traced(pick: list[int], room: int, first: int = 0) -> dict[int, int]:
+    """The multiset of lengths that the dynamic program chose for ``room``, with ``first`` placed before."""
+    out = {first: 1} if first else {}
+    while room > 0:
+        k = pick[room]
+        if k:
+            out[k] = out.get(k, 0) + 1
+        room -= k or 1
     return out
 
 
-def solve(count: np.ndarray, capacity: int, rounds: int, bias: float = 1.5, eta: float = 0.1) -> list[tuple[dict[int, int], float]]:
-    """Fractional configurations by multiplicative weights on the covering constraints.
+def price(values: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths with the largest value that fits (unbounded knapsack)."""
+    return traced(knapsack(values, capacity)[1], capacity)
+
+
+@dataclass
+class Step:
+    """How finely the weights move: ``eta`` a covered share, ``alpha`` of a length's pieces at most in a round, ``width``
+    columns a round, those worth at least 1 - ``slack`` of the best, ``rounds`` at most."""
+
+    eta: float
+    alpha: float
+    width: int
+    slack: float
+    rounds: int
 
-    Each round prices the configuration of largest dual value and gives it an equal share of the
-    lower bound on sequences, less where a member is scarcer than that; the weights of the lengths
-    that it covers fall by the share of their pieces it used. Weights start as length ** bias: over
-    1, so that among full configurations those of few long pieces, the hard ones to place, go first.
+
+COARSE, FINE = Step(3, 0.1, 2000, 0.01, 100), Step(3, 0.01, 400, 0.0, 400)
+Column = tuple[tuple[int, int], ...]  # (length, number) pairs
+
+
+def solve(count: np.ndarray, capacity: int, by: Step) -> tuple[dict[Column, float], float]:
+    """(fractional configurations, lower bound) of the covering LP, by multiplicative weights.
+
+    A length's weight is its share of a sequence, times exp(-eta * the share of its pieces covered so
+    far). The knapsack program prices, for each length, the best configuration that holds it; those near the
+    best of all get an equal part of the scarcest length in them. A covered length leaves. Any weights
+    w give the bound sum(w * count) / (value of the best configuration); the largest is returned.
     """
-    lengths = np.arange(len(count))
-    share = max(1.0, float((lengths * count).sum()) / capacity / rounds)
-    left = count.astype(float)
-    dual = np.where(left >= 1, (lengths / capacity) ** bias, -1.0)
-    x: dict[tuple, float] = {}
-    for _ in range(rounds):
-        column = price(dual, capacity)
-        if not column:
+    n = count.astype(float)
+    left, alive = n.copy(), n > 0
+    share_of = np.arange(len(n)) / capacity
+    bound = float((share_of * n).sum())
+    x: dict[Column, float] = {}
+    for turn in range(by.rounds):
+        if not alive.any():
             break
-        step = min(share, *(max(left[k] / n, 1.0 if n == 1 else 0.0) for k, n in column.items()))
-        if step <= 0:  # it asks for more of a length than is left: that length waits for the rounding
-            for k, n in column.items():
-                if left[k] < n:
-                    dual[k] = -1.0
-            continue
-        key = tuple(sorted(column.items()))
-        x[key] = x.get(key, 0.0) + step
-        for k, n in column.items():
-            left[k] -= n * step
-            dual[k] *= np.exp(-eta * (k / capacity) * min(1.0, n * step / count[k])) if left[k] >= 1 else 0.0
-            if left[k] < 1:
-                dual[k] = -1.0
-    return [(dict(k), v) for k, v in x.items()]
+        done = np.where(alive, 1 - left / np.maximum(n, 1e-9), 1.0)
+        weight = np.where(alive, share_of * np.exp(-by.eta * (done - done[alive].min())), 0.0)
+        best, pick = knapsack(weight, capacity)
+        if turn % 4 == 0:
+            bound = max(bound, float((weight * n).sum() / best[capacity]))
+        lengths = np.flatnonzero(alive)
+        worth = weight[lengths] + best[capacity - lengths]
+        near = lengths[worth >= (1 - by.slack) * best[capacity] - 1e-12]
+        near = near[np.argsort(done[near], kind="stable")][: by.width]
+        columns = {tuple(sorted(traced(pick, capacity - k, k).items())) for k in near.tolist()}
+        asked = np.zeros(len(n))
+        for column in columns:
+            for k, m in column:
+                asked[k] += m
+        part = np.minimum(by.alpha * n, left) / np.maximum(asked, 1)
+        for column in sorted(columns):
+            step = min(part[k] for k, _ in column)
+            x[column] = x.get(column, 0.0) + step
+            for k, m in column:
+                left[k] -= m * step
+        alive &= left > 1e-6 * n
+    return x, bound
 
 
 def fill(left: np.ndarray, capacity: int) -> dict[int, int]:
@@ -169,41 +199,63 @@ def fill(left: np.ndarray, capacity: int) -> dict[int, int]:
     out: dict[int, int] = {}
     room = capacity
     while room > 0:
-        fits = np.flatnonzero(left[: room + 1] - np.array([out.get(i, 0) for i in range(room + 1)]) > 0)
-        if not len(fits):
+        fits = np.flatnonzero(left[1 : min(room, capacity) + 1]) + 1
+        k = next((int(k) for k in fits[::-1] if left[k] > out.get(int(k), 0)), 0)
+        if not k:
             break
-        k = int(fits[-1])
-        n = min(int(left[k]) - out.get(k, 0), room // k)
-        out[k] = out.get(k, 0) + n
-        room -= n * k
+        m = min(int(left[k]) - out.get(k, 0), room // k)
+        out[k] = out.get(k, 0) + m
+        room -= m * k
     return out
 
 
-def plan(count: np.ndarray, capacity: int, rounds: int = 400, passes: int = 2) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations (lengths with their number, how often) that hold every piece exactly once."""
-    left = count.astype(np.int64).copy()
-    out: list[tuple[dict[int, int], int]] = []
+def plan(count: np.ndarray, capacity: int, gap: float = 0.001, passes: int = 3) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """(whole configurations with how often each is used, the LP's lower bound); every piece is held exactly once.
 
-    def use(column: dict[int, int], most: float) -> None:
-        n = int(min(most, *(int(left[k]) // m for k, m in column.items())))
-        if n > 0:
-            out.append((column, n))
-            for k, m in column.items():
-                left[k] -= m * n
-
-    def size(column: dict[int, int]) -> int:
-        return sum(k * m for k, m in column.items())
-
-    if left[capacity]:
-        use({capacity: 1}, int(left[capacity]))
-    for _ in range(passes):
-        if left.sum() < 64:
+    The fractional solution is rounded along its columns in order of their longest pieces, carrying the
+    fractions on, and what is left is solved and rounded again; best fit places the rest. Steps are refined until the number of
+    sequences is within ``gap`` of the bound; the plan with the fewest is taken, and best fit alone is one of them.
+    """
+    best, bound = _best_fit(count.astype(np.int64), capacity), 0.0
+    for by in (COARSE, FINE):
+        made, low = _rounded(count, capacity, by, passes)
+        bound = max(bound, low)
+        if sum(n for _, n in made) <= sum(n for _, n in best):
+            best = made
+        if sum(n for _, n in best) <= np.ceil(bound - 1e-6) * (1 + gap):
+            break
+    return best, bound
+
+
+def _rounded(count: np.ndarray, capacity: int, by: Step, passes: int) -> tuple[list[tuple[dict[int, int], int]], float]:
+    left, out, bound = count.astype(np.int64).copy(), [], 0.0
+    for i in range(passes):
+        x, low = solve(left, capacity, by)
+        bound = bound if i else low
+        carry, before = 0.0, int(left.sum())
+        for column in sorted(x, key=lambda c: c[::-1], reverse=True):
+            carry += x[column]
+            n = int(carry + 1e-9)
+            carry -= n
+            n = min(n, *(int(left[k]) // m for k, m in column)) if n else 0
+            if n:
+                out.append((dict(column), n))
+                for k, m in column:
+                    left[k] -= m * n
+        if left.sum() in (0, before):
             break
-        for column, x in sorted(solve(left, capacity, rounds), key=lambda p: -size(p[0])):
-            if size(column) >= capacity * 0.998:
-                use(column, np.floor(x) or 1)
-    while left.any():  # what rounding left: best fit, largest first, in bulk
-        use(fill(left, capacity), float("inf"))
+    return out + _best_fit(left, capacity), bound
+
+
+def _best_fit(count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest pieces first, equal sequences at once."""
+    left, out = count.copy(), []
+    while left.any():
+        column = fill(left, capacity)
+        n = min(int(left[k]) // m for k, m in column.items())
+        out.append((column, n))
+        for k, m in column.items():
+            left[k] -= m * n
     return out
 
 
@@ -223,7 +275,7 @@ def places(configs: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "lo", "per", "base", "offset"), table.T, strict=True))
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 5_000, rounds: int = 400) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 5_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...) of at most ``capacity`` tokens.
 
     ``found`` is read three times: pass a written table.
@@ -232,7 +284,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 5_00
     count = np.zeros(capacity + 1, np.int64)
     for r in hist:
         count[r["length"]] = r["count"]
-    at = places(plan(count, capacity, rounds))
+    at = places(plan(count, capacity)[0])
     top = int(count.max(initial=0)).bit_length() + 1
     keys = (at["length"] << top) + at["lo"]
 
