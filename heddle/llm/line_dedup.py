@@ -1,9 +1,13 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-The store is a log-structured set of runs. A run is a table (key hash, documents) sorted by hash; a
-new batch of documents is counted, merge-joined against the runs and added as a run of level 0.
-When a level holds ``fanout`` runs they are merged into one run of the next level, so a batch is
-rewritten O(log n) times. All work is DataFrame operations: Spark's sort-merge joins are the merges.
+The store is a log-structured set of runs. A run is a table (key hash, documents), bucketed by hash and
+sorted within each bucket. A batch of documents is counted; its merge anti-join with the runs gives the
+keys that are new; the keys that some run holds are its updates. The two tables are one run of level 0. When a level holds ``fanout`` runs they are merged into one run of the next level, so a
+row is rewritten O(log n) times. Every run has the same buckets: the anti-joins, the merges and the totals
+read them where they lie, and only a batch's own counts are shuffled (tests hold the plans to that).
+
+A table is added in batches that double, each about as large as all before it, so that joining every
+batch with the runs reads no more than about twice the table's keys.
 
 Defined results
 ---------------
@@ -17,8 +21,8 @@ Defined results
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,50 +59,91 @@ def batch_counts(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder; ``levels[i]`` lists the run paths of level i."""
+    """Levelled sorted runs in the shared folder; ``levels[i]`` lists the runs of level i.
+
+    A run is one bucketed table of the session's catalog, with its files in the shared folder, or two: a batch's
+    new keys and its updates.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.path = path or f"{shared_dir(spark)}/heddle/lines-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[tuple[str, ...]]] = [[]]
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        target = f"{self.path}/level{level}/run-{uuid.uuid4().hex}"
-        run.sortWithinPartitions(*KEY).write.parquet(target)
+    def _table(self, rows: DataFrame, label: str) -> str:
+        name = f"heddle_{label}_{uuid.uuid4().hex}"
+        out = rows.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY)
+        out.option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _push(self, run: tuple[str, ...], level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(target)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "h1 long, h2 long, docs long"
-        runs = [self.spark.read.schema(schema).parquet(p) for p in paths]
-        return reduce(DataFrame.unionAll, runs) if runs else self.spark.createDataFrame([], schema)
-
-    def runs(self) -> DataFrame:
-        """All runs; a key may stand in several."""
-        return self._read([p for level in self.levels for p in level])
+        self.levels[level].append(run)
+
+    def names(self) -> list[str]:
+        return [name for level in self.levels for run in level for name in run]
+
+    def _merge(self, runs: list[str], label: str) -> str:
+        """One run of the summed counts: merge joins of two runs at a time, bucket by bucket."""
+        while len(runs) > 1:
+            pairs, runs = list(zip(runs[::2], runs[1::2], strict=False)), runs[len(runs) // 2 * 2 :]
+            for a, b in pairs:
+                x, y = self.spark.table(a), self.spark.table(b).toDF("g1", "g2", "more").hint("merge")
+                both = x.join(y, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "full")
+                total = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+                row = both.select(F.coalesce("h1", "g1").alias("h1"), F.coalesce("h2", "g2").alias("h2"), total.alias("docs"))
+                runs = [*runs, self._table(row, label)]
+        return runs[0]
 
     def totals(self) -> DataFrame:
-        """(h1, h2, docs) over all batches; a single run already holds the totals."""
-        paths = [p for level in self.levels for p in level]
-        if len(paths) == 1:
-            return self._read(paths)
-        return self.runs().groupBy(*KEY).agg(F.sum("docs").alias("docs"))
+        """(h1, h2, docs) over all batches: what the levels hold, merged into one run."""
+        if self.names():
+            name = self._merge(self.names(), "totals")
+            self.levels = [[], [(name,)]]
+            return self.spark.table(name)
+        return self.spark.createDataFrame([], "h1 long, h2 long, docs long")
 
     def new_keys(self, counts: DataFrame) -> DataFrame:
-        """Those of a batch's keys that no run holds yet (merge anti-join)."""
-        return counts.join(self.runs().select(*KEY), KEY, "left_anti")
+        """Those of a batch's counts whose key no run holds yet: one merge anti-join for each run."""
+        for name in self.names():
+            counts = counts.join(self.spark.table(name).select(*KEY).hint("merge"), KEY, "left_anti")
+        return counts
 
     def add(self, docs: DataFrame, min_chars: int = 1) -> None:
-        """Adds a batch as a run of level 0 and compacts full levels."""
-        self._write(batch_counts(docs, min_chars), 0)
+        """Adds a batch as a run, its new keys apart from its updates; full levels are compacted."""
+        counts = batch_counts(docs, min_chars)
+        if self.names():
+            counts = self.spark.table(self._table(counts, "batch"))
+            new = self._table(self.new_keys(counts), "run")
+            known = counts.join(self.spark.table(new).select(*KEY).hint("merge"), KEY, "left_anti")
+            self._push((new, self._table(known, "update")), 0)
+        else:
+            self._push((self._table(counts, "run"),), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._read(full).groupBy(*KEY).agg(F.sum("docs").alias("docs")), level + 1)
+            self._push((self._merge([name for run in full for name in run], f"level{level + 1}"),), level + 1)
             level += 1
 
 
+def doubling(docs: DataFrame, batches: int) -> list[DataFrame]:
+    """``docs`` in batches of 1, 1, 2, 4, ... parts: whole input files by a hash of their path, or rows by a hash of doc_id.
+
+    Whole files are read once; a table without files of its own (a computed one) is filtered by row.
+    """
+    try:
+        place = F.xxhash64("_metadata.file_path")
+        docs.select(place)
+    except AnalysisException:
+        place = F.xxhash64("doc_id")
+    parts = 1 << (batches - 1)
+    slot = F.pmod(place, F.lit(parts))
+    cuts = [0, *(1 << i for i in range(batches))]
+    return [docs.filter((slot >= a) & (slot < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): ``docs`` without the lines whose key hash is in ``frequent``.
 
@@ -139,16 +184,16 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, more: t
 
 
 def line_dedup(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, more: tuple[str, ...] = ()
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, more: tuple[str, ...] = ()
 ) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) without the lines whose key is in ``min_docs`` documents or more.
 
-    The columns ``more`` of ``docs`` come last.
-    ``docs`` goes into the runs in ``batches`` parts, by a hash of doc_id; the result does not depend on it.
+    The columns ``more`` of ``docs`` come last. ``docs`` goes into the runs in ``batches`` doubling parts; the
+    result does not depend on their number.
     """
-    runs = LineRuns(docs.sparkSession, fanout=max(2, batches))
-    for i in range(batches):
-        runs.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), min_chars)
+    runs = LineRuns(docs.sparkSession)
+    for part in doubling(docs, batches):
+        runs.add(part, min_chars)
     return drop_lines(docs, runs.totals().filter(F.col("docs") >= min_docs), min_chars, more)
 
 
