@@ -8,7 +8,8 @@ Defined results
 ---------------
 * null or empty text: a payload of 64 zero bytes. Very long texts: several frames, since a frame has
   at most 65,535 rows; nothing is cut.
-* null or malformed media in ``frames_table``: one row with frame null and the reason in ``error``.
+* null or malformed media in ``frames_table``: one row with frame null and the reason in ``error``; so is
+  well-formed media without images. A null media_id is carried as it is.
 * repeated rows: one result row each; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -221,9 +222,8 @@ def _row_order(rows: int) -> np.ndarray:
     return np.concatenate([np.arange(a, rows, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes) -> list[Frame]:
-    """All frames, composed on the canvas under disposal and transparency."""
-    out: list[Frame] = []
+def draw(data: bytes) -> Iterator[Frame]:
+    """The frames one by one, composed on the canvas under disposal and transparency."""
     canvas = None
     for im in images(data):
         (w, h), (x, y, fw, fh) = im["screen"], im["box"]
@@ -244,18 +244,21 @@ def decode(data: bytes) -> list[Frame]:
             raise ValueError("no palette")
         if im["clear_index"] is not None:
             drawn = drawn & (index != im["clear_index"])
-        colours = im["palette"][np.minimum(index, len(im["palette"]) - 1)]
+        solid = np.concatenate([im["palette"], np.full((len(im["palette"]), 1), 255, np.uint8)], axis=1)
         view = canvas[y : y + fh, x : x + fw]
-        drawn = drawn[: view.shape[0], : view.shape[1]]
-        view[drawn] = np.concatenate(
-            [colours[: view.shape[0], : view.shape[1]][drawn], np.full((int(drawn.sum()), 1), 255, np.uint8)], axis=1
-        )
-        out.append(Frame(im["delay_cs"], im["disposal"], x, y, fw, fh, im["samples"], canvas.copy()))
+        index, drawn = index[: view.shape[0], : view.shape[1]], drawn[: view.shape[0], : view.shape[1]]
+        colours = solid[np.minimum(index, len(solid) - 1)]
+        view[...] = colours if drawn.all() else np.where(drawn[..., None], colours, view)
+        yield Frame(im["delay_cs"], im["disposal"], x, y, fw, fh, im["samples"], canvas.copy())
         if im["disposal"] == 2:
             view[:] = 0
         elif before is not None:
             canvas = before
-    return out
+
+
+def decode(data: bytes) -> list[Frame]:
+    """All frames of a GIF; ValueError where it is malformed."""
+    return list(draw(data))
 
 
 # A grey palette of 256 steps, so that a sample's value is its shade.
@@ -286,14 +289,30 @@ def read_payload(media: bytes) -> bytes:
     return b"".join(im["samples"] for im in images(media))
 
 
-def histogram(pixels: np.ndarray, levels: int = 4) -> list[float]:
-    """Shares of the visible pixels by colour cell (levels per channel, red slowest); zeros if none shows."""
+def cells(pixels: np.ndarray, levels: int) -> np.ndarray:
+    """Counts of the visible pixels by colour cell (levels per channel, red slowest)."""
     seen = pixels.reshape(-1, 4)
-    seen = seen[seen[:, 3] > 0][:, :3].astype(np.int64) * levels // 256
-    counts = np.bincount(seen @ np.array([levels * levels, levels, 1]), minlength=levels**3)
+    if not seen[:, 3].all():
+        seen = seen[seen[:, 3] > 0]
+    step = (np.arange(256) * levels // 256).astype(np.int32)
+    cell = (step[seen[:, 0]] * levels + step[seen[:, 1]]) * levels + step[seen[:, 2]]
+    return np.bincount(cell, minlength=levels**3)
+
+
+def histogram(pixels: np.ndarray, levels: int = 4) -> list[float]:
+    """Shares of the visible pixels by colour cell; zeros if none shows."""
+    counts = cells(pixels, levels)
     return (counts / max(1, counts.sum())).tolist()
 
 
+def timed(frames: Iterable[Frame]) -> Iterator[tuple[int, Frame]]:
+    """Each frame with the time at which it is shown, in hundredths of a second."""
+    start = 0
+    for f in frames:
+        yield start, f
+        start += f.delay_cs
+
+
 # --- Spark forms -----------------------------------------------------------------------------------
 
 FRAMES = (
@@ -310,15 +329,15 @@ def frames_table(media: DataFrame) -> DataFrame:
             rows = []
             for key, data in zip(batch["media_id"].to_pylist(), batch["media"].to_pylist(), strict=True):
                 try:
-                    frames, start = decode(data or b""), 0
+                    frames, error = decode(data or b""), "no images"
                 except ValueError as e:
-                    rows.append((key, *[None] * 8, str(e)))
-                    continue
-                for i, f in enumerate(frames):
+                    frames, error = [], str(e)
+                if not frames:
+                    rows.append((key, *[None] * 8, error))
+                for i, (start, f) in enumerate(timed(frames)):
                     h, w = f.pixels.shape[:2]
                     shown = float((f.pixels[..., 3] > 0).mean()) if h * w else 0.0
                     rows.append((key, i, start, f.delay_cs, f.disposal, w, h, shown, histogram(f.pixels), None))
-                    start += f.delay_cs
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, FRAME_TYPES, strict=True)], [x.split()[0] for x in NAMES]
@@ -369,20 +388,28 @@ DIGEST = (
 
 
 def payload_table(docs: DataFrame) -> DataFrame:
-    """Digests of each text's stored GIF and of the payload read back from it, with a shade histogram.
+    """Digests of each text's stored GIF and of the payload read back from its decoded frames, with their colours.
 
-    feature: sixteen comma-joined counts of samples by shade (value // 16) over the payload read back.
+    The stored bytes go through ``decode``: each frame is drawn under its palette, transparency and disposal. feature:
+    the timed frames, joined by ";", each as its start time and the counts of its visible pixels by colour cell
+    (16 levels per channel, empty cells left out), such as "0:819=12,1092=52".
     """
 
+    def frame_feature(start: int, frame: Frame) -> str:
+        count = cells(frame.pixels, 16)
+        return f"{start}:" + ",".join(f"{c}={count[c]}" for c in np.flatnonzero(count).tolist())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST.split(", ")]
         types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
         for batch, found in _media(batches):
             rows = []
             for doc, (n, media) in zip(batch["doc_id"].to_pylist(), found, strict=True):
-                parts = [im["samples"] for im in images(media)]
-                back = b"".join(parts)
-                shades = np.bincount(np.frombuffer(back, np.uint8) >> 4, minlength=16)
+                samples, features = [], []
+                for start, f in timed(draw(media)):  # one frame at a time
+                    samples.append(f.samples)
+                    features.append(frame_feature(start, f))
+                back = b"".join(samples)
                 rows.append(
                     (
                         doc,
@@ -392,8 +419,8 @@ def payload_table(docs: DataFrame) -> DataFrame:
                         zlib.crc32(back[-64:]),
                         len(media),
                         hashlib.sha256(media).hexdigest(),
-                        ",".join(map(str, shades.tolist())),
-                        len(parts),
+                        ";".join(features),
+                        len(features),
                     )
                 )
             yield pa.RecordBatch.from_arrays(
