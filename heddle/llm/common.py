@@ -32,6 +32,31 @@ def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a task may get in a join; keys of more are dealt over several tasks.
+SPREAD = 20_000
+
+
+def spread_join(
+    rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", hot: DataFrame | None = None
+) -> DataFrame:
+    """``rows`` (``total`` of them) joined to a table that is unique on ``keys``, with hot keys split.
+
+    Keys of more than SPREAD rows, and of more than a ten-thousandth of all, are dealt over tasks by a hash of the row; their
+    line of the table is repeated for each. There are at most 10,000 such keys, so they can be broadcast. ``hot``
+    may give the counts: (keys, _n). Null keys join nothing.
+    """
+    if total <= SPREAD:
+        return rows.join(table, keys, how)
+    limit = max(SPREAD, total // 10_000)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")) if hot is None else hot
+    hot = F.broadcast(hot.filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    lines = table.join(hot, keys, "left").withColumn("_part", parts).drop("_parts")
+    return dealt.join(lines, [*keys, "_part"], how).drop("_part")
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id (long) and text (null: empty), with the further columns asked for; others are not read."""
     return df.select(

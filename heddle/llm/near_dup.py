@@ -8,10 +8,14 @@ concentrated as under independent sampling; a large text fills its bins in one o
 
 Linking: equal shingle sets become one class. Classes that share a band of ``rows`` coordinates are
 candidates; with the defaults a pair at 0.8 is missed with probability 1.2e-6. Within a bucket the
-candidates are first compared with its smallest class only (a star). Buckets that then still hold
-several components form families, and all texts of a family are compared block by block, so that
-no pair within a bucket goes unexamined unless a path already joins it, and only links become rows.
+candidates are first compared with its smallest class only (a star). The texts of buckets that then
+still hold several components are compared across components by prefixes: with every set ordered by
+rising frequency of its shingles, two sets that reach the similarity share a shingle among the first ninth
+of the smaller one and the first fifth of the larger one (for 0.8), whatever the order. This is
+exact, and frequent shingles, which a template repeats, seldom stand that far in front. A shingle that does is dealt in blocks,
+and the largest component of its texts is never compared with itself.
 Every link is confirmed on the full sets, made again from the texts. Groups are connected components.
+Hot keys (a bucket, a class of copies, a star's centre) are split over tasks.
 
 Defined results
 ---------------
@@ -30,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, documents, materialise, mix64, utf8, with_ids
+from heddle.llm.common import byte_chunks, documents, materialise, mix64, spread_join, utf8, with_ids
 from heddle.llm.components import components
 from heddle.llm.words import GOLD, salted, shingles
 
 BANDS, ROWS = 45, 6
 CHUNK = 1_000_000
-BLOCK = 256
+BLOCK = 2048
+#: Cells of the table of shingle frequencies (by hash; 2 MB): it only orders the shingles.
+CELLS = 1 << 18
 
 
 def sketch(value: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -97,115 +103,132 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union.
+    """Those (a, b) of a written table whose full sets have 100 * intersection >= percent * union.
 
-    Only texts of the pairs move; sets are made in the task that compares them.
+    Only texts of the pairs move. A task reads sorted rows: a text b once, then the texts a to compare with it; a b of
+    very many pairs stands in several tasks, with a part of them in each.
     """
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     few = with_ids(documents(texts), need)
-    left = few.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = few.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(left, "a").select("a", "b", "ta").join(right, "b").select("a", "b", "ta", "tb")
+    total = pairs.count()
+    limit = max(4096, total // 10_000)
+    many = pairs.groupBy("b").agg(F.count("*").alias("m"))
+    hot = F.broadcast(many.filter(F.col("m") > limit).select("b", F.ceil(F.col("m") / limit).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = spread_join(pairs, few.select(F.col("doc_id").alias("a"), "text"), ["a"], total).join(hot, "b", "left")
+    left = left.select("b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"), F.lit(True).alias("pair"), "a", "text")
+    right = few.join(many.select(F.col("b").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("b"), "text")
+    right = right.join(hot, "b", "left").select(
+        "b",
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+        F.lit(False).alias("pair"),
+        F.lit(None).cast("long").alias("a"),
+        "text",
+    )
+    rows = left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        y = np.zeros(0, np.uint64)
         for whole in batches:
-            for batch in byte_chunks(whole, "ta", CHUNK):
-                a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
-                value, first = shingles(*utf8(batch["ta"]), words)
-                ok = np.zeros(len(a), bool)
-                for i in range(len(a)):
-                    if last[0] != b[i]:  # the centre of a star stands in many rows in a row
-                        last = (b[i], shingles(*utf8(batch["tb"].slice(i, 1)), words)[0])
-                    x, y = value[first[i] : first[i + 1]], last[1]
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    common = int((y[at] == x).sum())
-                    ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
-                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def block_links(value: np.ndarray, first: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (row, row) between different components of one block, one at most for each merge they make.
-
-    Intersections of all pairs come from products of incidence matrices, a slice of shingles at a time.
-    """
-    rows = len(component)
-    size = np.diff(first)
-    owner = np.repeat(np.arange(rows), size)
-    names, at, times = np.unique(value, return_inverse=True, return_counts=True)
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[at]
-    column, owner = number[at[keep]], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    common = np.zeros((rows, rows), np.float32)
-    for lo in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        part = np.zeros((rows, 4096), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        common += part @ part.T
-    union = size[:, None] + size[None, :] - common
-    ok = (100 * common >= percent * union) & (component[:, None] != component[None, :])
-    names, label = np.unique(component, return_inverse=True)
-    root = list(range(len(names)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in np.argwhere(np.triu(ok, 1)).tolist():
-        x, y = find(label[i]), find(label[j])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((i, j))
+            for batch in byte_chunks(whole, "text", CHUNK):
+                pair, b = batch["pair"].to_pylist(), batch["b"].to_pylist()
+                a = batch["a"].to_pylist()
+                value, first = shingles(*utf8(batch["text"]), words)
+                found = []
+                for i, is_pair in enumerate(pair):
+                    x = value[first[i] : first[i + 1]]
+                    if not is_pair:
+                        y = x
+                    elif len(x) and len(y) and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                        common = int((y[at] == x).sum())
+                        if 100 * common >= percent * (len(x) + len(y) - common):
+                            found.append((a[i], b[i]))
+                cols = zip(*found, strict=True) if found else [[], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return rows.select("b", "pair", "a", "text").mapInArrow(run, "a long, b long")
+
+
+def _cell(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64)
+
+
+def frequencies(texts: DataFrame, words: int) -> np.ndarray:
+    """How many sets hold a shingle of each cell; ``CELLS`` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.int64)
+        for whole in batches:
+            for batch in byte_chunks(whole, "text", CHUNK):
+                seen += np.bincount(_cell(shingles(*utf8(batch["text"]), words)[0]), minlength=CELLS)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["cell", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CELLS, np.int64)
+    out[rows["cell"]] = rows["n"]
     return out
 
 
-def compare_blocks(rows: DataFrame, families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between texts of ``rows`` (rep, component) of one family (node, component) but different components.
+def prefixes(rows: DataFrame, order: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(h, rep, component, n, lead) of ``rows`` (rep, component, text): the rarest shingles of each set.
 
-    A family is dealt by hash into blocks of about BLOCK texts, and each pair of blocks is one
-    group of bounded size: all pairs of the family are compared, and only links become rows.
+    They are the first n - ceil(t n) + 1, which a set needs against smaller ones; ``lead`` marks the first
+    n - ceil(2 t n / (1 + t)) + 1, enough against sets that are not smaller.
     """
-    spark = rows.sparkSession
-    family = rows.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
-    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    few = with_ids(documents(texts), rows.select(F.col("rep").alias("doc_id")))
-    few = few.select(F.col("doc_id").alias("rep"), "text")
-    dealt = materialise(
-        spark,
-        family.join(blocks, "family")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .join(few, "rep"),
-        "family",
-    )
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family",
-        F.least("block", "other").alias("lo"),
-        F.greatest("block", "other").alias("hi"),
-        "rep",
-        "component",
-        "text",
-    )
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        component, rep = table["component"].to_numpy(), table["rep"].to_numpy()
-        found = []
-        if (component != component[0]).any():
-            value, first = shingles(*utf8(table["text"]), words)
-            found = [(max(rep[i], rep[j]), min(rep[i], rep[j])) for i, j in block_links(value, first, component, percent)]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in byte_chunks(whole, "text", CHUNK):
+                value, first = shingles(*utf8(batch["text"]), words)
+                size = np.diff(first)
+                owner = np.repeat(np.arange(len(size)), size)
+                sort = np.lexsort((value, order[_cell(value)], owner))
+                value, owner = value[sort], owner[sort]
+                place, n = np.arange(len(value)) - first[owner], size[owner]
+                keep = place < n + 1 + (-percent * n) // 100
+                lead = place < n + 1 + (-2 * percent * n) // (100 + percent)
+                owner = pa.array(owner[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(value[keep].view(np.int64)),
+                        batch["rep"].take(owner),
+                        batch["component"].take(owner),
+                        pa.array(n[keep]),
+                        pa.array(lead[keep]),
+                    ],
+                    ["h", "rep", "component", "n", "lead"],
+                )
+
+    return rows.mapInArrow(run, "h long, rep long, component long, n long, lead boolean")
 
-    return pairs.groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
+
+def cross_candidates(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) between texts of ``rest`` (rep, component) of different components that may reach the similarity: no such pair is left out."""
+    spark = rest.sparkSession
+    few = with_ids(documents(texts), rest.select(F.col("rep").alias("doc_id")))
+    named = few.withColumnRenamed("doc_id", "rep").join(rest, "rep").select("rep", "component", "text")
+    front = materialise(spark, prefixes(named, frequencies(few, words), words, percent), "prefixes")
+    shares = front.groupBy("h", "component").agg(F.count("*").alias("k"))
+    shared = shares.groupBy("h").agg(
+        F.sum("k").alias("n_h"), F.count("*").alias("components"), F.max_by("component", F.struct("k", "component")).alias("top")
+    )
+    shared = materialise(spark, shared.filter("components > 1").select("h", "n_h", "top"), "shared")
+    live = spread_join(front, shared, ["h"], front.count(), hot=shared.select("h", F.col("n_h").alias("_n")))
+    blocks = F.ceil(F.col("n_h") / F.lit(BLOCK)).cast("int")
+    live = live.withColumn("minor", F.col("component") != F.col("top")).withColumn("blocks", blocks)
+    kept = ["h", "block", "rep", "component", "n", "lead", "minor"]
+    at_home = live.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select(*kept)
+    abroad = live.filter("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*kept)
+    x, y = at_home.alias("x"), abroad.alias("y")
+    met = (
+        "x.h = y.h and x.block = y.block and x.component <> y.component and (not x.minor or y.rep < x.rep) "
+        f"and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) "
+        "and (x.lead or x.n > y.n) and (y.lead or y.n > x.n)"
+    )
+    pairs = x.join(y, F.expr(met)).selectExpr("greatest(x.rep, y.rep) a", "least(x.rep, y.rep) b")
+    return materialise(spark, pairs.distinct(), "candidates")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -216,9 +239,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     classes = materialise(
         spark, some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "sets"
     )
-    cells = classes.select("rep", "n", F.explode("keys").alias("key"))
-    shared = cells.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("m")).filter("m > 1")
-    members = materialise(spark, cells.join(shared.select("key", "first"), "key"), "members")
+    cells = classes.select("rep", F.explode("keys").alias("key"))
+    shared = cells.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("_n")).filter("_n > 1")
+    shared = materialise(spark, shared, "buckets")
+    n_cells = classes.count() * bands
+    members = spread_join(cells, shared.select("key", "first"), ["key"], n_cells, hot=shared.select("key", "_n"))
+    members = materialise(spark, members, "members")
 
     stars = materialise(
         spark, members.filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "star"
@@ -226,30 +252,25 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     links = materialise(spark, verify(stars, docs, words, percent), "links")
     labels = components(links)
 
-    # buckets that still hold several components: their texts are compared in blocks
+    # buckets that still hold several components: their texts are compared across components
+    n_members = members.count()
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
-    mixed = (
-        named.groupBy("key")
-        .agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("b"))
-        .filter("m > 2 and lo <> hi")
-        .select("key", "b")
-    )
-    rest = materialise(spark, named.join(mixed, "key").select("rep", "component", "b").distinct(), "rest")
+    named = materialise(spark, named, "named")
+    mixed = named.groupBy("key").agg(F.count("*").alias("_n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = materialise(spark, mixed.filter("_n > 2 and lo <> hi").select("key", "_n"), "mixed")
+    rest = spread_join(named, mixed.select("key"), ["key"], n_members, hot=mixed)
+    rest = materialise(spark, rest.select("rep", "component").distinct(), "rest")
     if rest.limit(1).count():
-        families = components(rest.select(F.col("rep").alias("a"), "b"))
-        found_links = compare_blocks(rest.select("rep", "component").distinct(), families, docs, words, percent)
-        links = materialise(spark, links.unionAll(found_links), "links")
+        more = verify(cross_candidates(rest, docs, words, percent), docs, words, percent)
+        links = materialise(spark, links.unionAll(more), "links")
         labels = components(links)
 
     reps = classes.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return (
-        found.select("doc_id", "s1", "s2", "n")
-        .join(reps, ["s1", "s2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    named = spread_join(found.select("doc_id", "s1", "s2", "n"), reps, ["s1", "s2", "n"], found.count(), "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op6_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
