@@ -6,8 +6,10 @@ Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2
 largest norm of all vectors in the tree. The longest vectors of the table (at most ``TAIL``) are not in
 the tree: every query is compared with all of them. A query walks the tree through a priority queue of bins by distance; the number of leaves it opens is
 widened, doubling, until calibration queries reach the asked recall against brute force over the
-sample. Each query also carries the k-th best score among the sample's vectors in those leaves, a lower
-bound: a leaf returns only what reaches it, so few candidate rows leave a task.
+sample, the query itself left out. Each query also carries the k-th best score among the sample's vectors in those leaves, a lower
+bound: a leaf returns only what reaches it, so few candidate rows leave a task. A leaf that many queries open, or
+that holds many vectors, is dealt into blocks of about ``QUERIES`` queries and ``VECTORS`` vectors, and each pair
+of blocks is one group.
 
 Equal vectors are one class, searched once; their members come in again at the end, only the k + 1
 smallest ids of each, since no more can be among the k nearest of a query.
@@ -38,6 +40,8 @@ SAMPLE = 32_768
 LEAF = 512
 TAIL = 1024
 BRANCH = 8
+#: About how many queries and vectors meet in one group.
+QUERIES, VECTORS = 4096, 16_384
 
 
 @dataclass
@@ -132,12 +136,14 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, queries: int = 1
     """The leaves to open, widened until sample queries reach ``recall`` against brute force over the sample."""
     leaf = tree.leaf_of(x)
     pick = np.random.default_rng(5).choice(len(x), min(queries, len(x)), replace=False)
-    best = np.argsort(-(x[pick] @ x.T), axis=1, kind="stable")[:, :k]
+    score = x[pick] @ x.T
+    score[np.arange(len(pick)), pick] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
     order = [tree.visit(x[i], tree.leaves) for i in pick]
     n = 1
     while n < tree.leaves:
-        hit = np.mean([np.isin(leaf[b], o[:n]).mean() for b, o in zip(best, order, strict=True)])
-        if hit >= recall:
+        hit = [np.isin(leaf[b], o[:n]).mean() for b, o in zip(best, order, strict=True) if len(b)]
+        if not hit or np.mean(hit) >= recall:
             break
         n = min(tree.leaves, max(n + 1, n * 5 // 4))
     return n
@@ -234,6 +240,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
                 yield pa.RecordBatch.from_arrays([leaf, b["rep"], b["embedding"]], ["leaf", "rep", "embedding"])
 
     indexed = classes.select("rep", "embedding").mapInArrow(place, f"leaf long, rep long, embedding {kind}")
+    indexed = materialise(spark, indexed, "indexed")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -264,6 +271,16 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
     routed = asked.repartition(parts, F.xxhash64("rep")).mapInArrow(
         route, f"leaf long, query long, bound double, vector {kind}"
     )
+    routed = materialise(spark, routed, "routed")
+    # a row for each leaf: their number is bounded by the sample's
+    qs = F.broadcast(routed.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")))
+    vs = F.broadcast(indexed.groupBy("leaf").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("vs")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = ["leaf", "q", "v"]
+    q_side = routed.join(qs, "leaf").join(vs, "leaf").withColumn("q", F.pmod(F.xxhash64("query"), F.col("qs")).cast("int"))
+    v_side = indexed.join(qs, "leaf").join(vs, "leaf").withColumn("v", F.pmod(F.xxhash64("rep"), F.col("vs")).cast("int"))
+    q_side = q_side.withColumn("v", every("vs")).select(*group, "query", "bound", "vector")
+    v_side = v_side.withColumn("q", every("qs")).select(*group, "rep", "embedding")
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query": [], "rep": [], "score": []}).astype({"query": "int64", "rep": "int64"})
@@ -278,9 +295,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
             out.append((q["query"].to_numpy()[at + i], v["rep"].to_numpy()[j], np.einsum("nd,nd->n", a[at + i], b[j])))
         return pd.DataFrame(dict(zip(("query", "rep", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    found = (
-        routed.groupBy("leaf").cogroup(indexed.groupBy("leaf")).applyInPandas(search, "query long, rep long, score double")
-    )
+    found = q_side.groupBy(*group).cogroup(v_side.groupBy(*group)).applyInPandas(search, "query long, rep long, score double")
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
