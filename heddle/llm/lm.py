@@ -4,9 +4,10 @@ Counts of all training words are summed over the whole corpus. The ``own`` most
 the end mark) are outcomes of the model themselves; every other word belongs to one of ``buckets``
 outcomes by a hash of its last bytes, and has its smoothed share of its bucket's count there. The
 model predicts the next outcome from the two before it: score(w | h) = (u1[h1] + u2[h2]) . r[w] + b[w],
-where u1, u2 are the context words' vectors times each position's matrix. Every task trains on all its
-training texts by noise-contrastive estimation in numpy, and the tasks' parameters are averaged by
-their tokens. Normalisers of all contexts come from batched matrix products, so that the scores are
+where u1, u2 are the context words' vectors times each position's matrix. Training texts are dealt into shards and
+rounds by a hash of the row, so that the model does not depend on how the input is partitioned. In each round every
+shard goes on from the model of the round before, trains on all its texts of the round, in a fixed order, by
+noise-contrastive estimation in numpy, and the shards' parameters are averaged by their tokens. Normalisers of all contexts come from batched matrix products, so that the scores are
 true log-probabilities over the seen words and one unseen word in each bucket.
 
 Rare words' counts are joined by shuffle; the frequent ones, a bounded number and the only ones that could make a
@@ -41,7 +42,9 @@ OWN, BUCKETS, DIM = 832, 192, 16
 CLASSES = OWN + BUCKETS
 START = CLASSES  # context before the first token
 LOOKUP = 65_536
-BATCH, NOISE, MIN_STEPS = 8192, 48, 80
+BATCH, NOISE = 8192, 48
+#: Rounds of training; steps that a shard makes in a round at least; tokens shuffled at once.
+ROUNDS, LEAST_STEPS, POOL = 3, 30, 1 << 18
 SLICE = 256
 
 
@@ -187,8 +190,8 @@ def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
 class Trainer:
     """Noise-contrastive steps (Adagrad) on batches of (context, context, outcome)."""
 
-    def __init__(self, vocab: Vocabulary, seed: int, rate: float = 0.1):
-        self.p = initial(vocab)
+    def __init__(self, vocab: Vocabulary, start: list[np.ndarray], seed: int, rate: float = 0.1):
+        self.p = [x.copy() for x in start]
         self.past = [np.full_like(x, 1e-4) for x in self.p]
         self.rate, self.rng = rate, np.random.default_rng(seed)
         share = vocab.mass / vocab.mass.sum()
@@ -218,55 +221,113 @@ class Trainer:
         self.steps += 1
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
-    """The parameters: each task trains on all its texts; tasks are averaged by their tokens, slice by slice."""
-    sizes = [x.size for x in initial(vocab)]
+def shard_count(tokens: int) -> int:
+    """Shards grow with the root of the corpus: so do the tokens of each."""
+    return max(8, int(np.sqrt(tokens / 20_000)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, trainer, tokens = Coder(vocab), Trainer(vocab, TaskContext.get().partitionId()), 0
-        kept: list[tuple[np.ndarray, ...]] = []
 
-        def steps(one: np.ndarray, two: np.ndarray, out: np.ndarray) -> None:
-            order = trainer.rng.permutation(len(out))
-            for a in range(0, len(order), BATCH):
-                k = order[a : a + BATCH]
-                trainer.step(one[k], two[k], out[k])
+def coded_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(shard, turn, key, outcomes) of each text: its tokens as outcomes, its place in training by a hash of the row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(vocab)
         for whole in batches:
             for batch in byte_chunks(whole, "text", 2_000_000):
                 coded = coder(batch["text"].to_pylist())
-                part = (*contexts(coded.outcome, coded.first), coded.outcome)
-                steps(*part)
-                tokens += len(coded.outcome)
-                if len(kept) < 4:
-                    kept.append(part)
-        if not tokens:
+                out = coded.outcome.astype(np.uint16)
+                cuts = zip(coded.first, coded.first[1:], strict=False)
+                texts = pa.array([out[a:b].tobytes() for a, b in cuts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["shard"], batch["turn"], batch["key"], texts], ["shard", "turn", "key", "outcomes"])
+
+    key = F.xxhash64("doc_id", "text")
+    shard = F.pmod(key, F.lit(shard_count(vocab.total))).cast("int").alias("shard")
+    turn = F.pmod(F.shiftright(key, 40), F.lit(ROUNDS)).cast("int").alias("turn")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(shard, turn, key.alias("key"), "text")
+    return rows.mapInArrow(run, "shard int, turn int, key long, outcomes binary")
+
+
+class Part:
+    """One shard of one round: steps over pools of its tokens, in the order in which they come."""
+
+    def __init__(self, trainer: Trainer):
+        self.trainer, self.tokens, self.open, self.size = trainer, 0, [], 0
+        self.kept: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, text: bytes) -> None:
+        self.open.append(np.frombuffer(text, np.uint16).astype(np.int64))
+        self.size += len(self.open[-1])
+        if self.size >= POOL:
+            self.close()
+
+    def close(self) -> None:
+        if not self.open:
             return
-        while trainer.steps < MIN_STEPS:  # a small part is gone over again
-            for part in kept:
-                steps(*part)
-        flat = np.concatenate([x.ravel() for x in trainer.p]).astype(np.float64) * tokens
-        flat = np.pad(flat, (0, -len(flat) % SLICE)).reshape(-1, SLICE)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(len(flat)), pa.int32()),
-                pa.array([x.tobytes() for x in flat], pa.binary()),
-                pa.array([tokens] * len(flat), pa.int64()),
-            ],
-            ["slice", "part", "tokens"],
-        )
+        first = np.concatenate([[0], np.cumsum([len(x) for x in self.open])]).astype(np.int64)
+        outcome = np.concatenate(self.open)
+        pool = (*contexts(outcome, first), outcome)
+        self.tokens, self.open, self.size = self.tokens + len(outcome), [], 0
+        self.steps(pool)
+        if self.tokens <= LEAST_STEPS * BATCH:  # it may have to be gone over again
+            self.kept.append(pool)
+        else:
+            self.kept.clear()
+
+    def steps(self, pool: tuple[np.ndarray, ...]) -> None:
+        order = self.trainer.rng.permutation(len(pool[2]))
+        for a in range(0, len(order), BATCH):
+            self.trainer.step(*(x[order[a : a + BATCH]] for x in pool))
+
+    def finish(self) -> list[np.ndarray]:
+        """The parameters; a shard of few tokens is gone over again as a whole until it has made its steps."""
+        self.close()
+        while self.kept and self.trainer.steps < LEAST_STEPS:
+            for pool in self.kept:
+                self.steps(pool)
+        return self.trainer.p
+
+
+def train(docs: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
+    """The parameters after all rounds."""
+    spark, model = docs.sparkSession, initial(vocab)
+    coded = materialise(spark, coded_rows(docs, vocab), "coded")
+    for turn in range(ROUNDS):
+        model = train_round(coded.filter(F.col("turn") == turn), vocab, model, turn)
+    return model
+
+
+def train_round(coded: DataFrame, vocab: Vocabulary, start: list[np.ndarray], turn: int) -> list[np.ndarray]:
+    """One round from ``start``: every shard in a task of its own, its texts in the order of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shard = None, None
+
+        def result() -> pa.RecordBatch:
+            flat = np.concatenate([x.ravel() for x in part.finish()]).astype(np.float64) * part.tokens
+            flat = np.pad(flat, (0, -len(flat) % SLICE)).reshape(-1, SLICE)
+            columns = [pa.array(np.arange(len(flat)), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([part.tokens] * len(flat), pa.int64())], ["slice", "part", "tokens"])
+
+        for batch in batches:
+            for s, text in zip(batch["shard"].to_pylist(), batch["outcomes"], strict=True):
+                if s != shard:
+                    if part:
+                        yield result()
+                    part, shard = Part(Trainer(vocab, start, s * ROUNDS + turn)), s
+                part.add(text.as_py())
+        if part:
+            yield result()
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
         sums = sum(np.frombuffer(x) for x in part["part"])
         return pd.DataFrame({"slice": [part["slice"].iloc[0]], "mean": [(sums / part["tokens"].sum()).tobytes()]})
 
-    parts = docs.select("text").mapInArrow(run, "slice int, part binary, tokens long")
+    dealt = coded.repartitionById(shard_count(vocab.total), F.col("shard")).sortWithinPartitions("shard", "key")
+    parts = dealt.select("shard", "outcomes").mapInArrow(run, "slice int, part binary, tokens long")
     means = parts.groupBy("slice").applyInPandas(total, "slice int, mean binary").collect()  # the model
-    start = initial(vocab)
     if not means:
         return start
     flat = np.concatenate([np.frombuffer(r["mean"]) for r in sorted(means, key=lambda r: r["slice"])])
-    cuts = np.cumsum([0, *sizes])
+    cuts = np.cumsum([0, *(x.size for x in start)])
     return [flat[a:b].reshape(x.shape).astype(np.float32) for a, b, x in zip(cuts, cuts[1:], start, strict=False)]
 
 
