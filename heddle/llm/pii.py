@@ -92,7 +92,10 @@ def base_spans(text: str) -> list[Span]:
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 # Words that tell kinds apart.
-CUES = frozenset("at dot com org net edu tel phone call mobile fax email mail card visa ip server host".split())
+CUES = frozenset(
+    "at dot com org net edu co tel phone call mobile fax email mail card visa ip server host "
+    "isbn order ref invoice id no number item items sku part serial page".split()
+)
 REACH = 2
 
 
@@ -108,7 +111,7 @@ def shape(text: str, start: int, end: int) -> str:
             return gap + low
         case = "X" if word.isupper() else "Xx" if word[0].isupper() else "x"
         return f"{gap}{case}{min(len(word), 4)}"
-    return gap + (word if word in ".-()+@,:/[]=#%$" else "?")
+    return gap + (word if word in ".-()+@,:/[]=#%$_" else "?")
 
 
 @dataclass
@@ -201,10 +204,13 @@ def fit(rows: list[tuple[str, list[Span]]], rounds: int = 120, rate: float = 0.3
     return field
 
 
+# Words before a number that is not personal.
+LABELLED = ("isbn", "order", "ref", "invoice", "id", "no", "item", "sku", "part", "serial", "number", "page")
+
 # --- the labelled table ----------------------------------------------------------------------------
 
 
-def labelled(n: int = 500, seed: int = 4) -> list[tuple[str, list[Span]]]:
+def labelled(n: int = 600, seed: int = 4) -> list[tuple[str, list[Span]]]:
     """The small labelled table: sentences with one marked item or a look-alike, made by a rule."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -217,15 +223,20 @@ def labelled(n: int = 500, seed: int = 4) -> list[tuple[str, list[Span]]]:
         sep = pick([".", "-", " "])
         return sep.join(full[i : i + 4] for i in range(0, 16, 4))
 
+    def name() -> str:
+        return pick([word(), word(), word() + pick(["_", ".", "-"]) + word()])
+
     items = (
         (3, lambda: f"({num(3)}) {num(3)}-{num(4)}"),
         (3, lambda: pick(["-", ".", " "]).join([num(3), num(3), num(4)])),
         (3, lambda: f"00{num(2)} {num(3)} {num(3)} {num(4)}"),
-        (0, lambda: f"{word()}{pick([' at ', ' (at) ', ' [at] '])}{word()}{pick([' dot ', '.'])}{pick(['com', 'org', 'net'])}"),
+        (0, lambda: f"{name()}{pick([' at ', ' (at) ', ' [at] '])}{word()}{pick([' dot ', '.'])}{pick(['com', 'org', 'net'])}"),
+        (0, lambda: f"{name()}{pick(['(at)', '[at]', '(AT)', ' at '])}{word()}{pick(['.co.uk', '.com', '.edu', '.ac.at'])}"),
         (0, lambda: f"{word()}.{num(2)} @ {word()}.{pick(['com', 'org'])}"),
         (2, card),
         (1, lambda: " . ".join(str(int(x)) for x in rng.integers(1, 255, 4))),
     )
+    sep = lambda: pick(["-", ".", " "])
     others = (
         lambda: f"20{num(2)}-{num(2)}-{num(2)}",
         lambda: f"{num(2)}.{num(2)}.20{num(2)}",
@@ -240,6 +251,9 @@ def labelled(n: int = 500, seed: int = 4) -> list[tuple[str, list[Span]]]:
         lambda: f"{word()}={word(2, 5)}{num(4)}{word(2, 5)}",
         lambda: f"{num(3)} {num(3)}",
         lambda: f"{word()}@{word()}",
+        # numbers that the word before tells from phones
+        lambda: f"{pick(LABELLED)}{sep()}{sep().join([num(3), num(3), num(4)])}{pick(['', ' items', ' invoice'])}",
+        lambda: f"{pick(LABELLED)} 978{pick([' ', '-'])}{num(3)} {num(3)} {num(4)}",
     )
     out: list[tuple[str, list[Span]]] = []
     for i in range(n):
