@@ -2,8 +2,8 @@
 
 The network: a byte embedding (A-Z as a-z), filters of widths 2, 3 and 4, a rectifier, max pooling
 over a fixed-length window and a softmax over the learned languages. It is trained in numpy by
-gradient steps on windows of a bounded, stratified sample of labelled texts (``per_lang`` texts for each
-language, those of smallest hash; ``windows`` windows of each). Applied, each text is cut into all
+gradient steps on windows of a bounded, stratified sample of labelled texts (about ``per_lang`` rows of each
+language, by a threshold on a hash of doc_id; ``windows`` windows of each). Applied, each text is cut into all
 its windows (none is left out); the window logits are averaged. For speed the filters of a trained
 network become lookup tables over bytes and byte pairs, which give the same sums.
 
@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, crc_mod, typed, utf8, with_ids
+from heddle.llm.common import byte_chunks, crc_mod, typed, utf8
 
 STEP = 128
 WIDTHS = (2, 3, 4)
@@ -151,16 +151,14 @@ class Scorer:
 
 
 def sample_windows(docs: DataFrame, per_lang: int, windows: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of at most ``per_lang`` texts of each language, those of smallest hash of doc_id."""
+    """Windows of about ``per_lang`` texts of each language, those whose hash of doc_id is below the language's threshold."""
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = (
-        rows.select("doc_id", "lang")
-        .withColumn("_r", F.row_number().over(order))
-        .filter(F.col("_r") <= per_lang)
-        .select("doc_id")
-        .distinct()
-    )
+    counts = rows.groupBy("lang").count().collect()  # a row for each language, as the network's output has
+    if not counts:
+        return np.zeros((0, REACH), np.uint8), np.zeros(0, np.int64), []
+    least = {r["lang"]: int((1 << 40) * min(1.0, per_lang / r["count"])) for r in counts}
+    limit = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))[F.col("lang")]
+    picked = rows.filter(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(1 << 40)) < limit)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +176,6 @@ def sample_windows(docs: DataFrame, per_lang: int, windows: int) -> tuple[np.nda
                 ["lang", "bytes"],
             )
 
-    picked = with_ids(rows.select("doc_id", "lang", "text"), few).join(few, "doc_id")  # a semi-join would be moved below the bitmap
     found = picked.select("doc_id", "lang", "text").mapInArrow(cut, "lang string, bytes binary").collect()
     found = sorted((r["lang"], bytes(r["bytes"])) for r in found)
     langs = sorted({a for a, _ in found})
