@@ -9,11 +9,11 @@ concentrated as under independent sampling; a large text fills its bins in one o
 Linking: equal shingle sets become one class. Classes that share a band of ``rows`` coordinates are
 candidates; with the defaults a pair at 0.8 is missed with probability 1.2e-6. Within a bucket the
 candidates are first compared with its smallest class only (a star). The texts of buckets that then
-still hold several components are compared across components by prefixes: with every set ordered by
-rising frequency of its shingles, two sets that reach the similarity share a shingle among the first ninth
-of the smaller one and the first fifth of the larger one (for 0.8), whatever the order. This is
-exact, and frequent shingles, which a template repeats, seldom stand that far in front. A shingle that does is dealt in blocks,
-and the largest component of its texts is never compared with itself.
+still hold several components are looked at by prefixes: with every set ordered by rising frequency of
+its shingles, two sets that reach the similarity share a shingle among the first fifth of each (for 0.8),
+whatever the order. This is exact, and frequent shingles, which a template repeats, seldom stand that far
+in front. Texts that such shingles connect across components are a family; in blocks, those outside of its
+largest component are compared with all of it, and only links become rows.
 Every link is confirmed on the full sets, made again from the texts. Groups are connected components.
 Hot keys (a bucket, a class of copies, a star's centre) are split over tasks.
 
@@ -40,7 +40,7 @@ from heddle.llm.words import GOLD, salted, shingles
 
 BANDS, ROWS = 45, 6
 CHUNK = 1_000_000
-BLOCK = 2048
+BLOCK = 256
 #: Cells of the table of shingle frequencies (by hash; 2 MB): it only orders the shingles.
 CELLS = 1 << 18
 
@@ -111,7 +111,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     few = with_ids(documents(texts), need)
     total = pairs.count()
-    limit = max(4096, total // 10_000)
+    limit = max(1024, total // 10_000)
     many = pairs.groupBy("b").agg(F.count("*").alias("m"))
     hot = F.broadcast(many.filter(F.col("m") > limit).select("b", F.ceil(F.col("m") / limit).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
@@ -172,10 +172,9 @@ def frequencies(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, order: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(h, rep, component, n, lead) of ``rows`` (rep, component, text): the rarest shingles of each set.
+    """(h, rep, component) of ``rows`` (rep, component, text): the n - ceil(t n) + 1 rarest shingles of each set.
 
-    They are the first n - ceil(t n) + 1, which a set needs against smaller ones; ``lead`` marks the first
-    n - ceil(2 t n / (1 + t)) + 1, enough against sets that are not smaller.
+    A set x that reaches t with y has at least t |x| shingles in common with it, so the two prefixes meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,49 +185,96 @@ def prefixes(rows: DataFrame, order: np.ndarray, words: int, percent: int) -> Da
                 owner = np.repeat(np.arange(len(size)), size)
                 sort = np.lexsort((value, order[_cell(value)], owner))
                 value, owner = value[sort], owner[sort]
-                place, n = np.arange(len(value)) - first[owner], size[owner]
-                keep = place < n + 1 + (-percent * n) // 100
-                lead = place < n + 1 + (-2 * percent * n) // (100 + percent)
+                n = size[owner]
+                keep = np.arange(len(value)) - first[owner] < n + 1 + (-percent * n) // 100
                 owner = pa.array(owner[keep])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(value[keep].view(np.int64)),
-                        batch["rep"].take(owner),
-                        batch["component"].take(owner),
-                        pa.array(n[keep]),
-                        pa.array(lead[keep]),
-                    ],
-                    ["h", "rep", "component", "n", "lead"],
-                )
+                columns = [pa.array(value[keep].view(np.int64)), batch["rep"].take(owner), batch["component"].take(owner)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "rep", "component"])
+
+    return rows.mapInArrow(run, "h long, rep long, component long")
+
 
-    return rows.mapInArrow(run, "h long, rep long, component long, n long, lead boolean")
+def block_links(
+    value: np.ndarray, first: np.ndarray, component: np.ndarray, left: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
+    """Links (row, row) from ``left`` rows to the others, between different components: one for each merge they make.
+
+    Intersections come from products of incidence matrices, a slice of shingles at a time.
+    """
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(size)), size)
+    names, at, times = np.unique(value, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column, owner = (np.cumsum(shared) - 1)[at[shared[at]]], owner[shared[at]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((int(left.sum()), int((~left).sum())), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((len(size), 4096), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        common += part[left] @ part[~left].T
+    union = size[left][:, None] + size[~left][None, :] - common
+    ok = (100 * common >= percent * union) & (component[left][:, None] != component[~left][None, :])
+    _, label = np.unique(component, return_inverse=True)
+    root = list(range(len(label)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    rows, others, out = np.flatnonzero(left), np.flatnonzero(~left), []
+    for i, j in np.argwhere(ok).tolist():
+        x, y = find(label[rows[i]]), find(label[others[j]])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(rows[i]), int(others[j])))
+    return out
 
 
-def cross_candidates(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) between texts of ``rest`` (rep, component) of different components that may reach the similarity: no such pair is left out."""
+def family_links(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts of ``rest`` (rep, component) of different components, enough to join all that reach the similarity."""
     spark = rest.sparkSession
     few = with_ids(documents(texts), rest.select(F.col("rep").alias("doc_id")))
+    order = frequencies(few, words)
     named = few.withColumnRenamed("doc_id", "rep").join(rest, "rep").select("rep", "component", "text")
-    front = materialise(spark, prefixes(named, frequencies(few, words), words, percent), "prefixes")
-    shares = front.groupBy("h", "component").agg(F.count("*").alias("k"))
-    shared = shares.groupBy("h").agg(
-        F.sum("k").alias("n_h"), F.count("*").alias("components"), F.max_by("component", F.struct("k", "component")).alias("top")
+    named = materialise(spark, named, "rest-texts")
+    front = materialise(spark, prefixes(named.select("rep", "component", "text"), order, words, percent), "prefixes")
+    shared = front.groupBy("h").agg(
+        F.min("rep").alias("b"), F.count("*").alias("_n"), F.min("component").alias("lo"), F.max("component").alias("hi")
     )
-    shared = materialise(spark, shared.filter("components > 1").select("h", "n_h", "top"), "shared")
-    live = spread_join(front, shared, ["h"], front.count(), hot=shared.select("h", F.col("n_h").alias("_n")))
-    blocks = F.ceil(F.col("n_h") / F.lit(BLOCK)).cast("int")
-    live = live.withColumn("minor", F.col("component") != F.col("top")).withColumn("blocks", blocks)
-    kept = ["h", "block", "rep", "component", "n", "lead", "minor"]
-    at_home = live.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select(*kept)
-    abroad = live.filter("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*kept)
-    x, y = at_home.alias("x"), abroad.alias("y")
-    met = (
-        "x.h = y.h and x.block = y.block and x.component <> y.component and (not x.minor or y.rep < x.rep) "
-        f"and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) "
-        "and (x.lead or x.n > y.n) and (y.lead or y.n > x.n)"
+    shared = materialise(spark, shared.filter("lo <> hi").select("h", "b", "_n"), "shared")
+    edges = spread_join(front, shared.select("h", "b"), ["h"], front.count(), hot=shared.select("h", "_n"))
+    families = components(edges.select(F.col("rep").alias("a"), "b").distinct())
+    rows = named.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    parts = rows.groupBy("family", "component").agg(F.count("*").alias("k"))
+    sums = parts.groupBy("family").agg(
+        F.sum("k").alias("_n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("top")
     )
-    pairs = x.join(y, F.expr(met)).selectExpr("greatest(x.rep, y.rep) a", "least(x.rep, y.rep) b")
-    return materialise(spark, pairs.distinct(), "candidates")
+    sums = sums.withColumn("js", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    sums = sums.withColumn("is", F.ceil((F.col("_n") - F.col("most")) / BLOCK).cast("int"))
+    sums = materialise(spark, sums.filter("_n > most").select("family", "_n", "top", "is", "js"), "families")
+    found = spread_join(rows, sums.drop("_n"), ["family"], named.count(), hot=sums.select("family", "_n"))
+    found = materialise(spark, found, "family")
+    home = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["family", "i", "j", "left", "rep", "component", "text"]
+    outside = found.filter("component <> top").withColumn("i", home("is")).withColumn("j", every("js")).withColumn("left", F.lit(True))
+    all_ = found.withColumn("j", home("js")).withColumn("i", every("is")).withColumn("left", F.lit(False))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        component, rep, left = (table[c].to_numpy() for c in ("component", "rep", "left"))
+        pairs = []
+        if left.any() and not left.all() and (component != component[0]).any():
+            value, first = shingles(*utf8(table["text"]), words)
+            pairs = block_links(value, first, component, left, percent)
+        ends = [(max(rep[i], rep[j]), min(rep[i], rep[j])) for i, j in pairs]
+        return pa.table({c: pa.array([e[k] for e in ends], pa.int64()) for k, c in enumerate("ab")})
+
+    return outside.select(*kept).unionAll(all_.select(*kept)).groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -263,8 +309,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     rest = spread_join(named, mixed.select("key"), ["key"], n_members, hot=mixed)
     rest = materialise(spark, rest.select("rep", "component").distinct(), "rest")
     if rest.limit(1).count():
-        more = verify(cross_candidates(rest, docs, words, percent), docs, words, percent)
-        links = materialise(spark, links.unionAll(more), "links")
+        links = materialise(spark, links.unionAll(family_links(rest, docs, words, percent)), "links")
         labels = components(links)
 
     reps = classes.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
