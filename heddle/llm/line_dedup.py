@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import documents, shared_dir
+from heddle.llm.common import documents, shared_dir, spread_join
 
 SPACE = " \t\n\x0b\f\r"
 #: Hash columns of a run: two independent 64-bit hashes, so that unequal keys do not meet.
@@ -148,7 +148,8 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, more: t
     """(doc_id, n_lines, n_dropped, text): ``docs`` without the lines whose key hash is in ``frequent``.
 
     The columns ``more`` of ``docs`` come last. Only hashes are shuffled to find each row's frequent keys; rows that have none never move. The
-    frequent keys are joined by a broadcast below Spark's own size threshold and by sort-merge beyond.
+    frequent keys (h1, h2, docs) are joined by a broadcast below Spark's own size threshold and by sort-merge beyond, the
+    most frequent ones split.
     """
     rows = documents(docs, *more).withColumn("_row", F.xxhash64("doc_id", "text"))
     rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(0)))  # a null doc_id joins too; the row's hash tells it from 0
@@ -157,10 +158,11 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, more: t
         "_row",
         F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), line_key))).alias("_key"),
     ).filter(F.length("_key") >= min_chars)
+    keyed = lines.select("_id", "_row", key_hash(F.col("_key")).alias("k"))
+    keyed = keyed.select("_id", "_row", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
+    total = frequent.agg(F.sum("docs")).first()[0] or 0  # the rows that the join keeps
     hit = (
-        lines.select("_id", "_row", key_hash(F.col("_key")).alias("k"))
-        .select("_id", "_row", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
-        .join(frequent.select(*KEY), KEY)
+        spread_join(keyed, frequent.select(*KEY), KEY, total, hot=frequent.select(*KEY, F.col("docs").alias("_n")))
         .groupBy("_id", "_row")
         .agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
     )
