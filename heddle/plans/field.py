@@ -128,8 +128,8 @@ def structured_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """The search address of each first question and of literal ones."""
-    asked = table(spark, sf, "conversations").filter("turn = 0 AND text IS NOT NULL").select(F.substring("text", 1, 60).alias("query"))
+    """The search address of each text of a conversation, whole, and of literal ones."""
+    asked = table(spark, sf, "conversations").filter("text IS NOT NULL").select(F.col("text").alias("query"))
     rows = asked.unionAll(_literals(spark, SEARCHES, "query")).distinct()
     return rows.select("query", ops.search_url(F.col("query")).alias("url"))
 
@@ -249,7 +249,7 @@ SELECT key, value, CASE WHEN value IN ('', 'true', 'false', 'null') THEN 'data'
   round(greatest(0.05, least(1.0, 0.05 + (k * 0.3 + v * 0.7) * 0.95
     - CASE WHEN {_has("lower(value)", "^https?://")} THEN 0.3 WHEN n < 10 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS relevance FROM f""",
     "search_urls": f"""SELECT query, {quoted(ops.SEARCH)} || replace(url_encode(query), '%20', '+') AS url FROM (
-  SELECT substring(text, 1, 60) AS query FROM conversations WHERE turn = 0 AND text IS NOT NULL UNION SELECT unnest({listed(SEARCHES)}))""",
+  SELECT text AS query FROM conversations WHERE text IS NOT NULL UNION SELECT unnest({listed(SEARCHES)}))""",
     "search_result_urls": f"""SELECT url, url_decode(replace(regexp_extract(url, 'uddg=([^&]*)', 1), '+', ' ')) AS target,
   {_any("lower(url)", ops.ADS)} AS ad FROM (SELECT unnest({listed(RESULT_URLS)}) AS url UNION ALL SELECT url FROM pages)""",
     "page_goal_overlap": f"""

@@ -19,10 +19,11 @@ def by_time() -> WindowSpec:
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
-    """(user_id, event_id, ts, state, warnings, changed, step): changed where the state differs from the last."""
+    """(user_id, event_id, ts, state, warnings, tens, changed, step): changed where the state differs from the last."""
     rows = table(spark, sf, "events").select(
-        "user_id", "event_id", "ts", F.col("event_type").alias("state"), (F.floor("value") % 10).cast("long").alias("warnings")
-    )
+        "user_id", "event_id", "ts", F.col("event_type").alias("state"), (F.floor("value") % 10).cast("long").alias("warnings"),
+        F.floor(F.col("value") / 10).cast("long").alias("tens"),
+    )
     last = F.lag("state").over(by_time())
     return rows.withColumn("changed", F.coalesce((last != F.col("state")).cast("int"), F.lit(0))).withColumn(
         "step", F.row_number().over(by_time()).cast("long")
@@ -49,7 +50,10 @@ def escalation_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """(user_id, kind, confidence): findings of four kinds with the weight of their kind."""
+    """(user_id, kind, confidence): findings of four kinds with the weight of their kind.
+
+    A snapshot has three parts (state, warnings, tens of the value); a step that changes most of them is structural.
+    """
     escalating = escalation_steps(spark, sf).select("user_id", F.lit("escalating").alias("kind"), "confidence", F.lit(0.9).alias("w"))
     seen = _log(spark, sf).groupBy("user_id", "state").agg(
         F.count("*").alias("obs"), F.sum((F.col("warnings") >= 8).cast("int")).alias("warned"), F.sum("changed").alias("changes")
@@ -58,12 +62,20 @@ def _patterns(spark: SparkSession, sf: str) -> DataFrame:
     gradual = seen.filter("obs > 2 AND warned > 0 AND warned < obs").select(
         "user_id", F.lit("gradual").alias("kind"), F.round(share, 6).alias("confidence"), F.lit(0.8).alias("w")
     )
+    parts = ["state", "warnings", "tens"]
+    moved = sum((F.lag(p).over(by_time()) != F.col(p)).cast("int") for p in parts)
+    steps = _log(spark, sf).withColumn("moved", moved)
+    structural = (
+        steps.filter(F.col("moved") / len(parts) > 0.5)
+        .select("user_id", F.lit("structural").alias("kind"), F.lit(0.5).alias("confidence"), F.lit(0.4).alias("w"))
+        .distinct()
+    )
     volatile = (
         seen.filter("obs >= 3 AND changes / obs > 0.7")
         .select("user_id", F.lit("volatile").alias("kind"), F.lit(0.6).alias("confidence"), F.lit(0.5).alias("w"))
         .distinct()
     )
-    return escalating.unionAll(gradual.filter("confidence > 0.2")).unionAll(volatile)
+    return escalating.unionAll(gradual.filter("confidence > 0.2")).unionAll(volatile).unionAll(structural)
 
 
 def adversarial_patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,14 +89,18 @@ def risk_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predict_next(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected warnings: the mean of the last three, rounded up; 0 after a single snapshot."""
+    """Expected warnings: the mean of the last three, rounded up; 0 after a single snapshot. And the states likely to change."""
     late = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     rows = _log(spark, sf).withColumn("back", F.row_number().over(late))
-    return rows.groupBy("user_id").agg(
+    seen = rows.groupBy("user_id", "state").agg(F.count("*").alias("obs"), F.sum("changed").alias("changes"))
+    volatile = F.array_sort(F.collect_set(F.when((F.col("obs") >= 2) & (F.col("changes") / F.col("obs") > 0.5), F.col("state"))))
+    likely = seen.groupBy("user_id").agg(F.array_join(volatile, ",").alias("likely_changed"))
+    found = rows.groupBy("user_id").agg(
         F.when(F.count("*") >= 2, F.ceil(F.avg(F.when(F.col("back") <= 3, F.col("warnings"))))).otherwise(0).cast("long").alias("expected"),
         F.max(F.when(F.col("back") == 1, F.col("state"))).alias("last_state"),
         F.when(F.count("*") >= 3, 0.7).otherwise(0.3).alias("confidence"),
     )
+    return found.join(likely, "user_id")
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,12 +191,16 @@ def ttl_valid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ema_gain(spark: SparkSession, sf: str) -> DataFrame:
-    """Exponential moving average (0.3) of the first 50 values of each user, in order."""
-    early = _values(spark, sf).filter("step <= 50").groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"]).alias("vs")
+    """Exponential moving average (0.3) of all values of each user, in order.
+
+    A value that stands ``back`` places before the last weighs 0.3 * 0.7 ** back, the first one 0.7 ** back: a plain sum.
+    """
+    late = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = table(spark, sf, "events").select(
+        "user_id", "value", F.row_number().over(by_time()).alias("step"), (F.row_number().over(late) - 1).alias("back")
     )
-    ema = F.aggregate(F.slice("vs", 2, 50), F.get("vs", F.lit(0)), lambda acc, v: acc * 0.7 + v * 0.3)
-    return early.select("user_id", F.size("vs").cast("long").alias("n"), F.round(ema, 6).alias("ema"))
+    weight = F.pow(F.lit(0.7), F.col("back")) * F.when(F.col("step") == 1, 1.0).otherwise(0.3)
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * weight), 6).alias("ema"))
 
 
 def _values(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,11 +267,18 @@ def snapshot_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def content_hash_changed(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources whose content hash differs between versions: order-free sums of row hashes."""
+    """Languages whose content differs between versions: two order-free sums of 64-bit row hashes; one that came or went differs.
+
+    Sums need no sorted list of a language's rows in one task; that both agree by chance has a probability of 2 ** -128.
+    """
     old, new = _versions(spark, sf)
-    digest = lambda df: df.groupBy("lang").agg(F.sum(F.crc32(F.concat_ws("|", "doc_id", "source", "n_chars").cast("binary"))).alias("h"), F.count("*").alias("n"))  # noqa: E731, E501
-    o, n = digest(old), digest(new)
-    return o.join(n.withColumnsRenamed({"h": "h2", "n": "n2"}), "lang").select("lang", (F.col("h") != F.col("h2")).alias("changed"), "n", "n2")
+    row = F.concat_ws("|", "doc_id", "source", "n_chars")
+    total = lambda h: F.sum(h.cast("decimal(38,0)"))
+    digest = F.struct(total(F.xxhash64(row)), total(F.xxhash64(F.lit(7), row)))
+    of = lambda df, h, n: df.groupBy("lang").agg(digest.alias(h), F.count("*").alias(n))
+    both = of(old, "h", "n").alias("o").join(of(new, "h2", "n2").alias("m"), F.col("o.lang").eqNullSafe(F.col("m.lang")), "full")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select(F.coalesce("o.lang", "m.lang").alias("lang"), (~F.col("h").eqNullSafe(F.col("h2"))).alias("changed"), count("n"), count("n2"))
 
 
 LOG = """
@@ -265,10 +292,14 @@ esc AS (SELECT user_id, sum(rise)::BIGINT AS rises, count(*) AS steps, round(lea
   FROM log GROUP BY user_id HAVING sum(rise) >= 3),
 seen AS (SELECT user_id, state, count(*) AS obs, count(*) FILTER (WHERE warnings >= 8) AS warned, sum(changed) AS changes
   FROM log GROUP BY ALL),
+moves AS (SELECT user_id, (lag(event_type) OVER w <> event_type)::INT + ((lag(floor(value)::BIGINT % 10) OVER w) <> floor(value)::BIGINT % 10)::INT
+    + (lag(floor(value / 10)::BIGINT) OVER w <> floor(value / 10)::BIGINT)::INT AS moved
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 patterns AS (SELECT user_id, 'escalating' AS kind, confidence, 0.9::DOUBLE AS w FROM esc
   UNION ALL SELECT user_id, 'gradual', round(least(0.9, warned / obs), 6)::DOUBLE, 0.8 FROM seen
     WHERE obs > 2 AND warned > 0 AND warned < obs AND round(least(0.9, warned / obs), 6) > 0.2
-  UNION ALL SELECT DISTINCT user_id, 'volatile', 0.6::DOUBLE, 0.5 FROM seen WHERE obs >= 3 AND changes / obs > 0.7),
+  UNION ALL SELECT DISTINCT user_id, 'volatile', 0.6::DOUBLE, 0.5 FROM seen WHERE obs >= 3 AND changes / obs > 0.7
+  UNION ALL SELECT DISTINCT user_id, 'structural', 0.5::DOUBLE, 0.4 FROM moves WHERE moved / 3 > 0.5),
 raw_edges AS (SELECT state AS a, b, count(*) AS obs, avg((ahead >= 8)::INT) AS risk FROM log WHERE b IS NOT NULL GROUP BY ALL),
 edges AS (SELECT a, b, obs, round(obs / sum(obs) OVER (PARTITION BY a), 6)::DOUBLE AS probability, round(risk, 6) AS risk FROM raw_edges)
 """
@@ -303,8 +334,10 @@ ORACLE = {
     "risk_score": LOG + "SELECT user_id, round(least(1.0, avg(w * confidence)), 4) AS risk FROM patterns GROUP BY user_id",
     "predict_next": LOG
     + """SELECT user_id, CASE WHEN count(*) >= 2 THEN ceil(avg(warnings) FILTER (WHERE back <= 3))::BIGINT ELSE 0 END AS expected,
-  max(state) FILTER (WHERE back = 1) AS last_state, (CASE WHEN count(*) >= 3 THEN 0.7 ELSE 0.3 END)::DOUBLE AS confidence
-FROM log GROUP BY user_id""",
+  max(state) FILTER (WHERE back = 1) AS last_state, (CASE WHEN count(*) >= 3 THEN 0.7 ELSE 0.3 END)::DOUBLE AS confidence,
+  any_value(likely) AS likely_changed
+FROM log JOIN (SELECT user_id, coalesce(string_agg(state, ',' ORDER BY state) FILTER (WHERE obs >= 2 AND changes / obs > 0.5), '') AS likely
+  FROM seen GROUP BY user_id) USING (user_id) GROUP BY user_id""",
     "markov_edges": LOG + "SELECT * FROM edges",
     "predict_outcome": LOG
     + """SELECT a, first(b ORDER BY probability DESC, b) AS next_state, round(sum(probability * risk), 5) AS expected_risk
@@ -325,7 +358,7 @@ WHERE event_type <> 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE
     "ttl_valid": """SELECT event_id, user_id, event_type FROM events WHERE ts <= TIMESTAMP '2024-01-15'
   AND ts + CASE WHEN event_type = 'purchase' THEN INTERVAL 24 HOUR ELSE INTERVAL 1 HOUR END > TIMESTAMP '2024-01-15'""",
     "ema_gain": LOG
-    + """, v AS (SELECT user_id, list(value ORDER BY step) AS vs FROM log WHERE step <= 50 GROUP BY user_id)
+    + """, v AS (SELECT user_id, list(value ORDER BY step) AS vs FROM log GROUP BY user_id)
 SELECT user_id, len(vs) AS n, round(list_reduce(vs, lambda acc, x: acc * 0.7::DOUBLE + x * 0.3::DOUBLE), 6) AS ema FROM v""",
     "low_gain_streak": LOG
     + """, g AS (SELECT user_id, value < 50 AS low, sum((value >= 50)::INT) OVER (PARTITION BY user_id ORDER BY step) AS g FROM log)
@@ -340,5 +373,6 @@ SELECT user_id, vs[round(0.5 * (len(vs) - 1))::INT + 1] AS p50, vs[round(0.95 *
     "content_hash_changed": DIFF
     + """, a AS (SELECT lang, list_sort(list(concat_ws('|', doc_id, source, n_chars))) AS h, count(*) AS n FROM o GROUP BY lang),
 b AS (SELECT lang, list_sort(list(concat_ws('|', doc_id, source, n_chars))) AS h, count(*) AS n2 FROM n GROUP BY lang)
-SELECT lang, a.h <> b.h AS changed, n, n2 FROM a JOIN b USING (lang)""",
+SELECT coalesce(a.lang, b.lang) AS lang, a.h IS DISTINCT FROM b.h AS changed, coalesce(n, 0) AS n, coalesce(n2, 0) AS n2
+FROM a FULL JOIN b ON a.lang IS NOT DISTINCT FROM b.lang""",
 }

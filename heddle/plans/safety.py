@@ -30,7 +30,7 @@ def _with_attacks(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _scan(rows: DataFrame) -> DataFrame:
-    return rows.select(
+    return rows.filter(ops.may_hold_risk(F.col("text"))).select(
         "id",
         ops.risk_severity(F.col("text")).alias("severity"),
         ops.ascii_lower(ops.risk_phrase(F.col("text"))).alias("phrase"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.functions.text import FIELD_PRIORITY, lookup
+from heddle.functions.text import FIELD_PRIORITY, TREE_PRIORITY, lookup, text_similarity
 from heddle.sources import html_dom as ops
 from heddle.sources.tables import table
 
@@ -94,10 +94,12 @@ def template_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def find_clickable(spark: SparkSession, sf: str) -> DataFrame:
-    """The best node to click on each page: 0.8 of label similarity and 0.2 of the role's weight."""
-    rows = sem_nodes(spark, sf).filter("action = 'click'")
-    best = Window.partitionBy("page_id").orderBy(F.desc("relevance"), "node_id")
-    return rows.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("page_id", "node_id", "role", "label", "relevance")
+    """The best node to click on each page: 0.8 of label similarity and 0.2 of the role's weight, over 0.1 in all."""
+    score = text_similarity(F.lit(GOAL), F.col("label")) * 0.8 + lookup(F.col("role"), TREE_PRIORITY, 0.2) * 0.2
+    rows = sem_nodes(spark, sf).filter(F.col("role").isin("button", "link", "menuitem", "cta", "product_card"))
+    rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), score), 6)).filter("score > 0.1")
+    best = Window.partitionBy("page_id").orderBy(F.desc("score"), "node_id")
+    return rows.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("page_id", "node_id", "role", "label", "score")
 
 
 def tree_to_markdown(spark: SparkSession, sf: str) -> DataFrame:

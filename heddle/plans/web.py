@@ -19,6 +19,18 @@ REQUESTS = [
 ]
 HREFS = ["https://a.b/c", "//cdn.x/y", "/abs?q=1", "#top", "?page=2", "rel/path", "../up", "", "mailto:a@b.c", " /sp "]
 BASES = ["https://site.org/dir/page.html?x=1#f", "http://site.org", "site.org/a/b"]
+# Seconds that pages stay cached, by what their address holds; the first line that fits.
+TTL = (
+    (600, ("wikipedia.org", "britannica.com", "docs.rs")),
+    (300, (".gov", "riksdagen.se")),
+    (30, ("news", "reuters", "bbc.com", "cnn.com")),
+    (60, ("worldpopulationreview", "premierleague", "npmjs.com")),
+)
+#: An address of each class, and two where the order decides.
+CACHED = [
+    "https://en.wikipedia.org/wiki/News", "https://docs.rs/serde", "https://www.weather.gov/news", "https://www.riksdagen.se/",
+    "https://www.REUTERS.com/", "https://www.bbc.com/sport", "https://www.premierleague.com/tables", "https://www.npmjs.com/package/x",
+]
 LINK = r'<a\s[^>]*href="([^"]*)"[^>]*>'
 SCRIPT = r"<script([^>]*)>"
 HANDLER = r"\son(click|load|submit|change|input|keydown|keyup|mouseover|focus|blur)\s*="
@@ -149,20 +161,20 @@ def tag_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_ttl_class(spark: SparkSession, sf: str) -> DataFrame:
     """Seconds that a page may stay cached, by its address."""
-    low = F.lower("url")
-    ttl = (
-        F.when(F.regexp_like(low, F.lit("/(login|cart|checkout|account)")), 30)
-        .when(F.regexp_like(low, F.lit("/(news|live|feed)|utm_source=feed")), 60)
-        .when(F.regexp_like(low, F.lit("/(docs|wiki|about)")), 600)
-        .otherwise(300)
-    )
-    return _urls(spark, sf).groupBy(ttl.cast("long").alias("ttl_s")).agg(F.count("*").alias("n"))
+    low, ttl = F.lower("url"), None
+    for seconds, parts in TTL:
+        hit = F.regexp_like(low, F.lit(ops.alternatives(parts)))
+        ttl = F.when(hit, seconds) if ttl is None else ttl.when(hit, seconds)
+    extra = spark.range(1).select(F.explode(F.array(*map(F.lit, CACHED))).alias("url"))
+    rows = _urls(spark, sf).unionAll(extra).select("url", ttl.otherwise(300).cast("long").alias("ttl_s"))
+    return rows.groupBy("ttl_s").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
 
 
 URLS = f"(SELECT url FROM pages UNION ALL SELECT unnest({listed(REQUESTS)}))"
 HOST = "CASE WHEN regexp_matches(url, '^https?://') THEN lower(regexp_extract(url, '^https?://([^/:]*)', 1)) END"
 DOMAIN = "lower(regexp_replace(split_part(string_split({0}, '://')[-1], '/', 1), '^www\\.', ''))"
 WORDS = GOAL.split()
+TTL_CASES = " ".join(f"WHEN regexp_matches(lower(url), {quoted(ops.alternatives(p))}) THEN {s}" for s, p in TTL)
 
 
 def relevance_sql(url: str) -> str:
@@ -250,8 +262,6 @@ FROM (SELECT page_id, coalesce(html, '') AS html FROM pages
   UNION ALL SELECT -unnest(range(1, {len(SNIPPETS) + 1})), unnest({listed(SNIPPETS)}))""",
     "tag_counts": """SELECT tag, count(*) AS n FROM (
   SELECT unnest(regexp_extract_all(lower(coalesce(html, '')), '<([a-z][a-z0-9]*)[\\s>]', 1)) AS tag FROM pages) GROUP BY tag""",
-    "page_ttl_class": f"""SELECT (CASE WHEN regexp_matches(lower(url), '/(login|cart|checkout|account)') THEN 30
-  WHEN regexp_matches(lower(url), '/(news|live|feed)|utm_source=feed') THEN 60
-  WHEN regexp_matches(lower(url), '/(docs|wiki|about)') THEN 600 ELSE 300 END)::BIGINT AS ttl_s, count(*) AS n
-FROM {URLS} GROUP BY 1""",
+    "page_ttl_class": f"""SELECT (CASE {TTL_CASES} ELSE 300 END)::BIGINT AS ttl_s, count(*) AS n, min(url) AS first_url
+FROM (SELECT url FROM {URLS} UNION ALL SELECT unnest({listed(CACHED)})) GROUP BY 1""",
 }
