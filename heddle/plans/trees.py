@@ -18,7 +18,13 @@ def dom_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sem_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.sem_nodes(table(spark, sf, "pages"), GOAL)
+    return ops.sem_nodes(table(spark, sf, "pages"), GOAL).drop("path")
+
+
+def _subtrees(rows: DataFrame) -> DataFrame:
+    """(page_id, node_id, below, ...): each node of ``rows`` once for itself and once for each ancestor among them, ``below`` levels up."""
+    up = rows.withColumnRenamed("node_id", "source").select("*", F.posexplode(F.reverse("path")).alias("below", "node_id"))
+    return up.join(rows.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
 
 
 def dom_tag_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,11 +61,45 @@ def tree_relevance_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bottom_up_score(spark: SparkSession, sf: str) -> DataFrame:
-    """A parent scores the larger of its own relevance and 0.75 of its best child's."""
-    rows = sem_nodes(spark, sf).select("page_id", "node_id", "parent_id", "relevance")
-    best = rows.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.max("relevance").alias("child"))
-    score = F.greatest("relevance", F.coalesce("child", F.lit(0.0)) * 0.75)
-    return rows.join(best, ["page_id", "node_id"], "left").select("page_id", "node_id", F.round(score, 6).alias("score"))
+    """A node scores the larger of its own relevance and 0.75 of its best child's score; links without children gain by their label."""
+    rows = ops.sem_nodes(table(spark, sf, "pages"), GOAL)
+    story = (F.col("role") == "link") & F.octet_length("label").between(30, 200)
+    best = _subtrees(rows.select("page_id", "node_id", "path", "relevance", story.alias("story"))).groupBy("page_id", "node_id").agg(
+        F.max(F.col("relevance") * F.pow(F.lit(0.75), F.col("below"))).alias("score"),
+        F.count("*").alias("nodes"),
+        F.max(F.when(F.col("below") == 0, F.col("story"))).alias("story"),
+    )
+    score = F.least(F.lit(1.0), F.col("score") * F.when(F.col("story") & (F.col("nodes") == 1), 1.15).otherwise(1.0))
+    return best.select("page_id", "node_id", F.round(score, 6).alias("score"))
+
+
+def pruned_tree(spark: SparkSession, sf: str, most: int = 300) -> DataFrame:
+    """The nodes of each page that pruning leaves, and the threshold it took.
+
+    A node stays if it or one below it is actionable, structural or as relevant as the threshold: 0.02, raised
+    to 0.2 and on by 0.05 (below 0.8) until at most ``most`` nodes are left.
+    """
+    rows = ops.sem_nodes(table(spark, sf, "pages"), GOAL)
+    firm = F.col("action").isNotNull() | F.col("role").isin("heading", "link", "price", "cta", "product_card")
+    strength = F.when(firm, 2.0).otherwise(F.col("relevance"))
+    below = _subtrees(rows.select("page_id", "node_id", "path", strength.alias("strength")))
+    best = below.groupBy("page_id", "node_id").agg(F.max("strength").alias("strength"))
+    steps = [0.02, *(round(0.2 + 0.05 * i, 2) for i in range(12))]
+    left = best.groupBy("page_id").agg(*(F.sum((F.col("strength") >= t).cast("int")).alias(f"_{i}") for i, t in enumerate(steps)))
+    choice = F.coalesce(*(F.when(F.col(f"_{i}") <= most, t) for i, t in enumerate(steps)), F.lit(steps[-1]))
+    return best.join(left.select("page_id", choice.alias("threshold")), "page_id").filter("strength >= threshold").select("page_id", "node_id", "threshold")
+
+
+def kept_children(spark: SparkSession, sf: str) -> DataFrame:
+    """Children that a parent keeps: relevant by over 0.15, actionable, with children of their own, or structural; with the number it drops."""
+    rows = sem_nodes(spark, sf)
+    parents = rows.select("page_id", F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    firm = F.col("action").isNotNull() | F.col("role").isin("heading", "link", "price", "cta", "product_card")
+    stays = (F.col("relevance") > 0.15) | firm | F.coalesce("inner", F.lit(False))
+    both = rows.join(parents, ["page_id", "node_id"], "left").withColumn("stays", stays).filter("parent_id IS NOT NULL")
+    return both.groupBy("page_id", "parent_id").agg(
+        F.sum(F.col("stays").cast("long")).alias("kept"), F.sum((~F.col("stays")).cast("long")).alias("dropped")
+    )
 
 
 def gap_cut(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +135,9 @@ def template_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 def find_clickable(spark: SparkSession, sf: str) -> DataFrame:
     """The best node to click on each page: 0.8 of label similarity and 0.2 of the role's weight, over 0.1 in all."""
-    score = text_similarity(F.lit(GOAL), F.col("label")) * 0.8 + lookup(F.col("role"), TREE_PRIORITY, 0.2) * 0.2
-    rows = sem_nodes(spark, sf).filter(F.col("role").isin("button", "link", "menuitem", "cta", "product_card"))
+    likeness = F.greatest(text_similarity(F.lit(GOAL), F.col("label")), text_similarity(F.lit(GOAL), F.coalesce("name", F.lit(""))))
+    score = likeness * 0.8 + lookup(F.col("role"), TREE_PRIORITY, 0.2) * 0.2
+    rows = sem_nodes(spark, sf).filter(F.col("role").isin("button", "link", "menuitem", "cta", "product_card") & ~F.col("disabled"))
     rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), score), 6)).filter("score > 0.1")
     best = Window.partitionBy("page_id").orderBy(F.desc("score"), "node_id")
     return rows.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("page_id", "node_id", "role", "label", "score")
@@ -118,7 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dom_nodes, sem_nodes, dom_tag_counts, role_histogram, page_profile, tree_relevance_topk, bottom_up_score, gap_cut,
-        calibrate, field_priority, template_fingerprint, find_clickable, tree_to_markdown,
+        calibrate, field_priority, template_fingerprint, find_clickable, tree_to_markdown, pruned_tree, kept_children,
     )
 }
 #: The tree builder is Python; tests hold the other queries against small hand-made pages.

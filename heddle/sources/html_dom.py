@@ -36,8 +36,10 @@ CLOSES = {
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 DOM = (
     "page_id long, node_id long, parent_id long, ord long, depth long, tag string, attrs map<string,string>, "
-    "text string, hidden boolean"
+    "text string, hidden boolean, path array<long>"
 )
+#: Ancestors that a node's path names at most, the nearest ones.
+NEAR = 255
 #: Characters of subtree text that an element keeps (a label has 512).
 KEPT = 513
 
@@ -112,18 +114,20 @@ def page_rows(page: int, html: str) -> list[tuple]:
     seen: dict[int | None, int] = {}
     texts: list[str] = []
     gone: list[bool] = []
+    paths: list[list[int]] = []
     out = []
     for i, (parent, depth, tag, attrs, text) in enumerate(b.rows):
         at = seen[parent] = seen.get(parent, -1) + 1
         hidden = tag in SKIPPED or _hidden(attrs) or (parent is not None and gone[parent])
         texts.append(text or "")
         gone.append(hidden)
+        paths.append([*([] if parent is None else paths[parent][-NEAR:]), i])
         up = parent if tag is None and not hidden else None
         while up is not None and len(texts[up]) < KEPT:
             texts[up] = (texts[up] + text.strip() + " ")[:KEPT]
             up = b.rows[up][0]
         out.append((page, i, parent, at, depth, tag, list(attrs.items()), hidden))
-    return [(*r[:7], t, r[7]) for r, t in zip(out, texts, strict=True)]
+    return [(*r[:7], t, r[7], p) for r, t, p in zip(out, texts, paths, strict=True)]
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -132,15 +136,15 @@ def _hidden(attrs: dict[str, str]) -> bool:
 
 
 def dom_nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, node_id, parent_id, ord, depth, tag, attrs, text, hidden): a row per element and text node.
+    """(page_id, node_id, parent_id, ord, depth, tag, attrs, text, hidden, path): a row per element and text node.
 
     A text node's text is whole; an element's is the start of its subtree's visible text. hidden holds for
-    nodes within a hidden or skipped element, too.
+    nodes within a hidden or skipped element, too. path lists the nearest NEAR ancestors, then the node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "node_id", "parent_id", "ord", "depth", "tag", "attrs", "text", "hidden"]
-        types = [pa.int64()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_()]
+        names = ["page_id", "node_id", "parent_id", "ord", "depth", "tag", "attrs", "text", "hidden", "path"]
+        types = [pa.int64()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_(), pa.list_(pa.int64())]
         for batch in batches:
             for page, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist(), strict=True):
                 rows = page_rows(page, html or "")
@@ -194,7 +198,7 @@ def label_of(text: Column) -> Column:
 
 
 def sem_nodes(pages: DataFrame, goal: str = "") -> DataFrame:
-    """(page_id, node_id, parent_id, depth, tag, role, label, value, action, relevance) of visible elements."""
+    """Visible elements with their role, label, value, action, relevance, html_id, name and whether they are disabled."""
     shown = dom_nodes(pages).filter("tag IS NOT NULL AND NOT hidden")
     text = F.coalesce("text", F.lit(""))
     value = F.when(F.col("role") == "link", _attr("href")).otherwise(F.coalesce(F.nullif(_attr("value"), F.lit("")), _attr("aria-valuenow")))
@@ -210,4 +214,8 @@ def sem_nodes(pages: DataFrame, goal: str = "") -> DataFrame:
         F.nullif(value, F.lit("")).alias("value"),
         F.nullif(lookup(F.col("role"), ACTIONS, ""), F.lit("")).alias("action"),
         F.round(tree_relevance(F.lit(goal), F.col("role"), F.col("label"), F.col("depth")), 6).alias("relevance"),
+        F.nullif(_attr("id"), F.lit("")).alias("html_id"),
+        F.nullif(_attr("name"), F.lit("")).alias("name"),
+        (F.array_contains(F.map_keys("attrs"), "disabled") | (_attr("aria-disabled") == "true")).alias("disabled"),
+        "path",
     )
