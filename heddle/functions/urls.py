@@ -20,9 +20,9 @@ TRACKING = (
 )
 # File extensions without text.
 EXTENSIONS = (
-    ".png .jpg .jpeg .gif .webp .svg .ico .bmp .avif .woff .woff2 .ttf .otf .eot .mp4 .webm .ogg .avi .mov "
-    ".mp3 .wav .flac .aac .pdf .zip .gz .tar .rar .map"
-).split()
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".ico", ".bmp", ".avif", ".woff", ".woff2", ".ttf", ".otf", ".eot",
+    ".mp4", ".webm", ".ogg", ".avi", ".mov", ".mp3", ".wav", ".flac", ".aac", ".pdf", ".zip", ".gz", ".tar", ".rar", ".map",
+)
 # Starts of media types without text.
 MEDIA_TYPES = (
     "image/", "font/", "video/", "audio/", "application/font", "application/pdf", "application/zip",
@@ -30,10 +30,10 @@ MEDIA_TYPES = (
 )
 # Parts of URLs that speak for and against relevance.
 RELEVANT = (
-    "product produkt cart checkout kassa varukorg login logga search sok sök api price pris order account konto "
-    "register registrera"
-).split()
-IRRELEVANT = "font analytics tracking beacon pixel telemetry".split()
+    "product", "produkt", "cart", "checkout", "kassa", "varukorg", "login", "logga", "search", "sok", "sök", "api", "price", "pris",
+    "order", "account", "konto", "register", "registrera",
+)
+IRRELEVANT = ("font", "analytics", "tracking", "beacon", "pixel", "telemetry")
 
 L1_HOST = f"(^|\\.)({alternatives(TRACKING)})$"
 L1_PATH = "/analytics|/tracking|/pixel"
