@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,13 +97,19 @@ def risk_phrase(text: Column) -> Column:
     return F.regexp_extract(text, RISK, 1)
 
 
+def prefix_pattern(words: tuple[str, ...]) -> str:
+    """A pattern that finds any of the words, with common beginnings written once, so that a position is soon left."""
+    if "" in words:
+        return ""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(re.escape(c) + prefix_pattern(tuple(rest)) for c, rest in groups.items()) + ")"
+
+
 def may_hold_risk(text: Column) -> Column:
-    """Whether a screening phrase or a hidden character is in the text: plain searches, cheaper than one alternation."""
-    low = ascii_lower(text)
-    found = F.contains(text, F.lit("\u200b")) | F.contains(text, F.lit("\ufeff"))
-    for phrase in HIGH_RISK + MEDIUM_RISK:
-        found = found | F.contains(low, F.lit(phrase))
-    return found
+    """Whether a screening phrase or a hidden character is in the text; far cheaper than to extract the first phrase."""
+    return F.regexp_like(text, F.lit(f"(?i){HIDDEN}|{prefix_pattern(HIGH_RISK + MEDIUM_RISK)}"))
 
 
 def risk_severity(text: Column) -> Column:
