@@ -7,9 +7,10 @@ largest norm of all vectors in the tree. The longest vectors of the table (at mo
 the tree: every query is compared with all of them. A query walks the tree through a priority queue of bins by distance; the number of leaves it opens is
 widened, doubling, until calibration queries reach the asked recall against brute force over the
 sample, the query itself left out. Each query also carries the k-th best score among the sample's vectors in those leaves, a lower
-bound: a leaf returns only what reaches it, so few candidate rows leave a task. A leaf that many queries open, or
-that holds many vectors, is dealt into blocks of about ``QUERIES`` queries and ``VECTORS`` vectors, and each pair
-of blocks is one group.
+bound: a leaf returns only what reaches it, so few candidate rows leave a task. Neighbouring leaves are bundled up to about
+``BUNDLE`` vectors: a query is sent once to each bundle, with the leaves it opens there, and compared with those leaves. A bundle
+that many queries open, or of a leaf that holds many vectors, is dealt into blocks of about ``QUERIES`` queries and ``VECTORS``
+vectors, and each pair of blocks is one group. What the driver gathers is a count for each leaf, bounded by the sample.
 
 Equal vectors are one class, searched once; their members come in again at the end, only the k + 1
 smallest ids of each, since no more can be among the k nearest of a query.
@@ -42,6 +43,8 @@ TAIL = 1024
 BRANCH = 8
 #: About how many queries and vectors meet in one group.
 QUERIES, VECTORS = 4096, 16_384
+#: About how many vectors the leaves of a bundle hold together.
+BUNDLE = 4096
 
 
 @dataclass
@@ -199,6 +202,22 @@ def longest(classes: DataFrame, most: int) -> tuple[list, int | None, float]:
     return few.mapInArrow(pick, few.schema).collect(), least, scale
 
 
+def bundles(counts: np.ndarray, target: int) -> np.ndarray:
+    """Each leaf's bundle: leaves in their order, a new bundle where the last one holds ``target`` vectors."""
+    out, held = np.zeros(len(counts), np.int64), 0
+    for leaf in range(1, len(counts)):
+        held += counts[leaf - 1]
+        new = held >= target
+        out[leaf] = out[leaf - 1] + new
+        held = 0 if new else held
+    return out
+
+
+def looked_up(values: np.ndarray, at: Column) -> Column:
+    """The value at a place of a small list that becomes one constant of the plan."""
+    return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), at.cast("int"))
+
+
 def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of the rows where ``queries`` holds."""
     spark = vectors.sparkSession
@@ -241,6 +260,11 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
 
     indexed = classes.select("rep", "embedding").mapInArrow(place, f"leaf long, rep long, embedding {kind}")
     indexed = materialise(spark, indexed, "indexed")
+    filed = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # a row for each leaf: their number is bounded by the sample's
+        filed[r["leaf"]] = r["count"]
+    bundle = bundles(filed, BUNDLE)
+    vs = np.maximum(1, -(-np.bincount(bundle, weights=filed).astype(np.int64) // VECTORS))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -248,39 +272,49 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
                 b = whole.slice(at, 256)
                 q = matrix(b["embedding"])
                 visits = [tree.visit(v, opened, held, k + 1) for v in q]
-                n = np.array(list(map(len, visits)))
+                sent = []  # query, bundle and opened leaves
                 bound = np.full(len(q), -np.inf)
                 for i, leaves in enumerate(visits):
                     # the (k + 1)-th best of the sample in the opened leaves, the query's own class included
                     have = np.concatenate([x[np.concatenate([members[leaf] for leaf in leaves])] @ q[i], far_x @ q[i]])
                     if len(have) > k:
                         bound[i] = np.partition(have, -k - 1)[-k - 1]
-                row = np.repeat(np.arange(len(q)), n)
+                    leaves = np.sort(np.asarray(leaves, np.int64))  # bundles are runs of leaves
+                    which, first = np.unique(bundle[leaves], return_index=True)
+                    sent += [(i, w, part) for w, part in zip(which, np.split(leaves, first[1:]), strict=True)]
+                row = np.array([i for i, _, _ in sent], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(visits), pa.int64()),
+                        pa.array(np.array([w for _, w, _ in sent], np.int64)),
+                        pa.array([part for _, _, part in sent], pa.list_(pa.int64())),
                         b["rep"].take(pa.array(row)),
                         pa.array(bound[row]),
                         b["embedding"].take(pa.array(row)),
                     ],
-                    ["leaf", "query", "bound", "vector"],
+                    ["bundle", "leaves", "query", "bound", "vector"],
                 )
 
     asked = classes.filter("asked").select("rep", "embedding")
     parts = max(1, asked.count() // 256)  # walking the tree is the cost, not the bytes
     routed = asked.repartition(parts, F.xxhash64("rep")).mapInArrow(
-        route, f"leaf long, query long, bound double, vector {kind}"
+        route, f"bundle long, leaves array<long>, query long, bound double, vector {kind}"
     )
     routed = materialise(spark, routed, "routed")
-    # a row for each leaf: their number is bounded by the sample's
-    qs = F.broadcast(routed.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")))
-    vs = F.broadcast(indexed.groupBy("leaf").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("vs")))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    group = ["leaf", "q", "v"]
-    q_side = routed.join(qs, "leaf").join(vs, "leaf").withColumn("q", F.pmod(F.xxhash64("query"), F.col("qs")).cast("int"))
-    v_side = indexed.join(qs, "leaf").join(vs, "leaf").withColumn("v", F.pmod(F.xxhash64("rep"), F.col("vs")).cast("int"))
-    q_side = q_side.withColumn("v", every("vs")).select(*group, "query", "bound", "vector")
-    v_side = v_side.withColumn("q", every("qs")).select(*group, "rep", "embedding")
+    qs = np.ones(len(vs), np.int64)
+    for r in routed.groupBy("bundle").count().collect():  # a row for each bundle, of which there are fewer than leaves
+        qs[r["bundle"]] = -(-r["count"] // QUERIES)
+
+    def blocks(n: np.ndarray) -> Column:
+        """Every block number of a row's bundle."""
+        return F.explode(F.sequence(F.lit(0), looked_up(n, F.col("bundle")) - 1))
+
+    def block_of(key: str, n: np.ndarray) -> Column:
+        return F.pmod(F.xxhash64(key), looked_up(n, F.col("bundle"))).cast("int")
+
+    group = ["bundle", "q", "v"]
+    q_side = routed.withColumn("q", block_of("query", qs)).withColumn("v", blocks(vs)).select(*group, "query", "leaves", "bound", "vector")
+    v_side = indexed.withColumn("bundle", looked_up(bundle, F.col("leaf")).cast("long")).withColumn("v", block_of("rep", vs))
+    v_side = v_side.withColumn("q", blocks(qs)).select(*group, "leaf", "rep", "embedding")
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query": [], "rep": [], "score": []}).astype({"query": "int64", "rep": "int64"})
@@ -288,10 +322,18 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall: float =
             return none
         a = np.stack(q["vector"].to_numpy()).astype(np.float64)
         b = np.stack(v["embedding"].to_numpy()).astype(np.float64)
+        leaf = v["leaf"].to_numpy()
+        low = leaf.min()
+        opened = np.zeros((len(q), leaf.max() - low + 1), bool)
+        n = q["leaves"].map(len).to_numpy()
+        mine = np.concatenate(q["leaves"].to_numpy()) - low
+        within = (mine >= 0) & (mine < opened.shape[1])  # a block may hold no vector of a bundle's first or last leaves
+        opened[np.repeat(np.arange(len(q)), n)[within], mine[within]] = True
         out = []
         for at in range(0, len(a), 512):
             s = a[at : at + 512] @ b.T
-            i, j = np.nonzero(s >= (q["bound"].to_numpy()[at : at + 512] - 1e-9)[:, None])
+            enough = s >= (q["bound"].to_numpy()[at : at + 512] - 1e-9)[:, None]
+            i, j = np.nonzero(enough & opened[at : at + 512][:, leaf - low])
             out.append((q["query"].to_numpy()[at + i], v["rep"].to_numpy()[j], np.einsum("nd,nd->n", a[at + i], b[j])))
         return pd.DataFrame(dict(zip(("query", "rep", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
