@@ -28,7 +28,7 @@ FRAMEWORKS = [
     ("Astro", r'<astro-island[^>]*?props="([^"]*)"', None),
     ("Apollo", BY_NAME.format("__APOLLO_STATE__"), None),
 ]
-ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 DEPTH = 8
 JSON = '<script id="{}" type="application/json"> {} </script>'
 PAGES = [
