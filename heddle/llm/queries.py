@@ -10,6 +10,7 @@ from heddle.llm.near_dup import op6_fast_similarity_sketch
 from heddle.llm.packing import op2_best_fit_packing
 from heddle.llm.pii import op5_crf_pii
 from heddle.llm.quality import op1_weak_labels
+from heddle.llm.token_files import op13_bit_packed
 
 QUERIES = {
     "op1_weak_labels": op1_weak_labels,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_byte_cnn": op8_byte_cnn,
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_gif_media": op10_gif_media,
+    "op13_bit_packed": op13_bit_packed,
 }
 
 ORACLE = {
