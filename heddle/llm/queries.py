@@ -11,6 +11,7 @@ from heddle.llm.packing import op2_best_fit_packing
 from heddle.llm.pii import op5_crf_pii
 from heddle.llm.quality import op1_weak_labels
 from heddle.llm.token_files import op13_bit_packed
+from heddle.llm.vector_codes import OP12_SQL, op12_delta_lloyd
 
 QUERIES = {
     "op1_weak_labels": op1_weak_labels,
@@ -23,9 +24,11 @@ QUERIES = {
     "op8_byte_cnn": op8_byte_cnn,
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_gif_media": op10_gif_media,
+    "op12_delta_lloyd": op12_delta_lloyd,
     "op13_bit_packed": op13_bit_packed,
 }
 
 ORACLE = {
     "op7_line_dedup": OP7_SQL,
+    "op12_delta_lloyd": OP12_SQL,
 }
