@@ -1,5 +1,6 @@
 """The registered opN_ queries and their SQL."""
 
+from heddle.llm.alignment import op11_striped_alignment
 from heddle.llm.ann import op9_kmeans_tree
 from heddle.llm.bpe import op3_bpe_transducer
 from heddle.llm.gif import op10_gif_media
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_cnn": op8_byte_cnn,
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_gif_media": op10_gif_media,
+    "op11_striped_alignment": op11_striped_alignment,
     "op12_delta_lloyd": op12_delta_lloyd,
     "op13_bit_packed": op13_bit_packed,
 }
