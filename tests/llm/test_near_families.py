@@ -44,10 +44,10 @@ def test_families_equal_all_pairs(spark, monkeypatch, split):
     if split:
         monkeypatch.setattr(common, "SPREAD", 5)
         monkeypatch.setattr(near_dup, "BLOCK", 16)
-    n = 40 if split else 120
-    texts = family(rng, n, 60, 3, 20) + family(rng, n, 60, 6, 4) + family(rng, n, 80, 9, 1 << 20)
+    n = 60 if split else 120
+    texts = family(rng, n, 60, 2, 3) + family(rng, n, 60, 3, 20) + family(rng, n, 80, 9, 1 << 20)
     want = all_pairs(texts, 2)
-    assert 1 < len(set(want.tolist())) < len(texts)
+    assert n < len(set(want.tolist())) < len(texts) - n // 4
     rows = spark.createDataFrame(list(enumerate(texts)) + [(len(texts) + i, texts[0]) for i in range(40)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_groups(rows, words=2).collect()}
     assert [got[i] for i in range(len(texts))] == want.tolist()
