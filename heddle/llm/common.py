@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,15 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
+def sampled(rows: DataFrame, below: Column) -> DataFrame:
+    """The different rows among ``rows`` whose hash of doc_id and text, modulo 2 ** 40, is ``below`` a bound, with the hash as _key.
+
+    Rows without a doc_id are told apart by their text, and equal rows count once; the repeats go before the shuffle.
+    """
+    keyed = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return keyed.filter(F.pmod("_key", F.lit(1 << 40)) < below).dropDuplicates(["_key", *(c for c in rows.columns if c not in ("doc_id", "text"))])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

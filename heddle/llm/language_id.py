@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, crc_mod, typed, utf8
+from heddle.llm.common import byte_chunks, crc_mod, sampled, typed, utf8
 
 STEP = 128
 WIDTHS = (2, 3, 4)
@@ -151,22 +151,25 @@ class Scorer:
 
 
 def sample_windows(docs: DataFrame, per_lang: int, windows: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of about ``per_lang`` texts of each language, those whose hash of doc_id is below the language's threshold."""
+    """Windows of about ``per_lang`` texts of each language, those whose hash of doc_id and text is below the language's threshold.
+
+    A row that is repeated is taken once, so that neither one text nor rows without a doc_id can fill the sample.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = rows.groupBy("lang").count().collect()  # a row for each language, as the network's output has
     if not counts:
         return np.zeros((0, REACH), np.uint8), np.zeros(0, np.int64), []
     least = {r["lang"]: int((1 << 40) * min(1.0, per_lang / r["count"])) for r in counts}
     limit = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))[F.col("lang")]
-    picked = rows.filter(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(1 << 40)) < limit)
+    picked = sampled(rows.select("doc_id", "lang", "text"), limit)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[str, bytes]] = []
-            for lang, doc, text in zip(*(batch[c].to_pylist() for c in ("lang", "doc_id", "text")), strict=True):
+            for lang, key, text in zip(*(batch[c].to_pylist() for c in ("lang", "_key", "text")), strict=True):
                 if not LETTER.search(text):
                     continue
-                raw, rng = text.encode(), np.random.default_rng(abs(doc or 0))
+                raw, rng = text.encode(), np.random.default_rng(key & (1 << 63) - 1)
                 for k in range(windows):
                     at = int(rng.integers(0, max(1, len(raw) - REACH + 1)))
                     size = REACH if k % 2 == 0 else int(rng.integers(12, REACH + 1))  # short texts occur too
@@ -176,7 +179,7 @@ def sample_windows(docs: DataFrame, per_lang: int, windows: int) -> tuple[np.nda
                 ["lang", "bytes"],
             )
 
-    found = picked.select("doc_id", "lang", "text").mapInArrow(cut, "lang string, bytes binary").collect()
+    found = picked.select("_key", "lang", "text").mapInArrow(cut, "lang string, bytes binary").collect()
     found = sorted((r["lang"], bytes(r["bytes"])) for r in found)
     langs = sorted({a for a, _ in found})
     number = {a: i for i, a in enumerate(langs)}

@@ -3,7 +3,7 @@
 Ten overlapping labellers look at each text and vote good, bad or nothing. Votes are counted by
 pattern over the whole table (at most 3 ** 10 patterns), and expectation-maximisation over the
 patterns estimates how often each labeller is right on good and bad texts and the share of good ones.
-The posterior is the label of a bounded sample of texts (about ``sample``, by hash) on which a
+The posterior is the label of a bounded sample of texts (about ``sample`` different rows, by a hash of doc_id and text) on which a
 logistic scorer over hashed features is trained; the scorer then scores every whole text.
 
 Defined results
@@ -16,7 +16,6 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import byte_chunks, documents, mix64, utf8
+from heddle.llm.common import byte_chunks, documents, mix64, sampled, utf8
 from heddle.llm.words import SPACES, salted, word_hashes
 
 LABELLERS = (
@@ -38,9 +37,6 @@ COMMON = (
     "le la les de des et en que un une pour dans est qui du il pas sur "
     "el los las y por con del se su para al como más"
 ).split()
-# Insults that mark a text as toxic.
-INSULTS = ("idiot", "moron", "loser", "scum", "stupid", "worthless", "pathetic", "trash", "disgusting", "vermin")
-INSULT = re.compile(r"\b(?:" + "|".join(INSULTS) + r")s?\b", re.IGNORECASE)
 DIMS = 1 << 16
 
 
@@ -207,7 +203,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 12, rate
 
 
 def classify(docs: DataFrame, sample: int = 2000, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, votes_good, votes_bad, posterior, score, keep, n_insults) of each whole text."""
+    """(doc_id, votes_good, votes_bad, posterior, score, keep) of each whole text."""
     rows = documents(docs)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +232,7 @@ def classify(docs: DataFrame, sample: int = 2000, threshold: float = 0.5) -> Dat
                 yield pa.RecordBatch.from_arrays([*lists, pa.array(good)], ["f", "x", "y"])
 
     share = min(1.0, sample / max(1, sum(r["count"] for r in seen)))
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * share)))
+    picked = sampled(rows.select("doc_id", "text"), F.lit(int((1 << 40) * share)))
     found = picked.mapInArrow(examples, "f array<int>, x array<float>, y double").collect()  # about `sample` texts
     w, bias = fit(_order(found))
 
@@ -248,16 +244,15 @@ def classify(docs: DataFrame, sample: int = 2000, threshold: float = 0.5) -> Dat
                 text, feat, value = features(body, offsets)
                 z = np.bincount(text, w[feat] * value, len(v)) + bias
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                insults = [len(INSULT.findall(t.as_py())) for t in batch["text"]]
                 columns = [(v == 1).sum(axis=1), (v == 0).sum(axis=1), model.posterior(v), p, p >= threshold]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], *map(pa.array, columns), pa.array(insults, pa.int64())],
-                    ["doc_id", "votes_good", "votes_bad", "posterior", "score", "keep", "n_insults"],
+                    [batch["doc_id"], *map(pa.array, columns)],
+                    ["doc_id", "votes_good", "votes_bad", "posterior", "score", "keep"],
                 )
 
     return rows.mapInArrow(
         run,
-        "doc_id long, votes_good long, votes_bad long, posterior double, score double, keep boolean, n_insults long",
+        "doc_id long, votes_good long, votes_bad long, posterior double, score double, keep boolean",
     )
 
 
