@@ -42,9 +42,9 @@ OWN, BUCKETS, DIM = 832, 192, 16
 CLASSES = OWN + BUCKETS
 START = CLASSES  # context before the first token
 LOOKUP = 65_536
-BATCH, NOISE = 8192, 48
-#: Rounds of training; steps that a shard makes in a round at least; tokens shuffled at once.
-ROUNDS, LEAST_STEPS, POOL = 3, 30, 1 << 18
+BATCH, NOISE = 2048, 48
+#: Rounds of training; times that a shard goes over each pool of a round, whatever its size; tokens shuffled at once.
+ROUNDS, PASSES, POOL = 3, 2, 1 << 18
 SLICE = 256
 
 
@@ -223,7 +223,7 @@ class Trainer:
 
 def shard_count(tokens: int) -> int:
     """Shards grow with the root of the corpus: so do the tokens of each."""
-    return max(8, int(np.sqrt(tokens / 20_000)))
+    return max(1, int(np.sqrt(tokens / 20_000)))
 
 
 def coded_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -251,7 +251,6 @@ class Part:
 
     def __init__(self, trainer: Trainer):
         self.trainer, self.tokens, self.open, self.size = trainer, 0, [], 0
-        self.kept: list[tuple[np.ndarray, ...]] = []
 
     def add(self, text: bytes) -> None:
         self.open.append(np.frombuffer(text, np.uint16).astype(np.int64))
@@ -266,23 +265,14 @@ class Part:
         outcome = np.concatenate(self.open)
         pool = (*contexts(outcome, first), outcome)
         self.tokens, self.open, self.size = self.tokens + len(outcome), [], 0
-        self.steps(pool)
-        if self.tokens <= LEAST_STEPS * BATCH:  # it may have to be gone over again
-            self.kept.append(pool)
-        else:
-            self.kept.clear()
-
-    def steps(self, pool: tuple[np.ndarray, ...]) -> None:
-        order = self.trainer.rng.permutation(len(pool[2]))
-        for a in range(0, len(order), BATCH):
-            self.trainer.step(*(x[order[a : a + BATCH]] for x in pool))
+        for _ in range(PASSES):
+            order = self.trainer.rng.permutation(len(outcome))
+            for a in range(0, len(order), BATCH):
+                self.trainer.step(*(x[order[a : a + BATCH]] for x in pool))
 
     def finish(self) -> list[np.ndarray]:
-        """The parameters; a shard of few tokens is gone over again as a whole until it has made its steps."""
+        """The parameters after the last pool."""
         self.close()
-        while self.kept and self.trainer.steps < LEAST_STEPS:
-            for pool in self.kept:
-                self.steps(pool)
         return self.trainer.p
 
 
