@@ -7,7 +7,8 @@ row is rewritten O(log n) times. Every run has the same buckets: the anti-joins,
 read them where they lie, and only a batch's own counts are shuffled (tests hold the plans to that).
 
 A table is added in batches that double, each about as large as all before it, so that joining every
-batch with the runs reads no more than about twice the table's keys.
+batch with the runs reads no more than about twice the table's keys. With four batches and a fanout of three the third one
+compacts its level.
 
 Defined results
 ---------------
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from heddle.llm.common import documents, shared_dir, spread_join
 
 SPACE = " \t\n\x0b\f\r"
+#: Runs of a level that are merged into one of the next.
+FANOUT = 3
 #: Hash columns of a run: two independent 64-bit hashes, so that unequal keys do not meet.
 KEY = ["h1", "h2"]
 
@@ -65,7 +68,7 @@ class LineRuns:
     new keys and its updates.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.path = path or f"{shared_dir(spark)}/heddle/lines-{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -129,26 +132,31 @@ class LineRuns:
 
 
 def doubling(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """``docs`` in batches of 1, 1, 2, 4, ... parts: whole input files by a hash of their path, or rows by a hash of doc_id.
+    """``docs`` in batches of 1, 1, 2, 4, ... parts: whole input files by a hash of their path, or rows by a hash of the row.
 
-    Whole files are read once; a table without files of its own (a computed one) is filtered by row.
+    Whole files are read once, and are taken if they leave no batch empty (their rows are counted without reading a column); a table of
+    few files, or without files of its own (a computed one), is dealt by row.
     """
+    parts = 1 << (batches - 1)
+
+    def batch(place: Column) -> Column:
+        return F.ceil(F.log2(F.pmod(place, F.lit(parts)) + 1)).cast("int")
+
+    by_row = batch(F.xxhash64("doc_id", "text"))
     try:
-        place = F.xxhash64("_metadata.file_path")
-        docs.select(place)
+        by_file = batch(F.xxhash64("_metadata.file_path"))
+        held = docs.groupBy(by_file.alias("b")).count().count()  # a row for each batch
     except AnalysisException:
-        place = F.xxhash64("doc_id")
-    parts = 1 << (batches - 1)
-    slot = F.pmod(place, F.lit(parts))
-    cuts = [0, *(1 << i for i in range(batches))]
-    return [docs.filter((slot >= a) & (slot < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        held = 0
+    number = by_file if held == batches else by_row
+    return [docs.filter(number == i) for i in range(batches)]
 
 
 def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): ``docs`` without the lines whose key hash is in ``frequent``.
 
-    The columns ``more`` of ``docs`` come last. Only hashes are shuffled to find each row's frequent keys; rows that have none never move. The
-    frequent keys (h1, h2, docs) are joined by a broadcast below Spark's own size threshold and by sort-merge beyond, the
+    The columns ``more`` of ``docs`` come last. Only hashes are shuffled to find each row's frequent keys; the texts
+    are shuffled once, to meet them, unless the rows with such keys are few enough for Spark to broadcast. The frequent keys (h1, h2, docs) are joined by a broadcast below Spark's own size threshold and by sort-merge beyond, the
     most frequent ones split.
     """
     rows = documents(docs, *more).withColumn("_row", F.xxhash64("doc_id", "text"))
@@ -186,7 +194,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, more: t
 
 
 def line_dedup(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, more: tuple[str, ...] = ()
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, more: tuple[str, ...] = ()
 ) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) without the lines whose key is in ``min_docs`` documents or more.
 

@@ -1,5 +1,7 @@
 """The levelled runs: new keys and updates by merge anti-joins, where the runs' side is never shuffled."""
 
+import pytest
+
 from heddle.llm import line_dedup
 from tests.llm.test_operators import ODD, SHAPE, brute_lines
 
@@ -49,6 +51,21 @@ def test_a_table_of_files_is_read_batch_by_batch(spark, tmp_path):
     assert got == {i: f"only {i}" for i in range(60)}
 
 
+@pytest.mark.parametrize("files", [1, 40])
+def test_no_batch_is_empty_and_a_level_is_compacted(spark, tmp_path, monkeypatch, files):
+    rows(spark, 0, 80).repartition(files).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    parts = [{r["doc_id"] for r in p.collect()} for p in line_dedup.doubling(docs, 4)]
+    assert all(parts) and sum(map(len, parts)) == 80 and set.union(*parts) == set(range(80))
+    merged, joined = [], []
+    merge, anti = line_dedup.LineRuns._merge, line_dedup.LineRuns.new_keys
+    monkeypatch.setattr(line_dedup.LineRuns, "_merge", lambda self, runs, label: merged.append(label) or merge(self, runs, label))
+    monkeypatch.setattr(line_dedup.LineRuns, "new_keys", lambda self, counts: joined.append(len(self.names())) or anti(self, counts))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs, min_docs=2).collect()}
+    assert got == {i: f"only {i}" for i in range(80)}
+    assert merged == ["level1", "totals"] and len(joined) == 3
+
+
 def test_odd_rows(spark):
     odd = spark.createDataFrame(ODD, SHAPE)
     got = sorted(((r["doc_id"], r["text"], r["word"]) for r in line_dedup.line_dedup(odd, min_docs=2, more=("word",)).collect()), key=repr)
