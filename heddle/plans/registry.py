@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that each define QUERIES (name -> callable(spark, sf_dir)) and ORACLE (name -> DuckDB SQL).
-MODULES: list[str] = ["retrieval", "safety", "web", "history", "trees", "vectors", "field", "pages", "labels", "forms", "results", "hydration", "hypervectors", "interaction"]
+MODULES: list[str] = ["retrieval", "safety", "web", "history", "trees", "vectors", "field", "pages", "labels", "forms", "results", "hydration", "hypervectors", "interaction", "feedback"]
 
 
 def collect() -> tuple[dict, dict]:
