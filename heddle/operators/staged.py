@@ -98,6 +98,13 @@ def contained(items: Column) -> Column:
     return F.transform(kept, lambda x: x["item"])
 
 
+def first_unlike(items: Column, most: int) -> Column:
+    """The first ``most`` items (rank order, each a struct with ``text``) whose text no kept one holds or is held by."""
+    none = F.filter(items, lambda x: F.lit(False))
+    like = lambda kept, x: F.exists(kept, lambda k: F.contains(k["text"], x["text"]) | F.contains(x["text"], k["text"]))
+    return F.aggregate(items, none, lambda kept, x: F.when((F.size(kept) >= most) | like(kept, x), kept).otherwise(F.array_append(kept, x)))
+
+
 def staged(nodes: DataFrame, goal: str, most: int = MOST) -> DataFrame:
     """(page_id, rank, node_id, role, label, score) of ``nodes`` (page_id, node_id, parent_id, role, label, level, likeness, text_likeness).
 

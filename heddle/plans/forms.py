@@ -87,13 +87,8 @@ def form_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def extract_data(spark: SparkSession, sf: str) -> DataFrame:
-    """The value of each key on each page, from its best node above 0.1; those of a confidence below 0.1 are left out.
-
-    A heading or list item that is the key itself names the value: its first child with a label, the next
-    node of the same parent, or the rest of its parent's label. Ties go to the first node.
-    """
-    rows = _nodes(spark, sf)
+def _found_by_key(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best nodes above 0.1 for each key on each page, with what stands near a node that is the key itself; ties go to the first node."""
     order = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
     rows = rows.withColumn("next", F.lead(F.struct("node_id", "label")).over(order))
     child = rows.filter("parent_id IS NOT NULL AND label <> '' AND role <> 'heading'")
@@ -109,7 +104,7 @@ def extract_data(spark: SparkSession, sf: str) -> DataFrame:
     score = _likeness(F.col("key"), "label", "name", "html_id", "value") + F.when(wish == F.col("role"), bonus).otherwise(0.0)
     scored = asked.withColumn("wish", wish).withColumn("score", score + F.col("relevance") * 0.1).filter("score > 0.1")
     first = Window.partitionBy("page_id", "key").orderBy(F.desc("score"), "node_id")
-    best = scored.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+    best = scored.withColumn("rank", F.row_number().over(first).cast("long")).filter(F.col("rank") <= most)
     best = best.join(child, ["page_id", "node_id"], "left").join(parent, ["page_id", "parent_id"], "left")
     plain = lambda c: F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit(" "))
     names_it = F.col("role").isin("heading", "listitem") & (plain("label") == plain("key"))
@@ -118,12 +113,32 @@ def extract_data(spark: SparkSession, sf: str) -> DataFrame:
     low, key = F.lower(near["label"]), F.lower(F.trim("label"))
     rest = F.trim(F.substring(near["label"], F.length(key) + 1, F.length(near["label"])))
     stripped = F.when(F.startswith(low, key) & (rest != ""), rest).otherwise(near["label"])
-    itself = F.coalesce(F.nullif("label", F.lit("")), "value")
-    value = F.when(F.col("wish") == "link", F.coalesce("value", "label")).when(names_it & near.isNotNull(), stripped).otherwise(itself)
-    source = F.when((F.coalesce("wish", F.lit("")) != "link") & names_it & near.isNotNull(), near["node_id"]).otherwise(F.col("node_id"))
     confidence = F.round(F.least(F.lit(1.0), F.col("score") * (0.4 + 0.6 * F.col("relevance"))), 6)
-    out = best.select("page_id", "key", value.alias("value"), source.alias("source_id"), confidence.alias("confidence"))
-    return out.filter("confidence >= 0.1")
+    return best.select(
+        "page_id", "key", "rank", "node_id", "label", F.col("value").alias("held"), "wish", (names_it & near.isNotNull()).alias("named"),
+        stripped.alias("told"), near["node_id"].alias("near_id"), F.coalesce(F.nullif("label", F.lit("")), "value").alias("itself"), confidence.alias("confidence"),
+    )
+
+
+def extract_data(spark: SparkSession, sf: str) -> DataFrame:
+    """The value of each key on each page, from its best node above 0.1; those of a confidence below 0.1 are left out.
+
+    A heading or list item that is the key itself names the value: its first child with a label, the next
+    node of the same parent, or the rest of its parent's label.
+    """
+    best = _found_by_key(_nodes(spark, sf), 1)
+    link = F.coalesce("wish", F.lit("")) == "link"
+    value = F.when(link, F.coalesce("held", "label")).when(F.col("named"), F.col("told")).otherwise(F.col("itself"))
+    source = F.when(~link & F.col("named"), F.col("near_id")).otherwise(F.col("node_id"))
+    return best.select("page_id", "key", value.alias("value"), source.alias("source_id"), "confidence").filter("confidence >= 0.1")
+
+
+def extract_data_multi(spark: SparkSession, sf: str, most: int = 3) -> DataFrame:
+    """Up to ``most`` values of each key on each page, as for a comparison; a link key takes labels here, and no confidence is too low."""
+    best = _found_by_key(_nodes(spark, sf), most)
+    value = F.when(F.col("named"), F.col("told")).otherwise(F.col("itself"))
+    source = F.when(F.col("named"), F.col("near_id")).otherwise(F.col("node_id"))
+    return best.select("page_id", "key", "rank", value.alias("value"), source.alias("source_id"), "confidence")
 
 
 def _trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +179,7 @@ def tree_diff(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", "key", "change", "f.*")
 
 
-QUERIES = {f.__name__: f for f in (form_fields, extract_data, tree_diff)}
+QUERIES = {f.__name__: f for f in (form_fields, extract_data, extract_data_multi, tree_diff)}
 #: Greedy assignment has no SQL; tests hold form_fields and extract_data against golden rows.
 ORACLE = {
     "tree_diff": f"""

@@ -35,6 +35,8 @@ FORMS = [
     (3, 1, "textbox", "Email", "", ""), (3, 2, "button", "Submit", "", ""), (4, 1, "textbox", "Lösenord", "", ""), (4, 2, "textbox", "User password", "", ""),
 ]
 ROLES = ["cta", "link", "textbox", "select", "price", "heading"]
+#: Roles and names of turns where they stand for the fields of a form.
+FORM_ROLES, FORM_NAMES = ["textbox", "searchbox", "textbox", "button"], ["user", "q", "passwd", "go", "note"]
 GOAL = "latest prices of news"
 SIZE = 80
 
@@ -84,27 +86,49 @@ def action_types(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.min("action").alias("first_action"))
 
 
+def _as_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as nodes: role, id and name by rules on their numbers, the text as label."""
+    n = F.col("conv_id") + F.col("turn")
+    role = lambda roles: F.element_at(F.array(*map(F.lit, roles)), (n % len(roles) + 1).cast("int"))
+    return table(spark, sf, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(
+        "conv_id", "turn", role(ROLES).alias("role"), role(FORM_ROLES).alias("form_role"), F.coalesce("text", F.lit("")).alias("label"),
+        F.when(n % 5 == 0, F.concat(F.lit("n"), F.col("turn"))).alias("html_id"), F.when(n % 5 == 1, F.lit("field")).alias("name"),
+        role(FORM_NAMES).alias("form_name"),
+    )
+
+
 def selector_hints(spark: SparkSession, sf: str) -> DataFrame:
-    """Every role with and without an id, a label and a name."""
+    """Every role with and without an id, a label and a name, and the turns as nodes."""
     some = lambda *xs: F.explode(F.array(*(F.lit(x).cast("string") for x in xs)))
     rows = spark.range(1).select(some(*ROLES).alias("role")).select("role", some("main", None).alias("html_id"))
     rows = rows.select("role", "html_id", some("It's on", "").alias("label")).select("*", some("q'1", None).alias("name"))
+    rows = rows.unionByName(_as_nodes(spark, sf).select(*rows.columns)).distinct()
     return rows.select("*", ops.selector_hint(*map(F.col, ("role", "html_id", "label", "name"))).alias("selector"))
 
 
 def set_cookies(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, HEADERS))).alias("header"))
+    """Cookies of the planted headers and of one header for each kind of event of each user, for the user's oldest event of it."""
+    planted = spark.range(1).select(F.explode(F.array(*map(F.lit, HEADERS))).alias("header"))
+    kinds = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.min("event_id").alias("first")).filter("event_type IS NOT NULL AND user_id IS NOT NULL")
+    flags = F.concat(F.when(F.col("user_id") % 2 == 0, "; Secure").otherwise(""), F.when(F.col("first") % 3 == 0, "; HttpOnly").otherwise(""))
+    header = F.concat("event_type", F.lit("="), F.col("user_id"), F.lit("; Path=/"), "event_type", F.lit("; Max-Age="), F.col("first"), flags)
+    rows = kinds.select(header.alias("header")).unionAll(planted)
     return rows.withColumn("c", ops.cookie(F.col("header"))).filter("c IS NOT NULL").select("header", "c.*")
 
 
 def login_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with a field for a name and one for a password; the last field that fits counts."""
+    """Pages with a field for a name and one for a password; the last field that fits counts. Planted pages have negative numbers."""
     planted = spark.range(1).select(F.explode(F.array(*(F.struct(*map(F.lit, r)) for r in FORMS))).alias("r"))
-    rows = planted.select(*(F.col(f"r.col{i + 1}").alias(c) for i, c in enumerate(("page", "node", "role", "label", "name", "html_id"))))
+    planted = planted.select(*(F.col(f"r.col{i + 1}").alias(c) for i, c in enumerate(("page", "node", "role", "label", "name", "html_id"))))
+    rows = planted.withColumn("page", -F.col("page").cast("long")).withColumn("node", F.col("node").cast("long"))
+    turns = _as_nodes(spark, sf).select(
+        F.col("conv_id").alias("page"), F.col("turn").alias("node"), F.col("form_role").alias("role"), "label", F.col("form_name").alias("name"), F.coalesce("html_id", F.lit("")).alias("html_id")
+    )
+    rows = rows.unionByName(turns)
     fits = lambda words: F.greatest(*(ops.holds_any(F.lower(c), w) for c, w in words.items()))
     node = lambda ok: F.max(F.when(ok, F.col("node"))).cast("long")
     role = F.col("role")
-    found = rows.groupBy(F.col("page").cast("long").alias("page")).agg(
+    found = rows.groupBy("page").agg(
         node(role.isin("textbox", "searchbox") & fits(ops.LOGIN_USER)).alias("username"),
         node((role == "textbox") & fits(ops.LOGIN_PASS)).alias("password"),
         node((role == "button") & ops.holds_any(F.lower("label"), ops.LOGIN_SUBMIT)).alias("submit"),
@@ -184,6 +208,10 @@ QUERIES = {
         login_forms, input_kinds, learned_edge_weights, stream_relevance,
     )
 }
+_PICK = "{}[(conv_id + turn) % {} + 1]"
+AS_NODES = f"""SELECT conv_id, turn, {_PICK.format(listed(ROLES), len(ROLES))} AS role, {_PICK.format(listed(FORM_ROLES), len(FORM_ROLES))} AS form_role,
+    coalesce(text, '') AS label, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'n' || turn END AS html_id, CASE WHEN (conv_id + turn) % 5 = 1 THEN 'field' END AS name,
+    {_PICK.format(listed(FORM_NAMES), len(FORM_NAMES))} AS form_name FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL"""
 ORACLE = {
     "label_artifacts": rf"""
 SELECT label, contains(label, '{{{{') OR contains(label, 'translations.messages') OR {_starts('lower(label)', ops.TEMPLATE_HEADS)}
@@ -215,10 +243,13 @@ FROM {_source(ACTIONS, "action")} GROUP BY 1""",
 SELECT *, CASE WHEN html_id IS NOT NULL THEN tag || '#' || html_id
   WHEN label <> '' THEN tag || '[aria-label=''' || replace(label, '''', '\\''') || ''']'
   WHEN name IS NOT NULL THEN tag || '[name=''' || replace(name, '''', '\\''') || ''']' ELSE tag END AS selector
-FROM (SELECT unnest({listed(ROLES)}) AS role), (SELECT unnest(['main', NULL]) AS html_id), (SELECT unnest(['It''s on', '']) AS label),
-  (SELECT unnest(['q''1', NULL]) AS name), LATERAL (SELECT CASE role {TAG_CASES} ELSE '*' END AS tag)""".replace("SELECT *, CASE", "SELECT role, html_id, label, name, CASE").replace("\\\\", "\\"),
+FROM (SELECT role, html_id, label, name FROM (SELECT unnest({listed(ROLES)}) AS role), (SELECT unnest(['main', NULL]) AS html_id),
+    (SELECT unnest(['It''s on', '']) AS label), (SELECT unnest(['q''1', NULL]) AS name) UNION SELECT role, html_id, label, name FROM ({AS_NODES})),
+  LATERAL (SELECT CASE role {TAG_CASES} ELSE '*' END AS tag)""".replace("SELECT *, CASE", "SELECT role, html_id, label, name, CASE").replace("\\\\", "\\"),
     "set_cookies": f"""
-WITH h AS (SELECT unnest({listed(HEADERS)}) AS header),
+WITH h AS (SELECT unnest({listed(HEADERS)}) AS header UNION ALL
+  SELECT event_type || '=' || user_id || '; Path=/' || event_type || '; Max-Age=' || min(event_id) || CASE WHEN user_id % 2 = 0 THEN '; Secure' ELSE '' END
+    || CASE WHEN min(event_id) % 3 = 0 THEN '; HttpOnly' ELSE '' END FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY event_type, user_id),
 p AS (SELECT header, trim(string_split(header, ';')[1]) AS f, [lower(trim(x)) FOR x IN string_split(header, ';')[2:]] AS attrs FROM h)
 SELECT header, trim(left(f, instr(f, '=') - 1)) AS name, trim(substr(f, instr(f, '=') + 1)) AS value,
   coalesce(list_filter(attrs, lambda a: starts_with(a, 'path='))[-1][6:], '/') AS path,
@@ -229,7 +260,8 @@ FROM p WHERE instr(f, '=') > 0 AND trim(left(f, instr(f, '=') - 1)) <> ''""",
 SELECT page::BIGINT AS page, (max(node) FILTER (WHERE role IN ('textbox', 'searchbox') AND {_fits(ops.LOGIN_USER)}))::BIGINT AS username,
   (max(node) FILTER (WHERE role = 'textbox' AND {_fits(ops.LOGIN_PASS)}))::BIGINT AS password,
   (max(node) FILTER (WHERE role = 'button' AND {_any('lower(label)', ops.LOGIN_SUBMIT)}))::BIGINT AS submit
-FROM (VALUES {FORM_ROWS}) t(page, node, role, label, name, html_id) GROUP BY 1 HAVING username IS NOT NULL AND password IS NOT NULL""",
+FROM (SELECT -page AS page, node, role, label, name, html_id FROM (VALUES {FORM_ROWS}) t(page, node, role, label, name, html_id)
+  UNION ALL SELECT conv_id, turn, form_role, label, form_name, coalesce(html_id, '') FROM ({AS_NODES})) GROUP BY 1 HAVING username IS NOT NULL AND password IS NOT NULL""",
     "input_kinds": """
 SELECT given, CASE WHEN given & 1 > 0 THEN 'screenshot' WHEN given & 2 > 0 AND coalesce(url, '') <> '' THEN 'url'
   WHEN given & 4 > 0 AND coalesce(html, '') <> '' THEN 'html' ELSE 'none' END AS kind, count(*) AS pages

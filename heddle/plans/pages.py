@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,18 +169,28 @@ def json_ld(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", F.try_variant_get("v", "$['@type']", "string").alias("type"), F.try_variant_get("v", "$.name", "string").alias("name"))
 
 
+def _rows_of(plan: int, steps: tuple, costs: dict) -> list[tuple]:
+    """The steps of a plan with their level: one after the last step that they wait for."""
+    level: list[int] = []
+    for _, _, waits in steps:  # a step waits for earlier ones only
+        level.append(max((level[w] + 1 for w in waits), default=0))
+    return [(plan, i, s[0], f"{s[0].capitalize()}: {s[1]}", level[i], costs[s[0]]) for i, s in enumerate(steps)]
+
+
+STEP_ROWS = [r for p, (_, steps) in enumerate(PLANS) for r in _rows_of(p, steps, COSTS)] + _rows_of(-1, GENERIC, GENERIC_COSTS)
+
+
 def _steps(spark: SparkSession) -> DataFrame:
-    """(plan, step, action, description, deps, cost): the fixed plans; the generic one has number -1."""
-    row = lambda p, i, s, cost: (p, i, s[0], f"{s[0].capitalize()}: {s[1]}", list(s[2]), cost[s[0]])
-    rows = [row(p, i, s, COSTS) for p, (_, steps) in enumerate(PLANS) for i, s in enumerate(steps)]
-    rows += [row(-1, i, s, GENERIC_COSTS) for i, s in enumerate(GENERIC)]
-    return spark.createDataFrame(rows, "plan int, step int, action string, description string, deps array<int>, cost double")
+    """(plan, step, action, description, level, cost): the fixed plans; the generic one has number -1."""
+    return spark.createDataFrame(STEP_ROWS, "plan int, step int, action string, description string, level int, cost double")
 
 
-def _chosen(spark: SparkSession) -> DataFrame:
-    """(goal, plan): the plan whose keywords fit best; -1 where none scores over 0.3."""
+def _chosen(spark: SparkSession, sf: str) -> DataFrame:
+    """(goal, plan) of the planted goals and of what users asked: the plan whose keywords fit best; -1 where none scores over 0.3."""
     words = [F.struct(F.lit(p).alias("plan"), F.lit(w).alias("word")) for p, some in enumerate(KEYWORDS) for w in some]
     goals = spark.range(1).select(F.explode(F.array(*map(F.lit, GOALS))).alias("goal"))
+    asked = table(spark, sf, "conversations").filter("role = 'user' AND text IS NOT NULL").select(F.col("text").alias("goal"))
+    goals = goals.unionAll(asked).distinct()
     keyed = goals.select("goal", F.inline(F.array(*words)))
     low = F.lower("goal")
     fit = F.when(F.contains(low, F.col("word")), 1.0).otherwise(text_similarity(F.col("word"), low) * 0.5)
@@ -191,15 +203,7 @@ def _chosen(spark: SparkSession) -> DataFrame:
 def plan_steps(spark: SparkSession, sf: str) -> DataFrame:
     """The steps of each goal's plan with the group in which they can run: one after the last step they wait for."""
     steps = _steps(spark)
-    wait = steps.select("plan", "step", F.explode("deps").alias("dep"))
-    level = steps.filter(F.size("deps") == 0).select("plan", "step", F.lit(0).alias("level"))
-    levels = level
-    for _ in range(max(len(s) for _, s in PLANS) - 1):  # a path is no longer than the longest plan
-        reached = level.withColumnRenamed("step", "dep")
-        level = wait.join(reached, ["plan", "dep"]).groupBy("plan", "step").agg((F.max("level") + 1).alias("level"))
-        levels = levels.unionAll(level)
-    group = levels.groupBy("plan", "step").agg(F.max("level").alias("level"))
-    rows = _chosen(spark).join(steps, "plan").join(group, ["plan", "step"])
+    rows = _chosen(spark, sf).join(F.broadcast(steps), "plan")  # a few rows for each of the fixed plans
     total = F.round(F.sum("cost").over(Window.partitionBy("goal")), 6)
     text = F.replace("description", F.lit("{}"), F.col("goal"))
     return rows.select(
@@ -223,8 +227,26 @@ def _planted(values: list[str]) -> str:
   SELECT -unnest(range(1, {len(values) + 1})), unnest({listed(values)})"""
 
 
+def _plan_sql() -> str:
+    words = ", ".join(f"({p}, {quoted(w)}, {sum(1 for x in re.split(r'[ _-]+', w) if x)}, {quoted(''.join(re.split(r'[ _-]+', w)))})" for p, some in enumerate(KEYWORDS) for w in some)
+    steps = ", ".join(f"({p}, {i}, {quoted(a)}, {quoted(d)}, {level}, {cost}::DOUBLE)" for p, i, a, d, level, cost in STEP_ROWS)
+    hits = "len(list_filter(regexp_split_to_array(word, '[ _-]+'), lambda x: x <> '' AND contains(low, x)))"
+    return f"""
+WITH goals AS (SELECT text AS goal, lower(text) AS low FROM conversations WHERE role = 'user' AND text IS NOT NULL UNION SELECT goal, lower(goal) FROM (SELECT unnest({listed(GOALS)}) AS goal)),
+words(plan, word, n, joined) AS (VALUES {words}), steps(plan, step, action, description, level, cost) AS (VALUES {steps}),
+fits AS (
+  SELECT goal, plan, CASE WHEN contains(low, word) THEN 1.0 WHEN {hits} = n THEN 0.5 WHEN {hits} = 0 THEN CASE WHEN strlen(low) >= strlen(word)
+    AND contains(regexp_replace(low, '[ \t\n\f\r_-]', '', 'g'), joined) THEN 0.5 ELSE 0.0 END ELSE {hits}::DOUBLE / n * 0.5 END::DOUBLE AS fit FROM goals, words
+), scored AS (
+  SELECT goal, plan, round(max(fit) + count(*) FILTER (WHERE fit > 0.3) * 0.1::DOUBLE + ({len(PLANS)} - plan) * 0.001::DOUBLE, 6) AS score FROM fits GROUP BY goal, plan
+), best AS (SELECT goal, CASE WHEN max(score) > 0.3 THEN arg_max(plan, score) ELSE -1 END AS plan FROM scored GROUP BY goal)
+SELECT goal, step, action, replace(description, '{{}}', goal) AS description, level, CASE WHEN level = 0 THEN 'ready' ELSE 'pending' END AS status,
+  round(sum(cost) OVER (PARTITION BY goal), 6) AS plan_cost FROM best JOIN steps USING (plan)"""
+
+
 QUERIES = {f.__name__: f for f in (page_flags, feed_items, social_metadata, json_ld, plan_steps)}
 ORACLE = {
+    "plan_steps": _plan_sql(),
     "page_flags": f"""
 WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(html, ''), '<title[^>]*>([^<]*)</title>', 1)) AS t,
   len(regexp_extract_all(coalesce(html, ''), '<[a-z][a-z0-9]*[\\s>]')) AS n FROM pages

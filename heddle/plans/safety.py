@@ -66,9 +66,10 @@ def goal_category_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nav_penalties(spark: SparkSession, sf: str) -> DataFrame:
-    labels = F.explode(F.array(*map(F.lit, LABELS))).alias("label")
-    roles = F.explode(F.array(*map(F.lit, ["button", "link"]))).alias("role")
-    rows = spark.range(1).select(labels).select("label", roles)
+    """What every different turn, and the planted labels, would lose as a button and as a link."""
+    planted = spark.range(1).select(F.explode(F.array(*map(F.lit, LABELS))).alias("label"))
+    texts = table(spark, sf, "conversations").filter("text IS NOT NULL").select(F.col("text").alias("label"))
+    rows = texts.unionAll(planted).distinct().select("label", F.explode(F.array(*map(F.lit, ["button", "link"]))).alias("role"))
     return rows.select("label", "role", ops.nav_penalty(F.col("role"), F.col("label")).alias("penalty"))
 
 
@@ -130,5 +131,5 @@ SELECT label, role, (CASE WHEN regexp_matches(l, '^(gå till|gå direkt|skip to|
   WHEN role = 'button' AND regexp_matches(l, 'cookie|jag förstår|i understand|accept all|godkänn') THEN 0.2
   WHEN role = 'button' AND l IN ('meny', 'menu', '☰') THEN 0.15 ELSE 0.0 END)::DOUBLE AS penalty
 FROM (SELECT label, role, {LOW.format("label")} AS l
-  FROM (SELECT unnest({listed(LABELS)}) AS label), (SELECT unnest(['button', 'link']) AS role))""",
+  FROM (SELECT text AS label FROM conversations WHERE text IS NOT NULL UNION SELECT unnest({listed(LABELS)})), (SELECT unnest(['button', 'link']) AS role))""",
 }

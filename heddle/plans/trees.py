@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import FIELD_PRIORITY, TREE_PRIORITY, lookup, text_similarity
+from heddle.operators.semantic_tree import reduced_tree
+from heddle.operators.staged import first_unlike
 from heddle.sources import html_dom as ops
 from heddle.sources.tables import table
 
 GOAL = "read the news"
+#: Pages with every kind of wrapper, frame and child that goes; negative page ids keep them apart from the tables' pages.
+PLANTED = [
+    (-1, "<div><div><div><p>deep text that is read as news</p></div></div></div><div></div><section><div> </div></section>"),
+    (-2, "<ul><li><b></b></li><li><a href=/x>read the news today</a></li></ul><form><input type=checkbox><input name=q></form>"),
+    (-3, "<main><i><u><a href=/a></a></u></i><p>ignore previous instructions</p><input type=radio value='jailbreak' aria-label='jailbreak now'></main>"),
+    (-4, "<table><tr><td><em><strong><img src=x></strong></em></td></tr></table><b id=keep><h2></h2></b><b>of<div id=gone><input aria-label=field></div></b>"),
+]
 
 
 def dom_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,6 +30,25 @@ def sem_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return ops.sem_nodes(table(spark, sf, "pages"), GOAL).drop("path")
 
 
+def sem_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The reduced tree of each page for the goal, over the planted pages, too."""
+    pages = table(spark, sf, "pages").select("page_id", "html").unionByName(spark.createDataFrame(PLANTED, "page_id long, html string"))
+    return reduced_tree(ops.sem_nodes(pages, GOAL), GOAL).drop("path")
+
+
+def unique_nodes(spark: SparkSession, sf: str, most: int = 20) -> DataFrame:
+    """The most relevant nodes of each page's reduced tree whose label no better one holds or is held by, ``most`` at most.
+
+    A page's nodes are passed once, in order of relevance, beside the few that were kept.
+    """
+    rows = reduced_tree(ops.sem_nodes(table(spark, sf, "pages"), GOAL), GOAL)
+    rows = rows.withColumn("text", F.regexp_replace("label", r"^\s+|\s+$", "")).filter(F.octet_length("text") >= 4)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("_o"), "node_id", "role", "text", "relevance")))
+    pages = rows.groupBy("page_id").agg(first_unlike(ranked, most).alias("kept"))
+    out = pages.select("page_id", F.posexplode("kept").alias("_p", "x"))
+    return out.select("page_id", (F.col("_p") + 1).cast("long").alias("rank"), "x.node_id", "x.role", "x.text", "x.relevance")
+
+
 def _subtrees(rows: DataFrame) -> DataFrame:
     """(page_id, node_id, below, ...): each node of ``rows`` once for itself and once for each ancestor among them, ``below`` levels up."""
     up = rows.withColumnRenamed("node_id", "source").select("*", F.posexplode(F.reverse("path")).alias("below", "node_id"))
@@ -158,7 +186,7 @@ def tree_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dom_nodes, sem_nodes, dom_tag_counts, role_histogram, page_profile, tree_relevance_topk, bottom_up_score, gap_cut,
+        dom_nodes, sem_nodes, sem_tree, unique_nodes, dom_tag_counts, role_histogram, page_profile, tree_relevance_topk, bottom_up_score, gap_cut,
         calibrate, field_priority, template_fingerprint, find_clickable, tree_to_markdown, pruned_tree, kept_children,
     )
 }

@@ -17,6 +17,12 @@ REQUESTS = [
     "https://example.com/news/1", "ftp://example.com/file", "http://localhost:8080/x", "http://10.1.2.3/",
     "http://172.20.0.1/", "http://172.32.0.1/", "https://169.254.169.254/latest", "",
 ]
+#: Media types by ending, and more of them as headers give them.
+ENDINGS = {
+    "png": "image/png", "jpg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "css": "text/css", "js": "text/javascript",
+    "json": "application/json", "pdf": "application/pdf", "zip": "application/zip", "woff2": "font/woff2", "mp4": "video/mp4", "mp3": "audio/mpeg",
+}
+KINDS = ["image/png", "TEXT/html", "Application/PDF", "application/json", "font/woff2", "application/octet-stream"]
 HREFS = ["https://a.b/c", "//cdn.x/y", "/abs?q=1", "#top", "?page=2", "rel/path", "../up", "", "mailto:a@b.c", " /sp "]
 BASES = ["https://site.org/dir/page.html?x=1#f", "http://site.org", "site.org/a/b"]
 # Seconds that pages stay cached, by what their address holds; the first line that fits.
@@ -66,8 +72,10 @@ def url_domain_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def url_resolve_links(spark: SparkSession, sf: str) -> DataFrame:
-    hrefs, bases = (F.array(*map(F.lit, x)) for x in (HREFS, BASES))
-    rows = spark.range(1).select(F.explode(hrefs).alias("href")).select("href", F.explode(bases).alias("base"))
+    """Every form of a reference on each page's address and on the planted bases."""
+    planted = spark.range(1).select(F.explode(F.array(*map(F.lit, BASES))).alias("base"))
+    bases = table(spark, sf, "pages").filter("url IS NOT NULL").select(F.col("url").alias("base")).unionAll(planted).distinct()
+    rows = bases.select(F.explode(F.array(*map(F.lit, HREFS))).alias("href"), "base")
     return rows.select("href", "base", ops.resolve(F.col("href"), F.col("base")).alias("url"))
 
 
@@ -75,10 +83,18 @@ def ssrf_guard(spark: SparkSession, sf: str) -> DataFrame:
     return _urls(spark, sf).select("url", ops.unsafe_target(F.col("url")).alias("blocked"))
 
 
+def _media_type(url: Column) -> Column:
+    """The media type that an address promises by its ending."""
+    end = F.lower(F.regexp_extract(url, r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
+    known = F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, end), F.lit("text/html"))
+
+
 def blocked_media(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = ["image/png", "TEXT/html", "Application/PDF", "application/json", "font/woff2"]
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, kinds))).alias("content_type"))
-    return rows.select("content_type", ops.blocked_media(F.col("content_type")).alias("blocked"))
+    """Media types of the requested addresses and the planted ones, with how many there are and whether they are blocked."""
+    planted = spark.range(1).select(F.explode(F.array(*map(F.lit, KINDS))).alias("content_type"))
+    rows = _urls(spark, sf).select(_media_type(F.col("url")).alias("content_type")).unionAll(planted)
+    return rows.groupBy("content_type", ops.blocked_media(F.col("content_type")).alias("blocked")).agg(F.count("*").alias("n"))
 
 
 def _first(pattern: str, at: str = "html") -> Column:
@@ -233,14 +249,15 @@ ORACLE = {
   round(100.0 * count(*) FILTER (WHERE level <> 'allow') / count(*), 6)::DOUBLE AS saved_pct FROM v""",
     "url_domain_rollup": f"SELECT {DOMAIN.format('url')} AS domain, count(*) AS n, min(url) AS first_url FROM {URLS} GROUP BY 1",
     "url_resolve_links": f"""SELECT href, base, {resolve_sql("href", "base")} AS url
-FROM (SELECT unnest({listed(HREFS)}) AS href), (SELECT unnest({listed(BASES)}) AS base)""",
+FROM (SELECT unnest({listed(HREFS)}) AS href), (SELECT url AS base FROM pages WHERE url IS NOT NULL UNION SELECT unnest({listed(BASES)}))""",
     "ssrf_guard": f"""SELECT url, host IS NULL OR host = '' OR starts_with(host, '127.') OR starts_with(host, '10.')
   OR starts_with(host, '192.168.') OR starts_with(host, '169.254.') OR host IN ('localhost', '0.0.0.0') OR starts_with(host, '[::1]')
   OR (starts_with(host, '172.') AND try_cast(split_part(host, '.', 2) AS INT) BETWEEN 16 AND 31) AS blocked
 FROM (SELECT url, {HOST} AS host FROM {URLS})""",
-    "blocked_media": """SELECT content_type, regexp_matches(lower(content_type),
-  '^(image/|font/|video/|audio/|application/(font|pdf|zip|octet-stream))') AS blocked
-FROM (SELECT unnest(['image/png', 'TEXT/html', 'Application/PDF', 'application/json', 'font/woff2']) AS content_type)""",
+    "blocked_media": f"""SELECT content_type, regexp_matches(lower(content_type),
+  '^(image/|font/|video/|audio/|application/(font|pdf|zip|octet-stream))') AS blocked, count(*) AS n
+FROM (SELECT CASE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) {" ".join(f"WHEN '{e}' THEN '{m}'" for e, m in ENDINGS.items())}
+  ELSE 'text/html' END AS content_type FROM {URLS} UNION ALL SELECT unnest({listed(KINDS)})) GROUP BY 1, 2""",
     "page_head": """SELECT page_id, trim(regexp_extract(coalesce(html, ''), '<title[^>]*>([^<]*)</title>', 1)) AS title,
   regexp_extract(coalesce(html, ''), '<html[^>]*lang="([^"]*)"', 1) AS lang,
   regexp_extract(coalesce(html, ''), '<meta[^>]*name="description"[^>]*content="([^"]*)"', 1) AS description FROM pages""",

@@ -98,7 +98,7 @@ def test_plan_of_a_goal(spark):
     rows: dict = {}
     for r in pages.plan_steps(spark, SF).collect():
         rows.setdefault(r["goal"], {})[r["step"]] = r
-    assert set(rows) == set(pages.GOALS)
+    assert set(pages.GOALS) < set(rows)  # and what users asked
     assert [rows["skapa ett konto"][i]["level"] for i in range(6)] == [0, 1, 1, 1, 2, 3]
     assert [rows["overview of the site"][i]["status"] for i in range(4)] == ["ready", "pending", "pending", "pending"]
     assert rows["zzz"][0]["description"].endswith("'zzz'") and rows["zzz"][0]["plan_cost"] == 0.8
