@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import tokens
+from heddle.sources.tables import written
 
 K1, B = 1.2, 0.75
 
@@ -42,51 +43,75 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return q.groupBy("qid", "term").agg(F.count("*").alias("qn"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id") -> DataFrame:
-    """(qid, rank, id, score): the k best documents of each query that share a term with it."""
+def postings(docs: DataFrame, terms: DataFrame, doc_key: str) -> tuple[DataFrame, DataFrame]:
+    """(id, len, term, tf) of the wanted terms, and one row (total, mean) over all documents; texts are tokenised once.
+
+    Each document sends one row without a term for the statistics; tokens that no query asks for go before anything is shuffled.
+    """
     corpus = token_table(docs, doc_key, "text")
-    asked = query_terms(queries, query_key, "text")
-    stats = corpus.agg(
-        F.count("*").alias("total"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean")
-    )
-    wanted = asked.select("term").distinct()
-    postings = (
-        corpus.select("id", "len", F.explode("toks").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("id", "len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    all_ = F.concat("toks", F.array(F.lit(None).cast("string")))
+    rows = corpus.select("id", "len", F.explode(all_).alias("term")).join(terms.select("term", F.lit(True).alias("_wanted")).distinct(), "term", "left")
+    seen = written(rows.filter("term IS NULL OR _wanted").groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "postings")
+    stats = seen.filter("term IS NULL").agg(F.sum("tf").alias("total"), (F.sum(F.col("len") * F.col("tf")) / F.sum(F.when(F.col("len") > 0, F.col("tf")))).alias("mean"))
+    return seen.filter("term IS NOT NULL"), stats
+
+
+def _scored(held: DataFrame, stats: DataFrame, asked: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """(qid, id, score): the weights of the terms (id, len, term, tf) that each query (qid, keys, qn) asks for."""
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     weight = term_weight(F.col("tf"), F.col("df"), F.col("len"), F.col("mean"), F.col("total"))
-    scored = (
-        postings.join(df, "term")
-        .crossJoin(F.broadcast(stats))  # a single row
-        .select("id", "term", weight.alias("w"))
-        .join(asked, "term")
-        .groupBy("qid", "id")
-        .agg(F.round(F.sum(F.col("w") * F.col("qn")), 6).alias("score"))
-    )
+    rows = held.join(df, "term").crossJoin(F.broadcast(stats)).select("id", "term", weight.alias("w"))  # stats is a single row
+    return rows.join(asked, keys).groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("qn")) * factor, 6).alias("score"))
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("qid", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id") -> DataFrame:
+    """(qid, rank, id, score): the k best documents of each query that share a term with it."""
+    asked = query_terms(queries, query_key, "text")
+    held, stats = postings(docs, asked, doc_key)
+    return _best(_scored(held, stats, asked, ["term"]), k)
+
+
+def _near_terms(tokens_: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Tokens with the terms that begin them or that they begin; both have three bytes or more, and share the first three."""
+    first = lambda c: F.substring(F.encode(c, "UTF-8"), 1, 3)
+    near = F.col("term").startswith(F.col("token")) | F.col("token").startswith(F.col("term"))
+    return tokens_.withColumn("_k", first("token")).join(vocab.withColumn("_k", first("term")), "_k").filter(near).drop("_k")
+
+
 def prefix_fallback(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "item_id") -> DataFrame:
     """(qid, token, n_terms, first_term, docs): terms that begin a token without hits, or that it begins.
 
-    Terms and tokens meet by their first character, so that the join has a key; only vocabularies join.
+    Terms and tokens meet by their first three bytes, so that the join has a key; only vocabularies join.
     """
     vocab = term_stats(docs, doc_key)
     asked = query_terms(queries, query_key, "text").select("qid", F.col("term").alias("token"))
     lost = asked.join(vocab.select(F.col("term").alias("token")), "token", "left_anti")
-    first = lambda c: F.substring(c, 1, 1)
-    near = F.col("term").startswith(F.col("token")) | F.col("token").startswith(F.col("term"))
-    joined = lost.withColumn("_k", first("token")).join(vocab.withColumn("_k", first("term")), "_k").filter(near)
-    return joined.groupBy("qid", "token").agg(
+    return _near_terms(lost, vocab).groupBy("qid", "token").agg(
         F.count("*").alias("n_terms"), F.min("term").alias("first_term"), F.sum("df").cast("long").alias("docs")
     )
 
 
+def bm25_with_fallback(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id") -> DataFrame:
+    """(qid, rank, id, score): as ``bm25``; a query none of whose terms is known is ranked by the terms that begin its tokens or that
+    these begin, at 0.7 of their weight.
+    """
+    asked = written(query_terms(queries, query_key, "text"), "asked")
+    vocab = written(term_stats(docs, doc_key).select("term"), "vocabulary")
+    known = asked.join(vocab, "term", "left_semi").select("qid").distinct()
+    lost = asked.join(known, "qid", "left_anti").select("qid", F.col("term").alias("token"), "qn")
+    near = _near_terms(lost, vocab).groupBy("qid", "term").agg(F.sum("qn").alias("qn"))
+    wanted = written(asked.join(known, "qid").withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False))), "wanted")
+    held, stats = postings(docs, wanted, doc_key)
+    exact = _scored(held, stats, wanted.filter("exact").drop("exact"), ["term"])
+    return _best(exact.unionByName(_scored(held, stats, wanted.filter("NOT exact").drop("exact"), ["term"], 0.7)), k)
+
+
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """(qid, rr, ndcg, recall) of ranked (qid, rank, id) against relevant (qid, id).
 

@@ -251,17 +251,18 @@ def _seeded(spark: SparkSession, sf: str) -> DataFrame:
     rows = _turns(spark, sf).select(
         "page_id", F.col("rank").alias("node_id"), F.when(F.col("rank") > 0, F.floor((F.col("rank") - 1) / 2)).alias("parent_id"),
         text_similarity(F.lit(GOAL), F.col("label")).alias("seed"), "n",
-    )
+    ).withColumn("bm25", F.col("seed") / (F.col("seed") + 1.0))
+    rows = rows.select("page_id", "node_id", "parent_id", "seed", "bm25", "n")
     node = F.col("id")
-    wide = spark.range(60).select(F.lit(-1).cast("long"), node, F.when(node > 0, F.lit(0).cast("long")), node % 5 / 10, node)
-    deep = spark.range(210).select(F.lit(-2).cast("long"), node, F.when(node > 0, node - 1), node % 5 / 10, node)
+    wide = spark.range(60).select(F.lit(-1).cast("long"), node, F.when(node > 0, F.lit(0).cast("long")), node % 5 / 10, node % 3 / 10, node)
+    deep = spark.range(210).select(F.lit(-2).cast("long"), node, F.when(node > 0, node - 1), node % 5 / 10, node % 3 / 10, node)
     return rows.unionAll(wide).unionAll(deep).withColumn("role", F.element_at(roles, (F.col("n") % len(TREE_ROLES) + 1).cast("int"))).drop("n")
 
 
 def propagate(nodes: DataFrame) -> DataFrame:
-    """Seeds spread over each page's tree by a Chebyshev polynomial of its normalised Laplacian, blended with the seed.
+    """Seeds spread over each page's tree by a Chebyshev polynomial of its normalised Laplacian, blended with the BM25 score.
 
-    ``nodes``: page_id, node_id, parent_id, role, seed. Scaled to [-1, 1] the operator is minus the weighted adjacency, so each order sends
+    ``nodes``: page_id, node_id, parent_id, role, seed, bm25. Scaled to [-1, 1] the operator is minus the weighted adjacency, so each order sends
     weighted values along edges, to the neighbours listed in the node's own row, and sums them: one shuffle for each order. A parent of more
     than eight children reaches the first 4 + 8 ln(n) only. Small pages take order 2, others 3, deep or very large ones 4.
     """
@@ -283,9 +284,9 @@ def propagate(nodes: DataFrame) -> DataFrame:
     size = nodes.groupBy("page_id").agg(F.count("*").alias("size"))
     order = F.when(F.col("size") < 50, 2).when(F.col("size") < 200, 3).when((F.col("depth") > 15) | (F.col("size") > 2000), 4).otherwise(3)
     deep = _depths(nodes)
-    state = nodes.select("page_id", "node_id", "seed").join(near, ["page_id", "node_id"], "left").join(size.join(deep, "page_id"), "page_id")
-    state = state.select("page_id", "node_id", "near", order.alias("order"), "seed", F.lit(0.0).alias("last"), F.col("seed").alias("now"), (F.col("seed") * THETA[0]).alias("sum"))
-    whole = ["near", "order", "seed", "last", "now", "sum"]
+    state = nodes.select("page_id", "node_id", "seed", "bm25").join(near, ["page_id", "node_id"], "left").join(size.join(deep, "page_id"), "page_id")
+    state = state.select("page_id", "node_id", "near", order.alias("order"), "bm25", F.lit(0.0).alias("last"), F.col("seed").alias("now"), (F.col("seed") * THETA[0]).alias("sum"))
+    whole = ["near", "order", "bm25", "last", "now", "sum"]
     kind = dict(state.dtypes)
     for k in range(1, len(THETA)):
         empty = [F.lit(None).cast(kind[c]).alias(c) for c in whole]
@@ -300,8 +301,8 @@ def propagate(nodes: DataFrame) -> DataFrame:
         following = -F.col("sent") if k == 1 else F.col("sent") * -2.0 - F.col("last")
         got = got.withColumn("next", following)
         total = F.col("sum") + F.when(F.col("order") >= k, F.col("next") * THETA[k]).otherwise(0.0)
-        state = got.select("page_id", "node_id", "near", "order", "seed", F.col("now").alias("last"), F.col("next").alias("now"), total.alias("sum"))
-    return state.select("page_id", "node_id", F.round((1 - RESTART) * F.greatest("sum", F.lit(0.0)) + RESTART * F.col("seed"), 5).alias("amplitude"))
+        state = got.select("page_id", "node_id", "near", "order", "bm25", F.col("now").alias("last"), F.col("next").alias("now"), total.alias("sum"))
+    return state.select("page_id", "node_id", F.round((1 - RESTART) * F.greatest("sum", F.lit(0.0)) + RESTART * F.col("bm25"), 5).alias("amplitude"))
 
 
 def _depths(nodes: DataFrame, most: int = 16) -> DataFrame:
@@ -434,10 +435,11 @@ FROM t WHERE title <> '' OR snippet IS NOT NULL QUALIFY row_number() OVER (PARTI
 WITH RECURSIVE w AS (SELECT page_id, rank AS node_id, label, n, CASE WHEN rank > 0 THEN (rank - 1) // 2 END AS parent_id,
   list_filter(regexp_split_to_array({quoted(GOAL)}, '[\\s_-]+'), lambda x: x <> '') AS ws, lower(label) AS low FROM ({TURNS})),
 s AS (SELECT page_id, node_id, parent_id, n, low, ws, len(list_filter(ws, lambda x: contains(low, x))) AS hits FROM w),
-n0 AS (SELECT page_id, node_id, parent_id, CASE WHEN hits = len(ws) THEN 1 ELSE hits::DOUBLE / len(ws) END AS seed, n FROM s
-  UNION ALL SELECT -1, i, CASE WHEN i > 0 THEN 0 END, (i % 5)::DOUBLE / 10, i FROM range(60) v(i)
-  UNION ALL SELECT -2, i, CASE WHEN i > 0 THEN i - 1 END, (i % 5)::DOUBLE / 10, i FROM range(210) v(i)),
-n AS (SELECT page_id, node_id, parent_id, seed, ({listed(TREE_ROLES)})[n % {len(TREE_ROLES)} + 1] AS role FROM n0),
+n0 AS (SELECT page_id, node_id, parent_id, seed, seed / (seed + 1) AS bm25, n
+  FROM (SELECT *, CASE WHEN hits = len(ws) THEN 1 ELSE hits::DOUBLE / len(ws) END AS seed FROM s)
+  UNION ALL SELECT -1, i, CASE WHEN i > 0 THEN 0 END, (i % 5)::DOUBLE / 10, (i % 3)::DOUBLE / 10, i FROM range(60) v(i)
+  UNION ALL SELECT -2, i, CASE WHEN i > 0 THEN i - 1 END, (i % 5)::DOUBLE / 10, (i % 3)::DOUBLE / 10, i FROM range(210) v(i)),
+n AS (SELECT page_id, node_id, parent_id, seed, bm25, ({listed(TREE_ROLES)})[n % {len(TREE_ROLES)} + 1] AS role FROM n0),
 c AS (SELECT page_id, parent_id AS node_id, count(*) AS children FROM n WHERE parent_id IS NOT NULL GROUP BY ALL),
 d AS (SELECT n.*, greatest(coalesce(children, 0) + (parent_id IS NOT NULL)::INT, 1) AS degree, coalesce(children, 0) AS children FROM n LEFT JOIN c USING (page_id, node_id)),
 k AS (SELECT x.page_id, x.node_id, x.parent_id, sqrt(({_sql_weight("p.role", DOWN)}) * ({_sql_weight("x.role", UP)})) / sqrt(x.degree * p.degree) AS w,
@@ -450,8 +452,8 @@ h AS (SELECT page_id, node_id, 0 AS depth FROM n WHERE parent_id IS NULL
 z AS (SELECT page_id, CASE WHEN count(*) < 50 THEN 2 WHEN count(*) < 200 THEN 3 WHEN max(depth) > 15 OR count(*) > 2000 THEN 4 ELSE 3 END AS o FROM h GROUP BY 1),
 t0 AS (SELECT page_id, node_id, seed AS t FROM n), {", ".join(map(_order_sql, range(1, 5)))}
 SELECT page_id, node_id, round({1 - RESTART}::DOUBLE * greatest({" + ".join(f"CASE WHEN o >= {k} THEN {x}::DOUBLE * t{k}.t ELSE 0 END" for k, x in enumerate(THETA))}, 0)
-  + {RESTART}::DOUBLE * t0.t, 5)::DOUBLE AS amplitude
-FROM t0 JOIN t1 USING (page_id, node_id) JOIN t2 USING (page_id, node_id) JOIN t3 USING (page_id, node_id) JOIN t4 USING (page_id, node_id) JOIN z USING (page_id)""",
+  + {RESTART}::DOUBLE * n.bm25, 5)::DOUBLE AS amplitude
+FROM t0 JOIN n USING (page_id, node_id) JOIN t1 USING (page_id, node_id) JOIN t2 USING (page_id, node_id) JOIN t3 USING (page_id, node_id) JOIN t4 USING (page_id, node_id) JOIN z USING (page_id)""",
     "suggested_actions": f"""
 WITH t AS ({TURNS}),
 r AS (SELECT page_id, ({listed([*TREE_ROLES, "data"])})[n % 8 + 1] AS role, label, NULL::VARCHAR AS name, (n * 37 % 100)::DOUBLE / 100 AS amplitude, 0::DOUBLE AS causal,

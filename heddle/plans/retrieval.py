@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.text import STOP_WORDS, text_similarity, tokens
 from heddle.operators import retrieval as ops
-from heddle.sources.tables import table
+from heddle.sources.tables import table, written
 
 GOALS = ["find the price", "with_that", "the thing-er of", "zzz", "add to cart", ""]
 
@@ -35,6 +35,20 @@ def bm25_prefix_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return ops.prefix_fallback(talks, table(spark, sf, "benchmark")).withColumnRenamed("qid", "item_id")
 
 
+def _cut_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items by their first three words, each without its last letter; most are no words then."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
+    cut = F.transform(F.slice(words, 1, 3), lambda w: F.left(w, F.length(w) - 1))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(cut, " ").alias("text"))
+
+
+def bm25_cut_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked turns for queries of cut words: by terms with the same beginning where no word is known."""
+    talks = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
+    found = ops.bm25_with_fallback(talks, _cut_queries(spark, sf), 10)
+    return found.withColumnsRenamed({"qid": "item_id", "id": "turn_id"})
+
+
 def text_similarity_conversations(spark: SparkSession, sf: str) -> DataFrame:
     goals = F.posexplode(F.array(*map(F.lit, GOALS))).alias("goal_id", "goal")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), goals)
@@ -44,7 +58,7 @@ def text_similarity_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 def mrr_ndcg_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Relevant: the documents of good quality among an item's fifty best."""
-    ranked = ops.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 50)
+    ranked = written(ops.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 50), "ranked")
     good = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
     relevant = ranked.join(good, "id").select("qid", "id")
     return ops.ranking_metrics(ranked, relevant).withColumnRenamed("qid", "item_id")
@@ -91,6 +105,7 @@ QUERIES = {
     "term_stats": term_stats,
     "bm25_documents_topk": bm25_documents_topk,
     "bm25_prefix_fallback": bm25_prefix_fallback,
+    "bm25_cut_queries": bm25_cut_queries,
     "text_similarity_conversations": text_similarity_conversations,
     "mrr_ndcg_recall": mrr_ndcg_recall,
 }
@@ -109,6 +124,21 @@ lost AS (SELECT DISTINCT item_id, token FROM (
   SELECT item_id, unnest({tokens_sql("text")}) AS token FROM benchmark) WHERE token NOT IN (SELECT term FROM vocab))
 SELECT item_id, token, count(*) AS n_terms, min(term) AS first_term, sum(df)::BIGINT AS docs
 FROM lost JOIN vocab ON starts_with(term, token) OR starts_with(token, term) GROUP BY item_id, token""",
+    "bm25_cut_queries": f"""
+WITH corpus AS MATERIALIZED (SELECT conv_id || '-' || turn AS id, {tokens_sql("coalesce(text, '')")} AS toks FROM conversations),
+stats AS (SELECT count(*) AS total, avg(len(toks)) FILTER (WHERE len(toks) > 0) AS mean FROM corpus),
+q AS (SELECT item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'),
+  lambda w: length(w) > 3)[1:3], lambda w: left(w, length(w) - 1)), ' ') AS text FROM benchmark),
+asked AS MATERIALIZED (SELECT item_id AS qid, term, count(*) AS qn FROM (SELECT item_id, unnest({tokens_sql("text")}) AS term FROM q) GROUP BY ALL),
+held AS MATERIALIZED (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(toks) AS len, unnest(toks) AS term FROM corpus) GROUP BY ALL),
+freq AS MATERIALIZED (SELECT term, count(*) AS df FROM held GROUP BY term),
+known AS MATERIALIZED (SELECT DISTINCT qid FROM asked WHERE term IN (SELECT term FROM freq)),
+wanted AS (SELECT qid, term, qn, 1.0::DOUBLE AS factor FROM asked WHERE qid IN (SELECT qid FROM known) UNION ALL
+  SELECT qid, f.term, sum(qn), 0.7::DOUBLE FROM asked a JOIN freq f ON starts_with(f.term, a.term) OR starts_with(a.term, f.term)
+  WHERE qid NOT IN (SELECT qid FROM known) GROUP BY qid, f.term),
+scored AS (SELECT qid, id, round(sum(qn * ln((total - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) * any_value(factor), 6) AS score
+  FROM wanted JOIN held USING (term) JOIN freq USING (term), stats GROUP BY qid, id)
+SELECT qid AS item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id AS turn_id, score FROM scored QUALIFY rank <= 10""",
     "text_similarity_conversations": SIMILARITY_SQL,
     "mrr_ndcg_recall": f"""
 WITH {BM25_SQL}, returned AS (SELECT * FROM ranked WHERE rank <= 50),
