@@ -142,16 +142,36 @@ def extract_data_multi(spark: SparkSession, sf: str, most: int = 3) -> DataFrame
 
 
 def _trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two versions of the conversations as trees: turns are dropped, added and edited by rules on their numbers."""
+    """Two versions of the conversations as trees: turns are dropped, added and edited by rules on their numbers; every field changes somewhere."""
     n = F.col("conv_id") + F.col("turn")
+    pick = lambda xs, k: F.element_at(F.array(*(F.lit(x) for x in xs)), (k % len(xs) + 1).cast("int"))
     rows = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.element_at(F.array(*map(F.lit, ROLES)), (n % len(ROLES) + 1).cast("int")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("label"), F.when(n % 5 == 0, F.concat(F.lit("n"), F.col("turn"))).alias("html_id"),
-        F.when(n % 5 == 1, F.lit("field")).alias("name"), n.alias("n"),
+        "conv_id", "turn", pick(ROLES, n).alias("role"), F.coalesce("text", F.lit("")).alias("label"),
+        F.when(n % 5 == 0, F.concat(F.lit("n"), F.col("turn"))).alias("html_id"), F.when(n % 5 == 1, F.lit("field")).alias("name"), n.alias("n"),
+        (n % 10 / 10).alias("relevance"), (n % 13 == 0).alias("disabled"), F.lit(True).alias("visible"), F.when(n % 3 == 0, n % 2 == 0).alias("checked"),
+        F.lit(None).cast("boolean").alias("expanded"), F.lit("Untrusted").alias("trust"),
     )
-    old = rows.filter("n % 7 <> 0").withColumn("value", F.lit(None).cast("string"))
+    old = rows.filter("n % 7 <> 0").withColumn("value", F.lit(None).cast("string")).withColumn("action", F.lit(None).cast("string"))
     new = rows.filter("n % 11 <> 0").withColumn("label", F.when(F.col("n") % 3 == 0, F.concat("label", F.lit(" (edited)"))).otherwise(F.col("label")))
-    return old, new.withColumn("value", F.when(F.col("n") % 4 == 0, F.lit("set")))
+    n = F.col("n")
+    return old, new.withColumns({
+        "value": F.when(n % 4 == 0, F.lit("set")), "action": F.when(n % 4 == 1, F.lit("click")), "relevance": F.col("relevance") + F.when(n % 3 == 1, 0.05).otherwise(0.0),
+        "disabled": n % 17 == 0, "visible": n % 19 != 0, "checked": F.when(n % 3 == 0, n % 4 == 0), "expanded": F.when(n % 5 == 2, n % 2 == 0),
+        "trust": F.when(n % 8 == 0, "Trusted").otherwise("Untrusted"), "role": F.when((n % 5 == 0) & (n % 2 == 0), "link").otherwise(F.col("role")),
+    })
+
+
+#: The fields that a diff compares, as it shows them.
+SHOWN = ("label", "relevance", "disabled", "visible", "checked", "expanded", "value", "action", "trust", "role")
+
+
+def _shown(c: Column, field: str) -> Column:
+    """A field as text: two digits of a relevance, Some(true) or None of a flag that may be missing, nothing for null."""
+    if field == "relevance":
+        return F.format_string("%.2f", c)
+    if field in ("checked", "expanded"):
+        return F.coalesce(F.concat(F.lit("Some("), c.cast("string"), F.lit(")")), F.lit("None"))
+    return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -162,7 +182,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
         .when(F.col("name").isNotNull(), F.concat("role", F.lit(":name:"), "name"))
         .otherwise(F.concat("role", F.lit(":"), F.left("label", F.array_max(fits))))
     )
-    last = F.max_by(F.struct("turn", "role", "label", "value"), "turn").alias("node")
+    last = F.max_by(F.struct("turn", *SHOWN), "turn").alias("node")
     return rows.groupBy("conv_id", key.alias("key")).agg(last)
 
 
@@ -170,32 +190,43 @@ def tree_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Added and removed nodes and the changed fields of the others, by node key: a full outer join."""
     old, new = (_keyed(t) for t in _trees(spark, sf))
     both = old.withColumnRenamed("node", "o").join(new.withColumnRenamed("node", "n"), ["conv_id", "key"], "full")
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"o.{f}").alias("before"), F.col(f"n.{f}").alias("after")) for f in ("label", "value")))
+    name = lambda f: f"state.{f}" if f in SHOWN[2:6] else f
+    change = lambda f: F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.struct(
+        F.lit(name(f)).alias("field"), _shown(F.col(f"o.{f}"), f).alias("before"), _shown(F.col(f"n.{f}"), f).alias("after")))
+    fields = F.array_compact(F.array(*map(change, SHOWN)))
     none = F.array(F.struct(*(F.lit(None).cast("string").alias(c) for c in ("field", "before", "after"))))
     gone, come = F.col("n").isNull(), F.col("o").isNull()
-    changed = F.when(gone | come, none).otherwise(F.filter(fields, lambda f: ~f["before"].eqNullSafe(f["after"])))
+    changed = F.when(gone | come, none).otherwise(fields)
     kind = F.when(gone, "removed").when(come, "added").otherwise("modified")
     rows = both.select("conv_id", F.coalesce("n.turn", "o.turn").alias("turn"), "key", kind.alias("change"), F.explode(changed).alias("f"))
     return rows.select("conv_id", "turn", "key", "change", "f.*")
 
 
 QUERIES = {f.__name__: f for f in (form_fields, extract_data, extract_data_multi, tree_diff)}
+def _changed_sql(f: str) -> str:
+    shown = {"relevance": "printf('%.2f', {})", "checked": "coalesce('Some(' || {} || ')', 'None')", "expanded": "coalesce('Some(' || {} || ')', 'None')"}.get(f, "coalesce({}::VARCHAR, '')")
+    name = f"state.{f}" if f in SHOWN[2:6] else f
+    return (
+        f"UNION ALL SELECT conv_id, turn, key, change, '{name}', {shown.format(f'o.{f}')}, {shown.format(f'n.{f}')} FROM b WHERE change = 'modified' AND o.{f} IS DISTINCT FROM n.{f}"
+    )
+
+
 #: Greedy assignment has no SQL; tests hold form_fields and extract_data against golden rows.
 ORACLE = {
     "tree_diff": f"""
 WITH r AS (SELECT conv_id, turn, conv_id + turn AS n, {listed(ROLES)}[(conv_id + turn) % {len(ROLES)} + 1] AS role, coalesce(text, '') AS label,
   CASE WHEN (conv_id + turn) % 5 = 0 THEN 'n' || turn END AS html_id, CASE WHEN (conv_id + turn) % 5 = 1 THEN 'field' END AS name FROM conversations),
-v AS (SELECT 'o' AS v, *, NULL AS value FROM r WHERE n % 7 <> 0
-  UNION ALL SELECT 'n', conv_id, turn, n, role, CASE WHEN n % 3 = 0 THEN label || ' (edited)' ELSE label END, html_id, name,
-    CASE WHEN n % 4 = 0 THEN 'set' END FROM r WHERE n % 11 <> 0),
+v AS (SELECT 'o' AS v, conv_id, turn, n, role, label, html_id, name, (n % 10)::DOUBLE / 10 AS relevance, n % 13 = 0 AS disabled, true AS visible,
+    CASE WHEN n % 3 = 0 THEN n % 2 = 0 END AS checked, NULL::BOOLEAN AS expanded, NULL AS value, NULL AS action, 'Untrusted' AS trust FROM r WHERE n % 7 <> 0
+  UNION ALL SELECT 'n', conv_id, turn, n, CASE WHEN n % 5 = 0 AND n % 2 = 0 THEN 'link' ELSE role END, CASE WHEN n % 3 = 0 THEN label || ' (edited)' ELSE label END,
+    html_id, name, (n % 10)::DOUBLE / 10 + CASE WHEN n % 3 = 1 THEN 0.05 ELSE 0 END, n % 17 = 0, n % 19 <> 0, CASE WHEN n % 3 = 0 THEN n % 4 = 0 END,
+    CASE WHEN n % 5 = 2 THEN n % 2 = 0 END, CASE WHEN n % 4 = 0 THEN 'set' END, CASE WHEN n % 4 = 1 THEN 'click' END,
+    CASE WHEN n % 8 = 0 THEN 'Trusted' ELSE 'Untrusted' END FROM r WHERE n % 11 <> 0),
 k AS (SELECT *, CASE WHEN html_id IS NOT NULL THEN 'id:' || html_id WHEN name IS NOT NULL THEN role || ':name:' || name ELSE role || ':' ||
   left(label, list_max(list_filter(range(0, 61), lambda k: strlen(left(label, k)) <= 60))) END AS key FROM v),
-u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY v, conv_id, key ORDER BY turn DESC) = 1),
+u AS (SELECT * EXCLUDE (n) FROM k QUALIFY row_number() OVER (PARTITION BY v, conv_id, key ORDER BY turn DESC) = 1),
 b AS (SELECT coalesce(o.conv_id, n.conv_id) AS conv_id, coalesce(n.turn, o.turn) AS turn, coalesce(o.key, n.key) AS key,
-    CASE WHEN n.turn IS NULL THEN 'removed' WHEN o.turn IS NULL THEN 'added' ELSE 'modified' END AS change,
-    o.label AS l1, n.label AS l2, o.value AS v1, n.value AS v2
+    CASE WHEN n.turn IS NULL THEN 'removed' WHEN o.turn IS NULL THEN 'added' ELSE 'modified' END AS change, o, n
   FROM (SELECT * FROM u WHERE v = 'o') o FULL JOIN (SELECT * FROM u WHERE v = 'n') n ON o.conv_id = n.conv_id AND o.key = n.key)
-SELECT conv_id, turn, key, change, NULL AS field, NULL AS before, NULL AS after FROM b WHERE change <> 'modified'
-UNION ALL SELECT conv_id, turn, key, change, 'label', l1, l2 FROM b WHERE change = 'modified' AND l1 IS DISTINCT FROM l2
-UNION ALL SELECT conv_id, turn, key, change, 'value', v1, v2 FROM b WHERE change = 'modified' AND v1 IS DISTINCT FROM v2""",
+SELECT conv_id, turn, key, change, NULL AS field, NULL AS before, NULL AS after FROM b WHERE change <> 'modified' {" ".join(map(_changed_sql, SHOWN))}""",
 }

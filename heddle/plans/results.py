@@ -17,6 +17,7 @@ from heddle.functions.urls import domain
 from heddle.plans.pages import BLOCKED, FAILED
 from heddle.plans.safety import listed, quoted
 from heddle.plans.web import DOMAIN
+from heddle.operators.cuts import cut_at_gap
 from heddle.sources.tables import table
 
 # Beginnings of serialised state, and what its nodes keep of their score.
@@ -187,26 +188,10 @@ def field_label_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def result_cut(spark: SparkSession, sf: str) -> DataFrame:
-    """A page's best nodes up to the first gap after the fourth; up to five nodes, and lists without clear winners, are not cut at gaps.
-
-    A gap is a fall by more than 0.30 - 0.10 * k / 50. Lists are without clear winners where the fifth has over three quarters of the first.
-    """
+    """A page's best nodes up to the first gap after the fourth."""
     amplitude = F.round(F.pow(F.lit(0.5) + F.col("page_id") % 10 / 20, F.col("rank") + F.when(F.col("rank") > F.col("page_id") % 7, 2).otherwise(0)), 6)
-    rows = _turns(spark, sf).withColumn("amplitude", amplitude)
-    page = Window.partitionBy("page_id").orderBy(F.desc("amplitude"), "rank")
-    whole = Window.partitionBy("page_id")
-    rows = rows.withColumn("i", F.row_number().over(page).cast("long")).withColumn("before", F.lag("amplitude").over(page))
-    rows = rows.withColumn("n", F.count("*").over(whole))
-    gap = (F.col("i") > 4) & (F.col("before") > 0.001) & (F.col("amplitude") < F.col("before") * (1.0 - (0.30 - 0.10 * min(CUT / 50, 1.0))))
-    first, fifth = (F.max(F.when(F.col("i") == i, F.col("amplitude"))).over(whole) for i in (1, 5))
-    broad = F.coalesce((first > 0.01) & ((first - fifth) / first < 0.25), F.lit(False))
-    at = F.min(F.when(gap, F.col("i"))).over(whole)
-    rows = rows.withColumn("broad", broad).withColumn("at", F.when(F.col("broad"), None).otherwise(at))
-    keep = (~F.col("broad") & (F.col("n") <= 5)) | ((F.col("i") <= CUT) & (F.col("at").isNull() | (F.col("i") < F.col("at"))))
-    reason = (
-        F.when(F.col("broad"), "broad").when(F.col("n") <= 5, "too_few_candidates").when(F.col("at") <= CUT, "relevance_gap").otherwise("top_k_limit")
-    )
-    return rows.filter(keep).select("page_id", "rank", "i", "amplitude", reason.alias("reason"))
+    rows = _turns(spark, sf).select("page_id", "rank", amplitude.alias("amplitude"))
+    return cut_at_gap(rows, ["page_id"], "amplitude", "rank", CUT)
 
 
 def search_results(spark: SparkSession, sf: str) -> DataFrame:

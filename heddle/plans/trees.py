@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import FIELD_PRIORITY, TREE_PRIORITY, lookup, text_similarity
+from heddle.operators.cuts import calibrated, cut_at_gap
 from heddle.operators.semantic_tree import reduced_tree
 from heddle.operators.staged import first_unlike
 from heddle.sources import html_dom as ops
@@ -131,19 +132,17 @@ def kept_children(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gap_cut(spark: SparkSession, sf: str) -> DataFrame:
-    """The top of each page up to the first gap: from the fifth place, where the score falls by over 28 %."""
-    ranked = tree_relevance_topk(spark, sf)
-    order = Window.partitionBy("page_id").orderBy("rank")
-    gap = (F.col("rank") > 4) & (F.col("relevance") < F.lag("relevance").over(order) * 0.72)
-    first = F.min(F.when(F.col("gap"), F.col("rank"))).over(Window.partitionBy("page_id"))
-    cut = ranked.withColumn("gap", gap).withColumn("first", first).filter("first IS NULL OR rank < first")
-    return cut.select("page_id", "rank", "node_id", "relevance")
+    """The best nodes of each page up to the first gap."""
+    cut = cut_at_gap(tree_relevance_topk(spark, sf), ["page_id"], "relevance", "rank", 10)
+    return cut.select("page_id", "rank", "node_id", "relevance", "reason")
 
 
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores as probabilities by a sigmoid around a threshold, as without any feedback yet."""
-    p = 1 / (1 + F.exp(-5.0 * (F.col("relevance") - (0.3 - 0.05 * 0.5))))
-    return tree_relevance_topk(spark, sf).select("page_id", "rank", F.round(F.least(F.lit(0.99), p), 6).alias("probability"))
+    """Scores of the best nodes as probabilities, as for a field that has had no feedback."""
+    nodes = sem_nodes(spark, sf).groupBy("page_id").agg(F.count("*").alias("nodes"))
+    rows = tree_relevance_topk(spark, sf).join(nodes, "page_id")
+    p = calibrated(F.col("relevance"), F.lit(0), F.col("nodes"), F.lit(False))
+    return rows.select("page_id", "rank", F.round(p, 6).alias("probability"))
 
 
 def field_priority(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,16 +170,48 @@ def find_clickable(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("page_id", "node_id", "role", "label", "score")
 
 
-def tree_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """Headings, list items, links and paragraphs of each page as Markdown lines, in document order."""
+def markdown_lines(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, level, line) of a reduced tree: a line for each node that has one, in document order.
+
+    A child whose label stands within its parent's is passed over, and its children take its place, without being compared with
+    it or its parent; of a run of such nodes down a path every other one is passed over. ``level`` counts the nodes above that are not.
+    """
+    page = Window.partitionBy("page_id")
+    label = F.regexp_replace("label", r"^\s+|\s+$", "")
+    rows = nodes.withColumn("text", label)
+    above = rows.select("page_id", F.col("node_id").alias("parent_id"), F.col("text").alias("_up"))
+    rows = rows.join(above, ["page_id", "parent_id"], "left")
+    within = (F.col("text") != "") & F.coalesce((F.col("_up") != "") & F.contains("_up", F.col("text")), F.lit(False))
+    rows = rows.withColumn("_in", F.collect_set(F.when(within, F.col("node_id"))).over(page))  # of one page
+    free = F.transform("path", lambda n, i: F.when(~F.array_contains("_in", n), i + 1).otherwise(0))
+    run = F.size("path") - F.array_max(free)
+    rows = rows.withColumn("_passed", F.collect_set(F.when(run % 2 == 1, F.col("node_id"))).over(page))
+    rows = rows.withColumn("level", F.size(F.array_except("path", "_passed")) - 1).filter(~F.array_contains("_passed", F.col("node_id")))
+    role, text, value = F.col("role"), F.col("text"), F.coalesce("value", F.lit(""))
+    named = F.coalesce(F.nullif(text, F.lit("")), F.col("name"), F.lit(""))
+    indent = F.repeat(F.lit("  "), F.col("level"))
+    item = lambda *parts: F.concat(indent, *(F.lit(p) if isinstance(p, str) else p for p in parts))
+    some = text != ""
     line = (
-        F.when(F.col("role") == "heading", F.concat(F.lit("# "), "label"))
-        .when(F.col("role") == "link", F.concat(F.lit("["), "label", F.lit("]("), F.coalesce("value", F.lit("")), F.lit(")")))
-        .when(F.col("tag") == "p", F.col("label"))
+        F.when(role == "heading", F.when(some, F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + 1, F.lit(6))), F.lit(" "), text, F.lit("\n\n"))))
+        .when(role == "link", F.when(some, item("- [", text, "](", F.coalesce("action", F.lit("#")), ")\n")))
+        .when(role == "button", F.when(some, item("- **[", text, "]** (button)\n")))
+        .when(role.isin("input", "textbox", "textarea"), F.when(named != "", item("- `", named, "`: ", F.when(value == "", "_(input)_").otherwise(value), "\n")))
+        .when(role.isin("select", "combobox"), F.when(some, item("- `", text, "`: _(dropdown)_\n")))
+        .when(role.isin("checkbox", "radio"), F.when(some, item("- ", F.when(F.col("checked"), "[x]").otherwise("[ ]"), " ", text, "\n")))
+        .when(role.isin("image", "img"), F.when(some, item("![", text, "](image)\n")))
+        .when(role.isin("navigation", "nav"), F.when(some, F.concat(F.lit("\n**"), text, F.lit("**\n\n"))))
+        .when(role.isin("list", "group"), None)
+        .otherwise(F.when(F.octet_length(text) > 2, item(text, "\n\n")))
     )
-    rows = sem_nodes(spark, sf).withColumn("line", line).filter("line IS NOT NULL AND label <> ''")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "line"))), lambda x: x["line"])
-    return rows.groupBy("page_id").agg(F.array_join(lines, "\n\n").alias("markdown"))
+    return rows.select("page_id", "node_id", "level", line.alias("line")).filter("line IS NOT NULL")
+
+
+def tree_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's reduced tree as Markdown."""
+    lines = markdown_lines(reduced_tree(ops.sem_nodes(table(spark, sf, "pages"), GOAL), GOAL))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "line"))), lambda x: x["line"])
+    return lines.groupBy("page_id").agg(F.array_join(ordered, "").alias("markdown"))
 
 
 QUERIES = {

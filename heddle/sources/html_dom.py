@@ -159,6 +159,11 @@ def _attr(name: str) -> Column:
     return F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
 
 
+def _flag(name: str) -> Column:
+    """Whether an attribute is true; null without it."""
+    return F.try_element_at("attrs", F.lit(name)) == "true"
+
+
 def role_of(tag: Column, text: Column) -> Column:
     """A node's role from its attributes, tag and text."""
     kind, cls, low = F.lower(_attr("type")), F.lower(_attr("class")), F.lower(text)
@@ -198,7 +203,7 @@ def label_of(text: Column) -> Column:
 
 
 def sem_nodes(pages: DataFrame, goal: str = "") -> DataFrame:
-    """Visible elements with their role, label, value, action, relevance, html_id, name and whether they are disabled."""
+    """Visible elements with their role, label, value, action, relevance, html_id, name and state."""
     shown = dom_nodes(pages).filter("tag IS NOT NULL AND NOT hidden")
     text = F.coalesce("text", F.lit(""))
     value = F.when(F.col("role") == "link", _attr("href")).otherwise(F.coalesce(F.nullif(_attr("value"), F.lit("")), _attr("aria-valuenow")))
@@ -217,5 +222,8 @@ def sem_nodes(pages: DataFrame, goal: str = "") -> DataFrame:
         F.nullif(_attr("id"), F.lit("")).alias("html_id"),
         F.nullif(_attr("name"), F.lit("")).alias("name"),
         (F.array_contains(F.map_keys("attrs"), "disabled") | (_attr("aria-disabled") == "true")).alias("disabled"),
+        F.coalesce(_flag("aria-checked"), F.when(F.array_contains(F.map_keys("attrs"), "checked"), True)).alias("checked"),
+        _flag("aria-expanded").alias("expanded"),
+        F.coalesce(_flag("aria-selected"), F.lit(False)).alias("focused"),
         "path",
     )

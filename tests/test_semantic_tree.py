@@ -93,3 +93,60 @@ def test_labels_that_contain_each_other(spark):
                 if len(kept) < most and not any(t in p or p in t for p in kept):
                     kept.append(t)
             assert [x["text"] for x in r["kept"]] == kept
+
+
+def plain_markdown(rows):
+    """[(node, level)] of the nodes that a recursion writes, whatever their line."""
+    below = {n: [] for n in rows}
+    roots = []
+    for n, r in sorted(rows.items()):
+        (below[r["parent_id"]] if r["parent_id"] in rows else roots).append(n)
+    out = []
+
+    def write(n, depth):
+        out.append((n, depth))
+        label = rows[n]["label"].strip()
+        for c in below[n]:
+            own = rows[c]["label"].strip()
+            if own and label and own in label:
+                for g in below[c]:
+                    write(g, depth + 1)
+            else:
+                write(c, depth + 1)
+
+    for n in roots:
+        write(n, 0)
+    return out
+
+
+def test_markdown_passes_over_labels_within_their_parents(spark):
+    page = "<main aria-label=m><h1>Top words</h1><div>a b c<p>a b<b>a<i>a</i></b></p><p>other</p></div><a href=/x>see</a><input name=q value=v><input type=checkbox checked aria-label=on><img alt=pic></main>"
+    more = spark.createDataFrame([(-9, page)], "page_id long, html string")
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").filter("page_id < 12").unionByName(more)
+    nodes = ops.reduced_tree(sem_nodes(pages, "something"), "something")
+    rows = {}
+    for r in nodes.collect():
+        rows.setdefault(r["page_id"], {})[r["node_id"]] = r
+    got = {}
+    for r in trees.markdown_lines(nodes).collect():
+        got.setdefault(r["page_id"], {})[r["node_id"]] = (r["level"], r["line"])
+    for page_id, held in rows.items():
+        want = dict(plain_markdown(held))
+        lines = got.get(page_id, {})
+        assert set(lines) <= set(want) and all(lines[n][0] == want[n] for n in lines)
+        assert all(n in lines for n in want if held[n]["role"] == "heading" and held[n]["label"].strip())
+    text = "".join(line for _, (_, line) in sorted(got[-9].items()))
+    assert "## Top words\n\n" in text and "  - [see](click)\n" in text and "  - `q`: v\n" in text and "- [x] on\n" in text
+
+
+def test_cut_of_short_and_even_lists(spark):
+    from heddle.operators.cuts import calibrated, cut_at_gap
+
+    lists = {1: [0.9, 0.1, 0.01], 2: [0.9] * 8, 3: [0.9, 0.8, 0.7, 0.6, 0.55, 0.2, 0.1], 4: [0.9 - 0.05 * i for i in range(12)]}
+    frame = spark.createDataFrame([(k, i, x) for k, xs in lists.items() for i, x in enumerate(xs)], "k int, t int, s double")
+    got = {}
+    for r in cut_at_gap(frame, ["k"], "s", "t", 10).collect():
+        got.setdefault(r["k"], []).append(r["reason"])
+    assert {k: (len(v), v[0]) for k, v in got.items()} == {1: (3, "too_few_candidates"), 2: (8, "broad"), 3: (5, "relevance_gap"), 4: (10, "broad")}
+    one = spark.range(1).select(calibrated(F.lit(0.5), F.lit(0), F.lit(10), F.lit(False)), calibrated(F.lit(0.5), F.lit(20), F.lit(10), F.lit(True))).first()
+    assert one[0] == pytest.approx(0.7312, abs=2e-3) and one[1] == 0.99
