@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from heddle.operators import delivery
 from heddle.sources.tables import table
 
 
@@ -161,11 +162,14 @@ def latest_delta_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", "event_type", "version", F.col("m.event_id").alias("event_id"), F.col("m.value").alias("value"))
 
 
+def deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """What each consumer got of what others of its team published, once for each address: at which fetch, in which version."""
+    return delivery.deliveries(delivery.team_events(table(spark, sf, "events")))
+
+
 def undelivered_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    """Publications of the latest version that a consumer has not had: consumers are those who viewed that user's type before."""
-    latest = latest_delta_per_key(spark, sf).filter("event_type <> 'view'")
-    had = table(spark, sf, "events").filter("event_type = 'view'").select("user_id").distinct()
-    return latest.join(had, "user_id", "left_anti").select("user_id", "event_type", "event_id")
+    """What each consumer has not had: later versions of what it got, and what waits for its next fetch."""
+    return delivery.undelivered(delivery.team_events(table(spark, sf, "events")))
 
 
 def collab_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,10 +324,20 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_volatility, escalation_steps, adversarial_patterns, risk_score, predict_next, markov_edges, predict_outcome,
-        safest_path, latest_delta_per_key, undelivered_deltas, collab_stats, lru_keep, ttl_valid, ema_gain, low_gain_streak,
+        safest_path, latest_delta_per_key, deliveries, undelivered_deltas, collab_stats, lru_keep, ttl_valid, ema_gain, low_gain_streak,
         latency_percentiles, snapshot_diff_changes, snapshot_diff_summary, content_hash_changed,
     )
 }
+DELIVERY = f"""
+WITH e AS (SELECT user_id // {delivery.TEAM} AS team, user_id, event_type, ts, event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+pubs AS (SELECT team, user_id AS publisher, event_type AS topic, ts, event_id FROM e WHERE event_type <> 'view'),
+born AS (SELECT * FROM pubs QUALIFY row_number() OVER (PARTITION BY publisher, topic ORDER BY ts, event_id) = 1),
+asked AS (SELECT team, user_id AS consumer, ts, event_id FROM e WHERE event_type = 'view'),
+got AS (SELECT c.consumer, b.publisher, b.topic, a.ts, a.event_id AS fetch_id
+  FROM born b JOIN (SELECT DISTINCT team, consumer FROM asked) c ON b.team = c.team AND b.publisher <> c.consumer
+  LEFT JOIN asked a ON a.consumer = c.consumer AND (a.ts > b.ts OR (a.ts = b.ts AND a.event_id > b.event_id))
+  QUALIFY row_number() OVER (PARTITION BY c.consumer, b.publisher, b.topic ORDER BY a.ts, a.event_id) = 1)
+"""
 ORACLE = {
     "event_volatility": LOG
     + """SELECT user_id, sum(changed)::BIGINT AS changes, count(*) AS observations,
@@ -350,8 +364,12 @@ allp AS (SELECT dest, round(cost, 5) AS cost, array_to_string(path, '>') AS path
 SELECT dest AS "at", cost, path FROM allp QUALIFY row_number() OVER (PARTITION BY dest ORDER BY cost, path) = 1""",
     "latest_delta_per_key": """SELECT user_id, event_type, count(*) AS version, first(event_id ORDER BY ts DESC, event_id DESC) AS event_id,
   first(value ORDER BY ts DESC, event_id DESC) AS value FROM events GROUP BY ALL""",
-    "undelivered_deltas": """SELECT user_id, event_type, first(event_id ORDER BY ts DESC, event_id DESC) AS event_id FROM events
-WHERE event_type <> 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view') GROUP BY ALL""",
+    "deliveries": DELIVERY
+    + """SELECT g.consumer, g.publisher, g.topic, g.fetch_id, count(*) AS version FROM got g JOIN pubs x ON x.publisher = g.publisher AND x.topic = g.topic
+  AND (x.ts < g.ts OR (x.ts = g.ts AND x.event_id < g.fetch_id)) WHERE g.fetch_id IS NOT NULL GROUP BY ALL""",
+    "undelivered_deltas": DELIVERY
+    + """SELECT g.consumer, g.publisher, g.topic, count(*) FILTER (WHERE x.ts < g.ts OR (x.ts = g.ts AND x.event_id < g.fetch_id)) AS had, count(*) AS version
+FROM got g JOIN pubs x ON x.publisher = g.publisher AND x.topic = g.topic GROUP BY ALL HAVING had < version""",
     "collab_stats": "SELECT event_type, count(*) AS deltas, count(DISTINCT user_id) AS agents, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "lru_keep": """SELECT * FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type) AS rank
   FROM events GROUP BY user_id, event_type) WHERE rank <= 3""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from heddle.functions import field as entries
 from heddle.functions.embedded import FLIGHT, NAMES, assigned, first_of
 from heddle.functions.labels import internal_key
 from heddle.plans.safety import listed, quoted
-from heddle.sources.tables import table
+from heddle.sources.tables import table, written
 
 # A page without any of these marks holds no state.
 MARKS = (
@@ -133,24 +135,24 @@ def _records(flights: DataFrame) -> DataFrame:
 def flatten(states: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(page_id, framework, key, value): every value by its path, a.b[0].c; objects and lists beyond ``depth`` stay JSON text, empty ones give no row.
 
-    Each level explodes what it holds in its own row, so nothing is shuffled.
+    A pass opens one level of what is still nested, in its own row and without a shuffle; there are as many passes as the deepest state has levels.
     """
-    tvf = states.sparkSession.tvf
-    rows = states.select("page_id", "framework", "key", F.col("state").alias("value"))
+    tvf, names = states.sparkSession.tvf, ["page_id", "framework", "key"]
     nested = F.regexp_like(F.schema_of_variant("value"), F.lit("^(OBJECT|ARRAY)"))
+    rows, done = states.select(*names, F.col("state").alias("value")), []
     for _ in range(depth):
-        rows = rows.withColumn("open", nested)
-        inner = tvf.variant_explode_outer(F.when(F.col("open"), F.col("value")).outer()).select(
-            F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")
-        )
-        step = rows.lateralJoin(inner).filter("NOT open OR _pos IS NOT NULL")
+        rows = written(rows.withColumn("open", nested), "entries")
+        done.append(rows.filter("NOT open").drop("open"))
+        if not rows.filter("open").limit(1).count():
+            break
+        inner = tvf.variant_explode(F.col("value").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
         dot = F.when(F.col("key") == "", "").otherwise(".")
         name = F.when(F.col("_key").isNotNull(), F.concat("key", dot, "_key")).otherwise(F.concat("key", F.lit("["), "_pos", F.lit("]")))
-        rows = step.select(
-            "page_id", "framework", F.when(F.col("open"), name).otherwise(F.col("key")).alias("key"), F.when(F.col("open"), F.col("_value")).otherwise(F.col("value")).alias("value")
-        )
+        rows = rows.filter("open").lateralJoin(inner).select("page_id", "framework", name.alias("key"), F.col("_value").alias("value"))
+    else:
+        done.append(rows)
     text = F.when(nested, F.to_json("value")).when(F.is_variant_null("value"), "null").otherwise(F.try_variant_get("value", "$", "string"))
-    return rows.select("page_id", "framework", "key", text.alias("value"))
+    return reduce(DataFrame.unionAll, done).select(*names, text.alias("value"))
 
 
 def references(entries_: DataFrame, states: DataFrame) -> DataFrame:
@@ -188,7 +190,7 @@ def _handlers(pages: DataFrame, states: DataFrame) -> DataFrame:
 def hydration_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Every value of each page's state by its path."""
     pages = _pages(spark, sf)
-    states = hydration_state(pages)
+    states = written(hydration_state(pages), "states")
     return references(flatten(states), states).unionAll(_handlers(pages, states))
 
 

@@ -24,3 +24,14 @@ def test_entries_of_planted_pages(spark):
     assert got[pages["Date:2020"]] == {"_1.a": ("Nuxt", "x"), "_2": ("Nuxt", "2020"), "_3[0]": ("Nuxt", "true")}
     assert got[pages['"post"']] == {"post.title": ("SvelteKit", "T")}
     assert got[pages['q:container="paused"']]["_qrl_handlers[1].handler"] == ("Qwik", "./n.js#set") and got[pages['q:container="paused"']]["ctx.a[0]"] == ("Qwik", "1")
+
+
+def test_levels_beyond_the_depth_stay_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "X", "", '{"a": {"b": [1, {"c": {}}]}, "d": null, "e": []}')], "page_id long, framework string, key string, j string")
+    states = rows.select("page_id", "framework", "key", F.parse_json("j").alias("state"))
+    whole = {r["key"]: r["value"] for r in hydration.flatten(states).collect()}
+    assert whole == {"a.b[0]": "1", "d": "null"}
+    assert {r["key"]: r["value"] for r in hydration.flatten(states, 2).collect()} == {"a.b": '[1,{"c":{}}]', "d": "null"}
+    assert hydration.flatten(states.limit(0)).count() == 0
