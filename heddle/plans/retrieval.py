@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.text import STOP_WORDS, text_similarity, tokens
 from heddle.operators import retrieval as ops
+from heddle.operators.index import TextIndex
 from heddle.sources.tables import table, written
 
 GOALS = ["find the price", "with_that", "the thing-er of", "zzz", "add to cart", ""]
@@ -56,6 +57,22 @@ def text_similarity_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.col("goal_id").cast("long").alias("goal_id"), score.alias("score"))
 
 
+def _changes(docs: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Three batches of changes by rules on doc_id: four fifths of the documents; the rest, halved texts and removals; texts that come back whole."""
+    rows, half = docs.select(F.col("doc_id").alias("id"), "text"), F.expr("left(text, cast(length(text) div 2 as int))")
+    first = rows.filter("id % 5 <> 0")
+    second = rows.filter("id % 5 = 0 OR id % 3 = 0").withColumn("text", F.when(F.col("id") % 3 == 0, half).otherwise(F.col("text")))
+    return [(first, rows.limit(0)), (second, rows.filter("id % 7 = 0")), (rows.filter("id % 11 = 0"), rows.limit(0))]
+
+
+def index_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of each item, from an index that was built and changed batch by batch."""
+    index = TextIndex(spark)
+    for changed, removed in _changes(table(spark, sf, "documents")):
+        index.apply(changed, removed.select("id"))
+    return index.search(table(spark, sf, "benchmark"), 10).withColumnsRenamed({"qid": "item_id", "id": "doc_id"})
+
+
 def mrr_ndcg_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Relevant: the documents of good quality among an item's fifty best."""
     ranked = written(ops.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 50), "ranked")
@@ -106,10 +123,14 @@ QUERIES = {
     "bm25_documents_topk": bm25_documents_topk,
     "bm25_prefix_fallback": bm25_prefix_fallback,
     "bm25_cut_queries": bm25_cut_queries,
+    "index_after_changes": index_after_changes,
     "text_similarity_conversations": text_similarity_conversations,
     "mrr_ndcg_recall": mrr_ndcg_recall,
 }
 ORACLE = {
+    "index_after_changes": f"""WITH {BM25_SQL.replace("FROM documents)", """FROM (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 AND doc_id % 3 = 0
+    THEN left(text, length(text) // 2) ELSE text END AS text FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 <> 0))""")}
+SELECT qid AS item_id, rank, id AS doc_id, score FROM ranked WHERE rank <= 10""",
     "tokenize_documents": f"""
 SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct
 FROM (SELECT doc_id, {tokens_sql("coalesce(text, '')")} AS t FROM documents)""",
