@@ -5,7 +5,7 @@ Conversation texts stand for labels and actions; the planted lists are in the qu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import labels as ops
@@ -201,11 +201,20 @@ def _fits(words_: dict[str, tuple[str, ...]]) -> str:
     return "(" + " OR ".join(_any(f"lower({c})", w) for c, w in words_.items()) + ")"
 
 
+def first_chunks(spark: SparkSession, sf: str, size: int = 10, least: float = 0.3) -> DataFrame:
+    """What is sent of each conversation first: the best turns that reach the threshold, or that act or lead on whatever their score."""
+    role = F.element_at(F.array(*map(F.lit, ROLES)), ((F.col("conv_id") + F.col("turn")) % len(ROLES) + 1).cast("int"))
+    rows = stream_relevance(spark, sf).select("conv_id", "turn", F.col("decided").alias("score"), role.alias("role"))
+    order = Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn")
+    passing = rows.filter((F.col("score") >= least) | (F.col("role") != "price"))
+    return passing.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= size).select("conv_id", "place", "turn", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         label_artifacts, label_kinds, script_labels, label_truncate, internal_keys, action_types, selector_hints, set_cookies,
-        login_forms, input_kinds, learned_edge_weights, stream_relevance,
+        login_forms, input_kinds, learned_edge_weights, stream_relevance, first_chunks,
     )
 }
 _PICK = "{}[(conv_id + turn) % {} + 1]"
@@ -285,3 +294,5 @@ v AS (SELECT *, CASE WHEN contains(low, '{GOAL}') OR hits = {len(GOAL_WORDS)} TH
 SELECT conv_id, turn, round(greatest(0.0, least(1.0, likeness * 0.5 + weight * 0.4 - least(turn * 0.05::DOUBLE, 0.4))), 6)::DOUBLE AS met,
   round(greatest(0.0, least(1.0, likeness * 0.55 + weight * 0.35 - long - nav)), 6)::DOUBLE AS decided FROM v""",
 }
+ORACLE["first_chunks"] = f"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY decided DESC, turn) AS place, turn, decided AS score
+FROM ({ORACLE["stream_relevance"]}) WHERE decided >= 0.3 OR {listed(ROLES)}[(conv_id + turn) % {len(ROLES)} + 1] <> 'price' QUALIFY place <= 10"""
