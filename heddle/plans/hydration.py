@@ -27,7 +27,8 @@ FRAMEWORKS = [
     ("Nuxt", BY_NAME.format("__NUXT__"), None),
     ("Angular", BY_ID.format("ng-state"), None),
     ("Remix", BY_NAME.format("__remixContext"), "$.state.loaderData"),
-    ("Gatsby", BY_ID.format("___?gatsby-initial-props"), None),
+    ("Gatsby", BY_ID.format("___gatsby-initial-props"), None),
+    ("Gatsby", BY_ID.format("__gatsby-initial-props"), None),
     ("SvelteKit", BY_ID.format("__sveltekit_data"), None),
     ("Qwik", r'(?s)type="qwik/json"[^>]*>\s*(.*?)\s*</script>', None),
     ("Astro", r'<astro-island[^>]*?props="([^"]*)"', None),

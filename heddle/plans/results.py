@@ -26,39 +26,48 @@ STATE = (
     "dataManifest.", "currentUrlString", "pageProps.",
 )
 STATE_FACTOR = 0.15
-# What labels of boilerplate keep of their score; all patterns are in the lower-cased label,
-# which has more and fewer bytes than the two numbers. The first rule that holds counts.
-PENALTIES = [
-    (0.5, [r"uh oh! there was an error|please reload this page|something went wrong|loading\.\.\.|laddar\.\.\."], None, None),
-    (0.4, ["points by|hours ago|minutes ago", "comments|hide"], None, None),
-    (0.5, ["ago", "point|vote|score"], None, None),
-    (0.3, [r"^\^ ", "retrieved 20|archived from"], None, None),
-    (0.2, ["doi ?:", "issn|pmid|bibcode"], None, None),
-    (0.25, ["^(articles with |short description|category:articles)"], None, 80),
-    (0.25, [r"^\^ ", r"\((20|19)|doi|isbn|pmid"], 30, None),
-    (0.3, ["(posts|submissions) must", "code of conduct|message the mods|details"], None, None),
-    (0.25, ["^(1 observe|2 submission)"], None, None),
-    (0.25, ["^r/", "rules", "observe"], None, None),
-    (0.35, ["community bookmarks|official resources", "megathreads|alternative venues"], None, None),
-    (0.3, ["no meta posts", "mods"], None, None),
-    (0.3, ["^search ", r"\.\.\."], 40, None),
-    (0.2, ["we use cookies"], 80, None),
-    (0.2, ["cookie settings", "accept all"], None, None),
+# What labels of boilerplate keep of their score: the lower-cased label begins with one of the first phrases (if there are any), holds one
+# of each further group, and has more and fewer bytes than the two numbers. The first rule that holds counts.
+BOILERPLATE = [
+    (0.5, (), [("uh oh! there was an error", "please reload this page", "something went wrong", "loading...", "laddar...")], None, None),
+    (0.4, (), [("points by", "hours ago", "minutes ago"), ("comments", "hide")], None, None),
+    (0.5, (), [("ago",), ("point", "vote", "score")], None, None),
+    (0.3, ("^ ",), [("retrieved 20", "archived from")], None, None),
+    (0.2, (), [("doi :", "doi:"), ("issn", "pmid", "bibcode")], None, None),
+    (0.25, ("articles with ", "short description", "category:articles"), [], None, 80),
+    (0.25, ("^ ",), [("(20", "(19", "doi", "isbn", "pmid")], 30, None),
+    (0.3, (), [("posts must", "submissions must"), ("code of conduct", "message the mods", "details")], None, None),
+    (0.25, ("1 observe", "2 submission"), [], None, None),
+    (0.25, ("r/",), [("rules",), ("observe",)], None, None),
+    (0.35, (), [("community bookmarks", "official resources"), ("megathreads", "alternative venues")], None, None),
+    (0.3, (), [("no meta posts",), ("mods",)], None, None),
+    (0.3, ("search ",), [("...",)], 40, None),
+    (0.2, (), [("we use cookies",)], 80, None),
+    (0.2, (), [("cookie settings",), ("accept all",)], None, None),
 ]
-# Labels, names and ids of nodes that are no content; all patterns, and more bytes than the number.
-NO_CONTENT = [
-    (["cookie", "consent"], None),
-    (["we use cookies"], 100),
-    (["cookie settings", "analytics"], None),
-    (["reject all cookies", "accept all"], None),
-    (["privacy choices", "cookie"], None),
-    (["^search (or jump to|code, repositories)", r"\.\.\."], None),
-    ([r"^\^ ", "retrieved 20"], None),
-    ([r'^\^ "', r"\. retrieved"], None),
-    ([r"^(loading\.\.\.|loading contributors|just a moment\.\.\.)\z"], None),
-    (["doi ?:", "issn|pmid|bibcode|arxiv"], None),
-    (["^(articles with short description|short description is different|category:articles with)"], None),
+# Labels of nodes that are no content, by beginnings, groups and bytes in the same way, and whole labels.
+EMPTY = [
+    ((), [("cookie",), ("consent",)], None),
+    ((), [("we use cookies",)], 100),
+    ((), [("cookie settings",), ("analytics",)], None),
+    ((), [("reject all cookies",), ("accept all",)], None),
+    ((), [("privacy choices",), ("cookie",)], None),
+    (("search or jump to", "search code, repositories"), [("...",)], None),
+    (("^ ",), [("retrieved 20",)], None),
+    (('^ "',), [(". retrieved",)], None),
+    ((), [("doi :", "doi:"), ("issn", "pmid", "bibcode", "arxiv")], None),
+    (("articles with short description", "short description is different", "category:articles with"), [], None),
 ]
+WHOLE = ("loading...", "loading contributors", "just a moment...")
+
+
+def _patterns(starts: tuple[str, ...], groups: list[tuple[str, ...]]) -> list[str]:
+    """Patterns that all find something in a label that the phrases fit."""
+    return [*([f"^({alternatives(starts)})"] if starts else []), *map(alternatives, groups)]
+
+
+PENALTIES = [(keep, _patterns(starts, groups), more, fewer) for keep, starts, groups, more, fewer in BOILERPLATE]
+NO_CONTENT = [*((_patterns(starts, groups), more) for starts, groups, more in EMPTY), ([f"^({alternatives(WHOLE)})\\z"], None)]
 META_NAMES = r"^(opengraph\.|og:|twitter\.|fb:|article:)"
 SIDE_IDS = "sidebar|related-posts|recommended|advertisement|ad-container|cookie-banner"
 # Edge weights down from a role and up to one, polynomial coefficients, share of the seed.
