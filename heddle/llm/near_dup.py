@@ -8,8 +8,8 @@ concentrated as under independent sampling; a large text fills its bins in one o
 
 Linking: equal shingle sets become one class. Classes that share a band of ``rows`` coordinates are
 candidates; with the defaults a pair at 0.8 is missed with probability 1.2e-6. Within a bucket the
-candidates are first compared with its smallest class only (a star). The texts of buckets that then
-still hold several components are looked at by prefixes: with every set ordered by rising frequency of
+candidates are first compared with its smallest class only (a star), then, in buckets that still hold several components, with
+its best connected one. The texts of buckets that even then hold several components are looked at by prefixes: with every set ordered by rising frequency of
 its shingles, two sets that reach the similarity share a shingle among the first fifth of each (for 0.8),
 whatever the order. This is exact, and frequent shingles, which a template repeats, seldom stand that far
 in front. Texts that such shingles connect across components are a family; in blocks, those outside of its
@@ -40,7 +40,9 @@ from heddle.llm.words import GOLD, salted, shingles
 
 BANDS, ROWS = 45, 6
 CHUNK = 1_000_000
-BLOCK = 256
+BLOCK = 2048
+#: Rounds in which mixed buckets are compared with their best connected member.
+CENTRES = 1
 #: Cells of the table of shingle frequencies (by hash; 2 MB): it only orders the shingles.
 CELLS = 1 << 18
 
@@ -209,13 +211,17 @@ def block_links(
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     common = np.zeros((int(left.sum()), int((~left).sum())), np.float32)
-    for lo in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        part = np.zeros((len(size), 4096), np.float32)
+    for lo in range(0, int(shared.sum()), 1024):
+        a, b = np.searchsorted(column, [lo, lo + 1024])
+        part = np.zeros((len(size), 1024), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
         common += part[left] @ part[~left].T
-    union = size[left][:, None] + size[~left][None, :] - common
-    ok = (100 * common >= percent * union) & (component[left][:, None] != component[~left][None, :])
+    pairs = []
+    for lo in range(0, len(common), 256):  # a few rows at a time, in double precision
+        some = common[lo : lo + 256].astype(np.float64)
+        union = size[left][lo : lo + 256][:, None] + size[~left][None, :] - some
+        fit = (100 * some >= percent * union) & (component[left][lo : lo + 256][:, None] != component[~left][None, :])
+        pairs.append(np.argwhere(fit) + [lo, 0])
     _, label = np.unique(component, return_inverse=True)
     root = list(range(len(label)))
 
@@ -226,7 +232,7 @@ def block_links(
         return x
 
     rows, others, out = np.flatnonzero(left), np.flatnonzero(~left), []
-    for i, j in np.argwhere(ok).tolist():
+    for i, j in np.concatenate(pairs).tolist() if pairs else []:
         x, y = find(label[rows[i]]), find(label[others[j]])
         if x != y:
             root[max(x, y)] = min(x, y)
@@ -234,6 +240,17 @@ def block_links(
     return out
 
 
+def _sets(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, offsets) of a table's texts, made from a bounded part of them at a time."""
+    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for batch in table.select(["text"]).to_batches():
+        for part in byte_chunks(batch, "text", CHUNK):
+            value, first = shingles(*utf8(part["text"]), words)
+            values.append(value)
+            sizes.append(np.diff(first))
+    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+
 def family_links(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between texts of ``rest`` (rep, component) of different components, enough to join all that reach the similarity."""
     spark = rest.sparkSession
@@ -269,14 +286,40 @@ def family_links(rest: DataFrame, texts: DataFrame, words: int, percent: int) ->
         component, rep, left = (table[c].to_numpy() for c in ("component", "rep", "left"))
         pairs = []
         if left.any() and not left.all() and (component != component[0]).any():
-            value, first = shingles(*utf8(table["text"]), words)
-            pairs = block_links(value, first, component, left, percent)
+            pairs = block_links(*_sets(table, words), component, left, percent)
         ends = [(max(rep[i], rep[j]), min(rep[i], rep[j])) for i, j in pairs]
         return pa.table({c: pa.array([e[k] for e in ends], pa.int64()) for k, c in enumerate("ab")})
 
     return outside.select(*kept).unionAll(all_.select(*kept)).groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def mixed_members(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """(key, size, rep, component) of the buckets that hold several components; ``members`` (key, rep) has ``total`` rows."""
+    spark = members.sparkSession
+    named = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component")
+    )
+    named = materialise(spark, named, "named")
+    mixed = named.groupBy("key").agg(F.count("*").alias("_n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = materialise(spark, mixed.filter("_n > 2 and lo <> hi").select("key", "_n", F.col("_n").alias("size")), "mixed")
+    return materialise(spark, spread_join(named, mixed.select("key", "size"), ["key"], total, hot=mixed.select("key", "_n")), "rest")
+
+
+def centre_pairs(spark: SparkSession, rest: DataFrame) -> DataFrame:
+    """(a, b): each member of a mixed bucket with the bucket's best connected member b, where they are of different components.
+
+    Best connected is who shares its buckets with most others: the text that near copies were made from, if it is there, since it
+    has the coordinates that most of them kept. So one round of as many comparisons as there are members joins most of a family.
+    """
+    score = rest.groupBy("rep").agg(F.sum("size").alias("score"))
+    scored = rest.join(score, "rep")
+    best = F.max_by(F.struct("rep", "component"), F.struct("score", -F.col("rep"))).alias("best")
+    centre = scored.groupBy("key").agg(best, F.count("*").alias("_n"))
+    centre = materialise(spark, centre.select("key", F.col("best.rep").alias("b"), F.col("best.component").alias("of"), "_n"), "centres")
+    pairs = spread_join(rest.select("key", "rep", "component"), centre.drop("_n"), ["key"], rest.count(), hot=centre.select("key", "_n"))
+    return materialise(spark, pairs.filter("component <> of").select(F.col("rep").alias("a"), "b").distinct(), "centre-pairs")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id linked, directly or not."""
     spark = docs.sparkSession
@@ -298,18 +341,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     links = materialise(spark, verify(stars, docs, words, percent), "links")
     labels = components(links)
 
-    # buckets that still hold several components: their texts are compared across components
+    # buckets that still hold several components: their members are compared with the best connected one, and what is left across components
     n_members = members.count()
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    named = materialise(spark, named, "named")
-    mixed = named.groupBy("key").agg(F.count("*").alias("_n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = materialise(spark, mixed.filter("_n > 2 and lo <> hi").select("key", "_n"), "mixed")
-    rest = spread_join(named, mixed.select("key"), ["key"], n_members, hot=mixed)
-    rest = materialise(spark, rest.select("rep", "component").distinct(), "rest")
-    if rest.limit(1).count():
-        links = materialise(spark, links.unionAll(family_links(rest, docs, words, percent)), "links")
+    for turn in range(CENTRES + 1):
+        rest = mixed_members(members, labels, n_members)
+        if not rest.limit(1).count():
+            break
+        if turn < CENTRES:
+            more = verify(centre_pairs(spark, rest), docs, words, percent)
+        else:
+            more = family_links(rest.select("rep", "component").distinct(), docs, words, percent)
+        links = materialise(spark, links.unionAll(more), "links")
         labels = components(links)
 
     reps = classes.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
