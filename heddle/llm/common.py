@@ -39,17 +39,18 @@ SPREAD = 20_000
 
 
 def spread_join(
-    rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", hot: DataFrame | None = None
+    rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", hot: DataFrame | None = None, spread: int | None = None
 ) -> DataFrame:
-    """``rows`` (``total`` of them) joined to a table that is unique on ``keys``, with hot keys split.
+    """``rows`` (``total`` of them) joined to a table, mostly one that is unique on ``keys``, with hot keys split.
 
-    Keys of more than SPREAD rows, and of more than a ten-thousandth of all, are dealt over tasks by a hash of the row; their
+    Keys of more than ``spread`` (SPREAD) rows, and of more than a ten-thousandth of all, are dealt over tasks by a hash of the row; their
     line of the table is repeated for each. There are at most 10,000 such keys, so they can be broadcast. ``hot``
     may give the counts: (keys, _n). Null keys join nothing.
     """
-    if total <= SPREAD:
+    spread = spread or SPREAD
+    if total <= spread:
         return rows.join(table, keys, how)
-    limit = max(SPREAD, total // 10_000)
+    limit = max(spread, total // 10_000)
     hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")) if hot is None else hot
     hot = F.broadcast(hot.filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
     part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")

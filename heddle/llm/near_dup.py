@@ -12,8 +12,8 @@ candidates are first compared with its smallest class only (a star), then, in bu
 its best connected one. The texts of buckets that even then hold several components are looked at by prefixes: with every set ordered by rising frequency of
 its shingles, two sets that reach the similarity share a shingle among the first fifth of each (for 0.8),
 whatever the order. This is exact, and frequent shingles, which a template repeats, seldom stand that far
-in front. Texts that such shingles connect across components are a family; in blocks, those outside of its
-largest component are compared with all of it, and only links become rows.
+in front. Two texts of different components become a pair if the places of a shingle that both have in front, their sizes and
+the parities of their sets leave room for the similarity; no such bound drops a pair that reaches it.
 Every link is confirmed on the full sets, made again from the texts. Groups are connected components.
 Hot keys (a bucket, a class of copies, a star's centre) are split over tasks.
 
@@ -40,11 +40,14 @@ from heddle.llm.words import GOLD, salted, shingles
 
 BANDS, ROWS = 45, 6
 CHUNK = 1_000_000
+#: Rows of one shingle that a task compares with the others in front of which it stands; shingles of more are dealt over tasks.
 BLOCK = 2048
 #: Rounds in which mixed buckets are compared with their best connected member.
 CENTRES = 1
 #: Cells of the table of shingle frequencies (by hash; 2 MB): it only orders the shingles.
 CELLS = 1 << 18
+#: Numbers of 64 bits that hold a set's parities: a bit says whether the set has an odd number of the shingles hashed to it.
+SIGNS = 8
 
 
 def sketch(value: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -173,11 +176,21 @@ def frequencies(texts: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def parities(value: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """(texts, SIGNS) parities; two sets differ in at least as many shingles as their parities do in bits."""
+    out = np.zeros((texts, SIGNS), np.uint64)
+    bit = np.uint64(1) << (value & np.uint64(63))
+    np.bitwise_xor.at(out, (owner, (value >> np.uint64(6)).astype(np.int64) % SIGNS), bit)
+    return out.view(np.int64)
+
+
 def prefixes(rows: DataFrame, order: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(h, rep, component) of ``rows`` (rep, component, text): the n - ceil(t n) + 1 rarest shingles of each set.
+    """(h, rep, component, n, p, s0...) of ``rows`` (rep, component, text): the n - ceil(t n) + 1 rarest shingles of each set.
 
-    A set x that reaches t with y has at least t |x| shingles in common with it, so the two prefixes meet.
+    A set x that reaches t with y has at least t |x| shingles in common with it, so the two prefixes meet. n is the set's
+    size, p the shingle's place in it (from 0), s0... its parities.
     """
+    signs = [f"s{i}" for i in range(SIGNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -185,112 +198,55 @@ def prefixes(rows: DataFrame, order: np.ndarray, words: int, percent: int) -> Da
                 value, first = shingles(*utf8(batch["text"]), words)
                 size = np.diff(first)
                 owner = np.repeat(np.arange(len(size)), size)
+                parity = parities(value, owner, len(size))
                 sort = np.lexsort((value, order[_cell(value)], owner))
                 value, owner = value[sort], owner[sort]
-                n = size[owner]
-                keep = np.arange(len(value)) - first[owner] < n + 1 + (-percent * n) // 100
-                owner = pa.array(owner[keep])
-                columns = [pa.array(value[keep].view(np.int64)), batch["rep"].take(owner), batch["component"].take(owner)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "rep", "component"])
+                n, place = size[owner], np.arange(len(value)) - first[owner]
+                keep = place < n + 1 + (-percent * n) // 100
+                value, n, place, owner = (x[keep] for x in (value, n, place, owner))
+                at = pa.array(owner)
+                columns = [pa.array(value.view(np.int64)), batch["rep"].take(at), batch["component"].take(at), pa.array(n), pa.array(place)]
+                columns += [pa.array(parity[owner, i]) for i in range(SIGNS)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "rep", "component", "n", "p", *signs])
 
-    return rows.mapInArrow(run, "h long, rep long, component long")
+    return rows.mapInArrow(run, "h long, rep long, component long, n long, p long, " + ", ".join(f"{s} long" for s in signs))
 
 
-def block_links(
-    value: np.ndarray, first: np.ndarray, component: np.ndarray, left: np.ndarray, percent: int
-) -> list[tuple[int, int]]:
-    """Links (row, row) from ``left`` rows to the others, between different components: one for each merge they make.
+def prefix_pairs(front: DataFrame, percent: int) -> DataFrame:
+    """Different pairs (a, b) of a written table of prefixes, of different components, that may reach the similarity.
 
-    Intersections come from products of incidence matrices, a slice of shingles at a time.
+    The first shingle that two sets share in the common order has all others behind it, so what is behind it in either
+    set bounds the intersection, and so do the sets' parities. The shorter set is looked up with the places that still leave
+    room for a set of its own size, in classes of sizes (a power of 1.25) up to the largest that fits.
     """
-    size = np.diff(first)
-    owner = np.repeat(np.arange(len(size)), size)
-    names, at, times = np.unique(value, return_inverse=True, return_counts=True)
-    shared = times > 1
-    column, owner = (np.cumsum(shared) - 1)[at[shared[at]]], owner[shared[at]]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    common = np.zeros((int(left.sum()), int((~left).sum())), np.float32)
-    for lo in range(0, int(shared.sum()), 1024):
-        a, b = np.searchsorted(column, [lo, lo + 1024])
-        part = np.zeros((len(size), 1024), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        common += part[left] @ part[~left].T
-    pairs = []
-    for lo in range(0, len(common), 256):  # a few rows at a time, in double precision
-        some = common[lo : lo + 256].astype(np.float64)
-        union = size[left][lo : lo + 256][:, None] + size[~left][None, :] - some
-        fit = (100 * some >= percent * union) & (component[left][lo : lo + 256][:, None] != component[~left][None, :])
-        pairs.append(np.argwhere(fit) + [lo, 0])
-    _, label = np.unique(component, return_inverse=True)
-    root = list(range(len(label)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    rows, others, out = np.flatnonzero(left), np.flatnonzero(~left), []
-    for i, j in np.concatenate(pairs).tolist() if pairs else []:
-        x, y = find(label[rows[i]]), find(label[others[j]])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(rows[i]), int(others[j])))
-    return out
-
-
-def _sets(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, offsets) of a table's texts, made from a bounded part of them at a time."""
-    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for batch in table.select(["text"]).to_batches():
-        for part in byte_chunks(batch, "text", CHUNK):
-            value, first = shingles(*utf8(part["text"]), words)
-            values.append(value)
-            sizes.append(np.diff(first))
-    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    room = lambda size, place: (100 + percent) * (F.col(size) - F.col(place))
+    step = lambda n: F.floor(F.log(n) / float(np.log(1.25))).cast("int")
+    most = (room("n", "p") / percent - F.col("n")) * (1 + 1e-9)  # the largest set that fits
+    short = front.filter(room("n", "p") >= 2 * percent * F.col("n"))
+    short = short.withColumn("g", F.explode(F.sequence(step(F.col("n")), step(most))))
+    long = front.withColumn("g", step(F.col("n"))).select("h", "g", *(F.col(c).alias(f"_{c}") for c in front.columns if c != "h"))
+    both = F.col("n") + F.col("_n")
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"_s{i}"))) for i in range(SIGNS)), F.lit(0))
+    fit = (
+        (F.col("component") != F.col("_component"))
+        & ((F.col("n") < F.col("_n")) | (F.col("n") == F.col("_n")) & (F.col("rep") < F.col("_rep")))
+        & (room("n", "p") >= percent * both)
+        & (room("_n", "_p") >= percent * both)
+        & ((100 + percent) * (both - differ) >= 2 * percent * both)
+    )
+    met = spread_join(short, long, ["h", "g"], front.count(), spread=BLOCK).filter(fit)
+    return met.select(F.greatest("rep", "_rep").alias("a"), F.least("rep", "_rep").alias("b")).distinct()
 
 
 def family_links(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between texts of ``rest`` (rep, component) of different components, enough to join all that reach the similarity."""
+    """Links (a, b): all pairs of texts of ``rest`` (rep, component) that reach the similarity and are of different components."""
     spark = rest.sparkSession
     few = with_ids(documents(texts), rest.select(F.col("rep").alias("doc_id")))
-    order = frequencies(few, words)
     named = few.withColumnRenamed("doc_id", "rep").join(rest, "rep").select("rep", "component", "text")
     named = materialise(spark, named, "rest-texts")
-    front = materialise(spark, prefixes(named.select("rep", "component", "text"), order, words, percent), "prefixes")
-    shared = front.groupBy("h").agg(
-        F.min("rep").alias("b"), F.count("*").alias("_n"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    )
-    shared = materialise(spark, shared.filter("lo <> hi").select("h", "b", "_n"), "shared")
-    edges = spread_join(front, shared.select("h", "b"), ["h"], front.count(), hot=shared.select("h", "_n"))
-    families = components(edges.select(F.col("rep").alias("a"), "b").distinct())
-    rows = named.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
-    parts = rows.groupBy("family", "component").agg(F.count("*").alias("k"))
-    sums = parts.groupBy("family").agg(
-        F.sum("k").alias("_n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("top")
-    )
-    sums = sums.withColumn("js", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    sums = sums.withColumn("is", F.ceil((F.col("_n") - F.col("most")) / BLOCK).cast("int"))
-    sums = materialise(spark, sums.filter("_n > most").select("family", "_n", "top", "is", "js"), "families")
-    found = spread_join(rows, sums.drop("_n"), ["family"], named.count(), hot=sums.select("family", "_n"))
-    found = materialise(spark, found, "family")
-    home = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["family", "i", "j", "left", "rep", "component", "text"]
-    outside = found.filter("component <> top").withColumn("i", home("is")).withColumn("j", every("js")).withColumn("left", F.lit(True))
-    all_ = found.withColumn("j", home("js")).withColumn("i", every("is")).withColumn("left", F.lit(False))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        component, rep, left = (table[c].to_numpy() for c in ("component", "rep", "left"))
-        pairs = []
-        if left.any() and not left.all() and (component != component[0]).any():
-            pairs = block_links(*_sets(table, words), component, left, percent)
-        ends = [(max(rep[i], rep[j]), min(rep[i], rep[j])) for i, j in pairs]
-        return pa.table({c: pa.array([e[k] for e in ends], pa.int64()) for k, c in enumerate("ab")})
-
-    return outside.select(*kept).unionAll(all_.select(*kept)).groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+    front = materialise(spark, prefixes(named, frequencies(named, words), words, percent), "prefixes")
+    pairs = materialise(spark, prefix_pairs(front, percent), "prefix-pairs")
+    return verify(pairs, named.select(F.col("rep").alias("doc_id"), "text"), words, percent)
 
 
 def mixed_members(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
