@@ -23,10 +23,11 @@ Defined results
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def bucket_of(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-3:]) % BUCKETS
+    return OWN + crc32(word[-3:]) % BUCKETS
 
 
 # --- counts ------------------------------------------------------------------------------------------
@@ -145,12 +146,12 @@ class Coder:
             some.append(END)
             tokens += some
             size.append(len(some))
-        known = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+        known = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
         first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         other = np.flatnonzero(known < 0)
         outcome = self.outcomes[known] if len(self.outcomes) else np.zeros(len(known), np.int64)
         lost = [tokens[i] for i in other.tolist()]
-        outcome[other] = np.fromiter(map(bucket_of, lost), np.int64, len(lost))
+        outcome[other] = OWN + np.fromiter((crc32(w[-3:]) for w in lost), np.int64, len(lost)) % BUCKETS
         cut = np.searchsorted(other, first).tolist()
         return Coded(outcome, known, first, [lost[a:b] for a, b in zip(cut, cut[1:], strict=False)])
 
@@ -177,47 +178,63 @@ def initial(vocab: Vocabulary, seed: int = 7) -> list[np.ndarray]:
     return [*out, np.log(vocab.mass / vocab.mass.sum()).astype(np.float32)]
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by index."""
+def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different indices, the sum of each one's rows)."""
     order = np.argsort(index.astype(np.uint16), kind="stable")
-    key = index[order]
+    key = index.take(order)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    out = np.zeros((size, *rows.shape[1:]), np.float32)
-    out[key[start]] = np.add.reduceat(rows[order], start, axis=0)
-    return out
+    pairs = rows.take(order, axis=0).view(np.complex64)  # adds two numbers at a time
+    return key[start], np.add.reduceat(pairs, start, axis=0).view(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive steps (Adagrad) on batches of (context, context, outcome)."""
+    """Noise-contrastive steps (Adagrad) on batches of (context, context, outcome).
+
+    The vectors u1, u2 and r stand in one array, so that a step gathers, sums and changes the rows it meets at once.
+    """
 
     def __init__(self, vocab: Vocabulary, start: list[np.ndarray], seed: int, rate: float = 0.1):
-        self.p = [x.copy() for x in start]
-        self.past = [np.full_like(x, 1e-4) for x in self.p]
-        self.rate, self.rng = rate, np.random.default_rng(seed)
+        *vectors, self.b = (x.copy() for x in start)
+        self.w = np.concatenate(vectors)
+        self.past, self.past_b = np.full_like(self.w, 1e-4), np.full_like(self.b, 1e-4)
+        self.rate, self.rng = np.float32(rate), np.random.default_rng(seed)
         share = vocab.mass / vocab.mass.sum()
         self.steps, self.cum = 0, np.cumsum(share)
         self.log_noise = np.log(NOISE * share).astype(np.float32)
+        self.scores = np.empty((BATCH, NOISE), np.float32)
+
+    @property
+    def p(self) -> list[np.ndarray]:
+        """u1, u2, r, b as they are now."""
+        return [*np.split(self.w, [CLASSES + 1, 2 * (CLASSES + 1)]), self.b]
 
-    def step(self, one: np.ndarray, two: np.ndarray, outcome: np.ndarray) -> None:
-        u1, u2, r, b = self.p
-        n = len(outcome)
-        q = u1[one] + u2[two]
+    def step(self, places: np.ndarray, outcome: np.ndarray) -> None:
+        """``places``: (3, n) rows of u1, u2 and r within the one array."""
+        n, b, log_noise = len(outcome), self.b, self.log_noise
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), CLASSES - 1)
-        rw, rn = r[outcome], r[noise]
-        good = np.einsum("nd,nd->n", q, rw) + b[outcome] - self.log_noise[outcome]
-        bad = q @ rn.T + b[noise] - self.log_noise[noise]
+        at = np.concatenate([places.ravel(), noise + 2 * (CLASSES + 1)])
+        rows = self.w.take(at, axis=0)
+        q, rw, rn = rows[:n] + rows[n : 2 * n], rows[2 * n : 3 * n], rows[3 * n :]
+        good = np.einsum("nd,nd->n", q, rw) + (b - log_noise).take(outcome)
         # derivative of the loss by each score: data pulls up, noise pushes down
-        up = -1 / (1 + np.exp(np.clip(good, -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-        up, down = (up / n).astype(np.float32), (down / n).astype(np.float32)
-        gq = up[:, None] * rw + down @ rn
-        gr = _scatter(outcome, up[:, None] * q, CLASSES)
-        np.add.at(gr, noise, down.T @ q)
-        gb = np.bincount(outcome, up, CLASSES) + np.bincount(noise, down.sum(axis=0), CLASSES)
-        grads = (_scatter(one, gq, CLASSES + 1), _scatter(two, gq, CLASSES + 1), gr, gb.astype(np.float32))
-        for p, g, s in zip(self.p, grads, self.past, strict=True):
-            s += g * g
-            p -= self.rate * g / np.sqrt(s)
+        up = np.float32(-1 / n) / (1 + np.exp(np.minimum(good, 30)))
+        down = np.matmul(q, -rn.T, out=self.scores[:n])
+        down += log_noise[noise] - b[noise]
+        np.exp(np.minimum(down, 30, out=down), out=down)
+        down += 1
+        np.divide(np.float32(1 / n), down, out=down)
+        change = np.empty_like(rows)
+        np.add(up[:, None] * rw, down @ rn, out=change[:n])
+        change[n : 2 * n] = change[:n]
+        np.multiply(up[:, None], q, out=change[2 * n : 3 * n])
+        np.matmul(down.T, q, out=change[3 * n :])
+        key, g = _sums(at, change)  # rows without a gradient stay as they are
+        past = self.past.take(key, axis=0) + g * g
+        self.past[key] = past
+        self.w[key] -= self.rate * g / np.sqrt(past)
+        g = (np.bincount(outcome, up, CLASSES) + np.bincount(noise, np.ones(n, np.float32) @ down, CLASSES)).astype(np.float32)
+        self.past_b += g * g
+        b -= self.rate * g / np.sqrt(self.past_b)
         self.steps += 1
 
 
@@ -226,24 +243,49 @@ def shard_count(tokens: int) -> int:
     return max(1, int(np.sqrt(tokens / 20_000)))
 
 
-def coded_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(shard, turn, key, outcomes) of each text: its tokens as outcomes, its place in training by a hash of the row."""
+def coded_rows(docs: DataFrame, vocab: Vocabulary, *more: str) -> DataFrame:
+    """A written table of each text's tokens as outcomes, with all that a score takes from its words.
+
+    (_row, doc_id, shard, turn, key, outcomes, n_tokens, n_known, base, inner, rare) and the further columns asked for: shard,
+    turn and key are its place in training by a hash of the row; base sums log10 of the listed words' counts, inner of
+    their shares of their outcomes; rare are the words to be joined.
+    """
+    names = ["_row", "doc_id", "shard", "turn", "key", "outcomes", "n_tokens", "n_known", "base", "inner", "rare", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(vocab)
+        coder, row = Coder(vocab), TaskContext.get().partitionId() << 33
+        log_count = np.append(np.log10(vocab.counts + 0.5), 0.0)  # the last: words to be joined
+        log_mass = np.log10(vocab.mass)
         for whole in batches:
-            for batch in byte_chunks(whole, "text", 2_000_000):
+            for batch in byte_chunks(whole, "text", 1_000_000):
                 coded = coder(batch["text"].to_pylist())
                 out = coded.outcome.astype(np.uint16)
-                cuts = zip(coded.first, coded.first[1:], strict=False)
-                texts = pa.array([out[a:b].tobytes() for a, b in cuts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch["shard"], batch["turn"], batch["key"], texts], ["shard", "turn", "key", "outcomes"])
+                texts = pa.array([out[a:b].tobytes() for a, b in zip(coded.first, coded.first[1:], strict=False)], pa.binary())
+                seen = log_count[coded.known]
+                inner = np.where(coded.outcome < OWN, 0.0, seen - log_mass[coded.outcome])
+                at, n = coded.first[:-1], len(coded.first) - 1
+                columns = [
+                    pa.array(np.arange(row, row + n), pa.int64()),
+                    *(batch[c] for c in ("doc_id", "shard", "turn", "key")),
+                    texts,
+                    pa.array(np.diff(coded.first), pa.int64()),
+                    pa.array(np.add.reduceat((coded.known >= 0).astype(np.int64), at), pa.int64()),
+                    pa.array(np.add.reduceat(seen, at)),
+                    pa.array(np.add.reduceat(inner, at)),
+                    pa.array(coded.rare, pa.list_(pa.binary())),
+                    *(batch[c] for c in more),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                row += n
 
     key = F.xxhash64("doc_id", "text")
     shard = F.pmod(key, F.lit(shard_count(vocab.total))).cast("int").alias("shard")
     turn = F.pmod(F.shiftright(key, 40), F.lit(ROUNDS)).cast("int").alias("turn")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(shard, turn, key.alias("key"), "text")
-    return rows.mapInArrow(run, "shard int, turn int, key long, outcomes binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    rows = rows.select("doc_id", "text", *more, shard, turn, key.alias("key"))
+    shape = "_row long, doc_id long, shard int, turn int, key long, outcomes binary, n_tokens long, n_known long"
+    shape += ", base double, inner double, rare array<binary>" + "".join(f", {c} {dict(docs.dtypes)[c]}" for c in more)
+    return materialise(docs.sparkSession, rows.mapInArrow(run, shape), "coded")
 
 
 class Part:
@@ -263,12 +305,14 @@ class Part:
             return
         first = np.concatenate([[0], np.cumsum([len(x) for x in self.open])]).astype(np.int64)
         outcome = np.concatenate(self.open)
-        pool = (*contexts(outcome, first), outcome)
+        one, two = contexts(outcome, first)
+        places = np.stack([one, two + CLASSES + 1, outcome + 2 * (CLASSES + 1)])
         self.tokens, self.open, self.size = self.tokens + len(outcome), [], 0
         for _ in range(PASSES):
             order = self.trainer.rng.permutation(len(outcome))
+            mixed, mixed_outcome = places.take(order, axis=1), outcome.take(order)
             for a in range(0, len(order), BATCH):
-                self.trainer.step(*(x[order[a : a + BATCH]] for x in pool))
+                self.trainer.step(mixed[:, a : a + BATCH], mixed_outcome[a : a + BATCH])
 
     def finish(self) -> list[np.ndarray]:
         """The parameters after the last pool."""
@@ -278,8 +322,12 @@ class Part:
 
 def train(docs: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
     """The parameters after all rounds."""
-    spark, model = docs.sparkSession, initial(vocab)
-    coded = materialise(spark, coded_rows(docs, vocab), "coded")
+    return train_coded(coded_rows(docs, vocab), vocab)
+
+
+def train_coded(coded: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
+    """``train`` for rows of a table of ``coded_rows``."""
+    model = initial(vocab)
     for turn in range(ROUNDS):
         model = train_round(coded.filter(F.col("turn") == turn), vocab, model, turn)
     return model
@@ -342,73 +390,63 @@ def normalisers(spark: SparkSession, model: list[np.ndarray]) -> np.ndarray:
 # --- scores --------------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: list[np.ndarray]) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each row's whole text."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: list[np.ndarray], *more: str) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of each row's whole text, and the further columns asked for."""
+    return score_coded(coded_rows(docs, vocab, *more), counts, vocab, model, *more)
+
+
+def score_coded(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, model: list[np.ndarray], *more: str) -> DataFrame:
+    """``score`` for a table of ``coded_rows`` with the further columns."""
+    spark = coded.sparkSession
     z = normalisers(spark, model)
-    names = ["_row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"]
+    kept = ["_row", "doc_id", "n_tokens", "n_known", "base", "inner", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, row = Coder(vocab), TaskContext.get().partitionId() << 33
         u1, u2, r, b = model
-        log_count = np.append(np.log10(vocab.counts + 0.5), 0.0)  # the last: words to be joined
-        log_mass = np.log10(vocab.mass)
         for whole in batches:
-            for batch in byte_chunks(whole, "text", 1_000_000):
-                coded = coder(batch["text"].to_pylist())
-                one, two = contexts(coded.outcome, coded.first)
-                logit = np.einsum("nd,nd->n", u1[one] + u2[two], r[coded.outcome]) + b[coded.outcome] - z[one, two]
-                seen = log_count[coded.known]
-                inner = np.where(coded.outcome < OWN, 0.0, seen - log_mass[coded.outcome])
-                at = coded.first[:-1]
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + n), pa.int64()),
-                        batch["doc_id"],
-                        pa.array(np.diff(coded.first), pa.int64()),
-                        pa.array(np.add.reduceat((coded.known >= 0).astype(np.int64), at), pa.int64()),
-                        pa.array(np.add.reduceat(seen, at)),
-                        pa.array(np.add.reduceat(logit.astype(np.float64) / np.log(10) + inner, at)),
-                        pa.array(coded.rare, pa.list_(pa.binary())),
-                    ],
-                    names,
-                )
-                row += n
-
-    shape = "_row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>"
-    part = materialise(
-        spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape), "scores"
-    )
+            for batch in byte_chunks(whole, "outcomes", 400_000):
+                outcome = np.frombuffer(b"".join(batch["outcomes"].to_pylist()), np.uint16).astype(np.int64)
+                first = np.concatenate([[0], np.cumsum(batch["n_tokens"].to_numpy())])
+                one, two = contexts(outcome, first)
+                logit = np.einsum("nd,nd->n", u1[one] + u2[two], r[outcome]) + b[outcome] - z[one, two]
+                sums = pa.array(np.add.reduceat(logit.astype(np.float64) / np.log(10), first[:-1]))
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), sums], [*kept, "model"])
+
+    rows = coded.select(*kept, "outcomes")
+    shape = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "outcomes")
+    part = rows.mapInArrow(run, f"{shape}, model double")
     # an unseen word has count 0; a seen rare one adds the difference, to both scores alike
     rest = counts.filter(F.col("n") < F.lit(int(vocab.counts[-1]))) if len(vocab.counts) else counts
     gain = (
-        part.select("_row", F.explode("rare").alias("word"))
+        coded.select("_row", F.explode("rare").alias("word"))
         .join(rest, "word")
         .groupBy("_row")
         .agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("n") + 0.5)).alias("_log"))
     )
-    unseen = F.lit(float(np.log10(0.5))) * (F.size("rare") - F.coalesce("_k", F.lit(0)))
-    more = F.coalesce("_log", F.lit(0.0)) + unseen
+    rare = F.col("n_tokens") - F.col("n_known")
+    unseen = F.lit(float(np.log10(0.5))) * (rare - F.coalesce("_k", F.lit(0)))
+    gained = F.coalesce("_log", F.lit(0.0)) + unseen
     return part.join(gain, "_row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(vocab.base)).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("base") + gained - F.col("n_tokens") * F.lit(vocab.base)).alias("base_score"),
+        (F.col("model") + F.col("inner") + gained).alias("score"),
+        *more,
     )
 
 
 def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: learns from documents whose crc32 of doc_id mod 5 is not 1."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", crc_mod("doc_id", 5) == 1)
     learn = docs.filter(crc_mod("doc_id", 5) != 1)
     counts = materialise(spark, count_tokens(learn), "counts")
     vocab = vocabulary(counts)
-    out = score(docs, counts, vocab, train(learn, vocab))
-    return out.select(
+    coded = coded_rows(docs, vocab, "held_out")  # texts become outcomes once, for training and scores
+    model = train_coded(coded.filter(~F.col("held_out")), vocab)
+    return score_coded(coded, counts, vocab, model, "held_out").select(
         "doc_id",
-        (crc_mod("doc_id", 5) == 1).alias("held_out"),
+        "held_out",
         "n_tokens",
         "n_known",
         F.lit(vocab.total).cast("long").alias("train_tokens"),
