@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,52 @@ def test_pruning_follows_role_and_level(spark):
         least = -1 if r["level"] <= 1 or role in hv.PASSING else 0.1 if role in hv.STRICT else 0.08 if role == "generic" and r["level"] >= 3 else 0.05
         assert (key in kept) == (r["likeness"] >= least)
     assert 0 < len(kept) < len(nodes)
+
+
+def test_likeness_of_trees_equals_a_recursion(spark):
+    """Made page by page where the tree builder leaves the nodes: nothing is shuffled, or written on the way."""
+    nodes = sem_nodes(spark.read.parquet(f"{SF}/pages.parquet").filter("page_id < 3"), plans.GOAL)
+    found = ops.tree_likeness(nodes.select("page_id", "node_id", "parent_id", "role", "label"), hv.text_vectors(pa.array([["read", "the", "news"]]))[:, 0].view("int64").tolist())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "heddle/" not in plan and plan.count("Scan parquet") == 1
+    goal, rows = plain_vector("read the news"), {}
+    like = lambda v: 1.0 - 2.0 * (v ^ goal).bit_count() / 2048
+    for r in found.collect():
+        rows.setdefault(r["page_id"], {})[r["node_id"]] = r
+    for held in rows.values():
+        whole, inner = recursion(held), {r["parent_id"] for r in held.values()}
+        for n, r in held.items():
+            assert (r["likeness"], r["text_likeness"], r["leaf"]) == (like(whole[n]), like(plain_vector(r["label"])), n not in inner)
+    assert len(rows) == 3
+
+
+def test_batches_cut_pages_nowhere(spark, monkeypatch):
+    """Pages that span batches, and one that follows itself, are made whole."""
+    rows = [(page, n, n - 1 if n else None, "text", f"label {n % 5} of") for page in (1, 2, 2, 3) for n in range(7)]
+    frame = spark.createDataFrame(rows, "page_id long, node_id long, parent_id long, role string, label string").coalesce(1)
+    goal = list(range(32))
+    want = [tuple(r) for r in ops.tree_likeness(frame, goal).collect()]
+    assert [r[:2] for r in want] == [r[:2] for r in rows] and want[7:14] == want[14:21]
+    assert [r[5] for r in want] == [*range(7)] * 4  # levels
+    monkeypatch.setattr(ops, "ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert [tuple(r) for r in ops.tree_likeness(frame, goal).collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ops.tree_likeness(frame.limit(0), goal).count() == 0
+
+
+@pytest.mark.parametrize("texts", [1024, 2])
+def test_tallies_equal_the_plain_version(monkeypatch, texts):
+    monkeypatch.setattr(hv, "TEXTS", texts)
+    lists = [[w for w in re.split(r"[\W_]+", t.lower()) if len(w.encode()) > 1] or [t] for t in [*TEXTS, "ab cd " * 400]]
+    got = hv.text_vectors(pa.array(lists, pa.list_(pa.string())))
+    assert [as_int(v) for v in got.T.tolist()] == [plain_vector(t) for t in [*TEXTS, "ab cd " * 400]]
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 7, 8, 300):
+        rows = rng.integers(0, 1 << 63, (n, 32), np.uint64) | rng.integers(0, 2, (n, 32), np.uint64) << np.uint64(63)
+        tally = hv.Tally(1)
+        for r in rows:
+            tally.add(r[:, None])
+        assert as_int(tally.majority(np.array([n]))[:, 0].tolist()) == plain_bundle([as_int(r.tolist()) for r in rows])
