@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from heddle.functions import hypervectors as hv
 from heddle.operators import hypervectors as ops
 from heddle.plans import hypervectors as plans
+from heddle.sources import html_dom
 from heddle.sources.html_dom import sem_nodes
 from tests.conftest import SF
 
@@ -190,3 +191,23 @@ def test_tallies_equal_the_plain_version(monkeypatch, texts):
         for r in rows:
             tally.add(r[:, None])
         assert as_int(tally.majority(np.array([n]))[:, 0].tolist()) == plain_bundle([as_int(r.tolist()) for r in rows])
+
+
+def test_word_lists_equal_vector_words(spark):
+    odd = [*TEXTS, "ÀB—cd", "İstanbul ΣΑΣ", "कि ख्य x", "Ⅷ ½ ①②", " lead and trail ", "__a__bb"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", hv.vector_words(F.col("t")).alias("w"), hv.spaced_words(F.col("t")).alias("s")).toArrow()
+    got = hv.word_lists(rows["s"].combine_chunks(), rows["t"].combine_chunks())
+    assert got.to_pylist() == rows["w"].to_pylist() and len(got) == len(odd)
+
+
+def test_plain_tags_are_read_as_by_the_tolerant_reader(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    pages = [r["html"] for r in rows] + [
+        '<DIV Class="A" CLASS="b">x</DIV >y', "<title>a<b>c</title>d", "<script>if(a<b){'</b>'}</script><p>x", "<textarea><b>x</b></textarea>y",
+        '<a href="x&amp;y">z', '<p a="1"b="2">q', '<p a="">e', '<br/><p\n x="1">', "</p x><p a='1'>", '<p a="<">', "<!-- <p> --><p>", "a & b < c <p",
+    ]
+    got, shown = [html_dom.page_rows(1, h) for h in pages], [html_dom.page_rows(1, h, paths=False) for h in pages]
+    monkeypatch.setattr(html_dom, "PLAIN", re.compile("(?!)"))
+    monkeypatch.setattr(html_dom, "PLAIN_END", re.compile("(?!)"))
+    assert got == [html_dom.page_rows(1, h) for h in pages]
+    assert shown == [[(*r[:8], False, None) for r in page if r[5] is not None and not r[8]] for page in got]
