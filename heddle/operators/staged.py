@@ -63,6 +63,20 @@ def expansions(nodes: DataFrame, goal: str, best: int = 5, words: int = 4) -> Da
     return kept.groupBy("page_id").agg(listed.alias("more"))
 
 
+def normalised(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``interaction`` for ``_raw``: by the median and quartiles of the page through a sigmoid.
+
+    Ranks are counted, so that no row carries the values of its page.
+    """
+    page = Window.partitionBy("page_id")
+    ranked = rows.withColumn("_r", F.row_number().over(page.orderBy("_raw"))).withColumn("_n", F.count("*").over(page))
+    at = lambda n: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * n / 4) + 1, F.col("_raw"))).over(page)
+    stats = ranked.withColumns({"_m": at(2), "_iqr": at(3) - at(1)})
+    z = (F.col("_raw") - F.col("_m")) / F.when(F.col("_iqr") > 1e-9, F.col("_iqr")).otherwise(1.0)
+    norm = F.when(F.col("_n") == 1, 0.5).otherwise(1 / (1 + F.exp(z * -2)))
+    return stats.withColumn("interaction", norm).drop("_r", "_n", "_m", "_iqr")
+
+
 def interactions(nodes: DataFrame, goal: str, expand: bool = True) -> DataFrame:
     """``nodes`` with ``interaction``: late interaction with the page's goal, by the median and quartiles of the page through a sigmoid."""
     if expand:
@@ -70,13 +84,7 @@ def interactions(nodes: DataFrame, goal: str, expand: bool = True) -> DataFrame:
         text = F.concat_ws(" ", F.lit(goal), F.array_join(F.coalesce("more", F.array().cast("array<string>")), " "))
     else:
         rows, text = nodes, F.lit(goal)
-    rows = rows.withColumn("_raw", late_interaction(words_of(F.col("label")), words_of(text))).drop("more")
-    stats = rows.groupBy("page_id").agg(F.array_sort(F.collect_list("_raw")).alias("_s"))  # at most the survivors of a page
-    at = lambda n: F.get("_s", F.floor(F.size("_s") * n / 4).cast("int"))
-    stats = stats.select("page_id", F.size("_s").alias("_n"), at(2).alias("_m"), (at(3) - at(1)).alias("_iqr"))
-    z = (F.col("_raw") - F.col("_m")) / F.when(F.col("_iqr") > 1e-9, F.col("_iqr")).otherwise(1.0)
-    norm = F.when(F.col("_n") == 1, 0.5).otherwise(1 / (1 + F.exp(z * -2)))
-    return rows.join(stats, "page_id").withColumn("interaction", norm).drop("_n", "_m", "_iqr")
+    return normalised(rows.withColumn("_raw", late_interaction(words_of(F.col("label")), words_of(text))).drop("more"))
 
 
 def contained(items: Column) -> Column:

@@ -30,9 +30,9 @@ def staged_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def blended_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best nodes of each page by late interaction and whole-text likeness, weighted by the label's number of words."""
-    nodes = trees(spark, sf).filter("label <> ''").withColumn("bm25", F.lit(0.0))
-    rows = ops.interactions(nodes, GOAL, expand=False)
-    a = adaptive_alpha(F.size(F.filter(F.split("label", r"\s+"), lambda w: w != "")))
+    weight = adaptive_alpha(F.size(F.array_remove(F.split("label", r"\s+"), "")))
+    nodes = trees(spark, sf, raw=True).filter("label <> ''").select("page_id", "node_id", "role", "text_likeness", F.col("raw").alias("_raw"), weight.alias("a"))
+    rows, a = ops.normalised(nodes), F.col("a")  # labels stay where they are made
     rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), F.col("interaction") * a + F.col("text_likeness") * (1 - a)), 6))
     best = Window.partitionBy("page_id").orderBy(F.desc("score"), "node_id")
     ranked = rows.withColumn("rank", F.row_number().over(best).cast("long")).filter("rank <= 10")

@@ -192,3 +192,32 @@ def test_staged_ranking_equals_a_plain_version(spark):
         assert all(abs(score[n] - x) < 2e-6 for n, x in got.get(page, []))
         seen += len(want)
     assert seen > 20
+
+
+def test_blended_nodes_shuffle_no_labels(spark):
+    """One exchange, by page, of rows without labels; the page's values are on no row; nothing is written on the way."""
+    found = interaction.blended_nodes(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    dealt = [x for x in plan if " Exchange " in f" {x.lstrip(' :+-*')} "]
+    assert len(dealt) == 1 and not any("collect_list" in x or "heddle/" in x for x in plan)
+    assert not any("label" in x for x in plan[: plan.index(dealt[0])])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8])
+def test_quartiles_are_those_of_the_sorted_values(spark, n):
+    rng = np.random.default_rng(n)
+    values = [float(x) for x in rng.integers(0, 9, n)]
+    got = ops.normalised(spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "page_id long, node_id long, _raw double")).collect()
+    s = sorted(values)
+    m, iqr = s[n // 2], s[n * 3 // 4] - s[n // 4]
+    assert len(got) == n and got[0].asDict().keys() == {"page_id", "node_id", "_raw", "interaction"}
+    for r in got:
+        want = 0.5 if n == 1 else 1 / (1 + math.exp(-2 * (r["_raw"] - m) / (iqr if iqr > 1e-9 else 1.0)))
+        assert r["interaction"] == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("block", [1 << 11, 2])
+def test_word_vectors_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(fn, "BLOCK", block)
+    words = ["river", "a", "", "日本", "x" * 300, "stones", "river"]
+    assert fn.word_vectors(words).tolist() == [[math.floor((x + 1.0) * 127.5) for x in plain_unit(w)] for w in words]
