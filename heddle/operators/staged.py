@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.hypervectors import adaptive_threshold
-from heddle.functions.interaction import blended, late_interaction, no_content, words_of
+from heddle.functions.interaction import blended, late_interaction, no_content, rarest, words_of
 from heddle.functions.text import tokens
 from heddle.operators.retrieval import term_weight
 
@@ -23,17 +23,23 @@ MOST = 300
 KEYS = ["page_id", "node_id"]
 
 
-def bm25_within(nodes: DataFrame, goal: str) -> DataFrame:
-    """(page_id, node_id, bm25): each page is a corpus of its nodes' labels."""
+def with_bm25(nodes: DataFrame, goal: str) -> DataFrame:
+    """``nodes`` with bm25: each page is a corpus of its nodes' labels. Tokens are counted before the rows of a page meet."""
     terms = nodes.sparkSession.range(1).select(tokens(F.lit(goal)).alias("t")).first()["t"]  # the goal's own words
-    rows = nodes.select(*KEYS, tokens(F.col("label")).alias("toks")).withColumn("len", F.size("toks"))
-    count = lambda t: F.size(F.filter("toks", lambda x: x == t))
-    times = [count(t).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    rows = rows.select(*KEYS, "len", *times)
-    held = [F.sum((F.col(f"tf_{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]
-    stats = rows.groupBy("page_id").agg(F.count("*").alias("total"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean"), *held)
+    times = lambda toks, t: F.size(F.filter(toks, lambda x: x == t))
+    counts = lambda toks: F.struct(F.size(toks).alias("len"), *(times(toks, t).alias(f"tf_{i}") for i, t in enumerate(terms)))
+    rows = nodes.withColumn("_held", F.get(F.transform(F.array(tokens(F.col("label"))), counts), F.lit(0)))  # tokens are made once
+    page = Window.partitionBy("page_id")
+    rows = rows.select(*nodes.columns, "_held.*")
+    held = {f"df_{i}": F.sum((F.col(f"tf_{i}") > 0).cast("long")).over(page) for i in range(len(terms))}
+    stats = rows.withColumns({"total": F.count("*").over(page), "mean": F.avg(F.when(F.col("len") > 0, F.col("len"))).over(page), **held})
     part = lambda i: F.when(F.col(f"tf_{i}") > 0, term_weight(F.col(f"tf_{i}"), F.col(f"df_{i}"), F.col("len"), F.col("mean"), F.col("total"))).otherwise(0.0)
-    return rows.join(stats, "page_id").select(*KEYS, F.round(sum((part(i) for i in range(len(terms))), F.lit(0.0)), 9).alias("bm25"))
+    return stats.select(*nodes.columns, F.round(sum((part(i) for i in range(len(terms))), F.lit(0.0)), 9).alias("bm25"))
+
+
+def bm25_within(nodes: DataFrame, goal: str) -> DataFrame:
+    """(page_id, node_id, bm25): each page is a corpus of its nodes' labels."""
+    return with_bm25(nodes.select(*KEYS, "label"), goal).select(*KEYS, "bm25")
 
 
 def survivors(nodes: DataFrame, most: int = MOST) -> DataFrame:
@@ -49,18 +55,18 @@ def survivors(nodes: DataFrame, most: int = MOST) -> DataFrame:
     return first.filter(enough).drop("_hit", "_r")
 
 
+def expanding(items: Column, goal: str, best: int = 5, words: int = 4) -> Column:
+    """The rarest longer words of the ``best`` items (structs with bm25, node_id and label) that the goal lacks."""
+    top = F.slice(F.array_sort(F.transform(items, lambda x: F.struct((-x["bm25"]).alias("o"), x["node_id"].alias("n"), x["label"].alias("label")))), 1, best)
+    long = lambda w: (F.octet_length(w) >= 4) & ~F.regexp_like(w, F.lit(r"^[0-9]+$|://|\."))
+    seen = F.flatten(F.transform(top, lambda x: F.filter(F.split(F.lower(x["label"]), r"\s+"), long)))
+    return rarest(seen, F.split(F.lower(F.lit(goal)), r"\s+"), F.lit(words))
+
+
 def expansions(nodes: DataFrame, goal: str, best: int = 5, words: int = 4) -> DataFrame:
     """(page_id, more): the rarest longer words of the ``best`` survivors of each page that the goal lacks."""
-    order = Window.partitionBy("page_id").orderBy(F.desc("bm25"), "node_id")
-    top = nodes.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= best)
-    long = lambda w: (F.octet_length(w) >= 4) & ~F.regexp_like(w, F.lit(r"^[0-9]+$|://|\."))
-    seen = top.select("page_id", F.explode(F.filter(F.split(F.lower("label"), r"\s+"), long)).alias("word"))
-    counts = seen.groupBy("page_id", "word").agg(F.count("*").alias("n"))  # all share the page's total, so the rarest come first
-    new = counts.filter(~F.array_contains(F.split(F.lower(F.lit(goal)), r"\s+"), F.col("word")))
-    rare = Window.partitionBy("page_id").orderBy("n", "word")
-    kept = new.withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= words)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_r", "word"))), lambda x: x["word"])
-    return kept.groupBy("page_id").agg(listed.alias("more"))
+    pages = nodes.groupBy("page_id").agg(F.collect_list(F.struct("bm25", "node_id", "label")).alias("items"))
+    return pages.select("page_id", expanding(F.col("items"), goal, best, words).alias("more")).filter(F.size("more") > 0)
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -80,11 +86,14 @@ def normalised(rows: DataFrame) -> DataFrame:
 def interactions(nodes: DataFrame, goal: str, expand: bool = True) -> DataFrame:
     """``nodes`` with ``interaction``: late interaction with the page's goal, by the median and quartiles of the page through a sigmoid."""
     if expand:
-        rows = nodes.join(expansions(nodes, goal), "page_id", "left")
-        text = F.concat_ws(" ", F.lit(goal), F.array_join(F.coalesce("more", F.array().cast("array<string>")), " "))
+        rest = [c for c in nodes.columns if c != "page_id"]
+        pages = nodes.groupBy("page_id").agg(F.collect_list(F.struct(*rest)).alias("items"))  # at most the survivors of a page
+        pages = pages.withColumn("more", expanding(F.col("items"), goal))
+        aim = words_of(F.concat_ws(" ", F.lit(goal), F.array_join("more", " ")))
+        rows = pages.select("page_id", aim.alias("_aim"), F.inline("items"))
     else:
-        rows, text = nodes, F.lit(goal)
-    return normalised(rows.withColumn("_raw", late_interaction(words_of(F.col("label")), words_of(text))).drop("more"))
+        rows = nodes.withColumn("_aim", words_of(F.lit(goal)))
+    return normalised(rows.withColumn("_raw", late_interaction(words_of(F.col("label")), F.col("_aim"))).drop("_aim"))
 
 
 def contained(items: Column) -> Column:
@@ -113,18 +122,31 @@ def first_unlike(items: Column, most: int) -> Column:
     return F.aggregate(items, none, lambda kept, x: F.when((F.size(kept) >= most) | like(kept, x), kept).otherwise(F.array_append(kept, x)))
 
 
+def with_leaves(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with leaf: whether none has it as its parent."""
+    parents = nodes.filter("parent_id IS NOT NULL").select("page_id", F.col("parent_id").alias("node_id"), F.lit(False).alias("_leaf")).distinct()
+    return nodes.join(parents, KEYS, "left").withColumn("leaf", F.coalesce("_leaf", F.lit(True))).drop("_leaf")
+
+
+def best_children(rows: DataFrame) -> DataFrame:
+    """``rows`` with _child: the most ``own`` of a row's children that are leaves. A leaf stands a second time beside its parent, so rows of a page stay in place."""
+    spot = lambda n, c: F.struct(n.alias("_at"), c.alias("_own"))
+    self = spot(F.col("node_id"), F.lit(None).cast("double"))
+    both = F.when(F.col("leaf") & F.col("parent_id").isNotNull(), F.array(self, spot(F.col("parent_id"), F.col("own")))).otherwise(F.array(self))
+    twice = rows.select("*", F.inline(both)).withColumn("label", F.when(F.col("_own").isNull(), F.col("label")))
+    return twice.withColumn("_child", F.max("_own").over(Window.partitionBy("page_id", "_at"))).filter("_own IS NULL").drop("_at", "_own")
+
+
 def staged(nodes: DataFrame, goal: str, most: int = MOST) -> DataFrame:
     """(page_id, rank, node_id, role, label, score) of ``nodes`` (page_id, node_id, parent_id, role, label, level, likeness, text_likeness).
 
+    Nodes may bring their ``leaf``; else it is found by a join.
     A node with children scores at least 0.75 of the best of them that have none of their own.
     """
-    parents = nodes.filter("parent_id IS NOT NULL").select("page_id", F.col("parent_id").alias("node_id"), F.lit(False).alias("_leaf")).distinct()
-    rows = nodes.join(bm25_within(nodes, goal), KEYS).join(parents, KEYS, "left").withColumn("leaf", F.coalesce("_leaf", F.lit(True)))
+    rows = with_bm25(nodes if "leaf" in nodes.columns else with_leaves(nodes), goal)
     rows = interactions(survivors(rows, most), goal).filter(~no_content(F.col("label"), F.col("role")))
     own = blended(F.col("interaction"), F.col("text_likeness"), F.col("bm25"), F.col("role"), F.col("label"), F.col("leaf"))
-    rows = rows.withColumn("own", own)
-    child = rows.filter("leaf AND parent_id IS NOT NULL").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.max("own").alias("_child"))
-    rows = rows.join(child, KEYS, "left")
+    rows = best_children(rows.select(*KEYS, "parent_id", "role", "label", "leaf", own.alias("own")))
     story = F.col("leaf") & (F.col("role") == "link") & F.octet_length("label").between(30, 200)
     score = F.greatest(F.col("own"), F.coalesce(F.col("_child") * 0.75, F.lit(0.0))) * F.when(story, 1.15).otherwise(1.0)
     rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), score), 6)).filter("score > 0")

@@ -9,7 +9,7 @@ from heddle.functions.hypervectors import OFFSET, PRIME
 from heddle.functions.interaction import DIM, adaptive_alpha, late_interaction, words_of
 from heddle.operators import staged as ops
 from heddle.plans.hypervectors import GOAL, GOALS, trees
-from heddle.sources.tables import table, written
+from heddle.sources.tables import table
 
 
 def late_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,7 +25,7 @@ def late_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def staged_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """The nodes of each page that the stages leave, best first."""
-    return ops.staged(written(trees(spark, sf), "trees"), GOAL)
+    return ops.staged(trees(spark, sf), GOAL)
 
 
 def blended_nodes(spark: SparkSession, sf: str) -> DataFrame:

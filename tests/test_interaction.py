@@ -221,3 +221,20 @@ def test_word_vectors_in_blocks(monkeypatch, block):
     monkeypatch.setattr(fn, "BLOCK", block)
     words = ["river", "a", "", "日本", "x" * 300, "stones", "river"]
     assert fn.word_vectors(words).tolist() == [[math.floor((x + 1.0) * 127.5) for x in plain_unit(w)] for w in words]
+
+
+def test_staged_nodes_move_by_page_only(spark):
+    """Pages are read once and their rows meet by page, twice; no join, nothing written on the way."""
+    plan = interaction.staged_nodes(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if x.lstrip(" :+-*").startswith("Exchange")]
+    assert len(dealt) == 2 and all("hashpartitioning(page_id" in x for x in dealt)
+    assert "Join" not in plan and "heddle/" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_best_children_and_leaves(spark):
+    rows = [(1, 0, None, "r", 0.1), (1, 1, 0, "a", 0.5), (1, 2, 0, "b", 0.7), (1, 3, 2, "c", 0.2), (1, 4, 9, "d", 0.9), (2, 0, None, "e", 0.3), (2, 1, 0, "f", 0.4)]
+    frame = ops.with_leaves(spark.createDataFrame(rows, "page_id long, node_id long, parent_id long, label string, own double"))
+    got = sorted((r["page_id"], r["node_id"], r["label"], r["leaf"], r["own"], r["_child"]) for r in ops.best_children(frame).collect())
+    inner = {(p, up) for p, _, up, _, _ in rows}
+    best = lambda p, n: max((own for q, m, up, _, own in rows if (q, up) == (p, n) and (q, m) not in inner), default=None)
+    assert got == [(p, n, label, (p, n) not in inner, own, best(p, n)) for p, n, _, label, own in rows]
